@@ -9,7 +9,6 @@ shrinking resize shuffles rows that are already small.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,8 @@ from .tiling import BLOCK, block_value, explode_blocks, rows_from_blocks
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
+CACHED_SIZES = 64  # weight tables a task keeps at a time
+
 
 def hermite(x: np.ndarray) -> np.ndarray:
     a = np.minimum(np.abs(x), 1.0)
@@ -53,7 +54,6 @@ def register_kernel(name: str, kernel: Kernel, radius: float) -> None:
     KERNELS[name] = (kernel, radius, True, True)
 
 
-@lru_cache(maxsize=64)
 def _taps(old: int, new: int, spec: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Source index and weight per output position, both [new, window]."""
     kernel, radius, unit_radius, drop_negative = spec
@@ -74,7 +74,6 @@ def _taps(old: int, new: int, spec: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(source, 0, old - 1), weight
 
 
-@lru_cache(maxsize=64)
 def _taps_by_source(old: int, new: int, spec: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same weights grouped by source index: (start offsets, output index, weight)."""
     source, weight = _taps(old, new, spec)
@@ -93,6 +92,16 @@ def _resize_batches(spec: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     """Per batch: resize each row across, and list its (output row, weight) pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[tuple, tuple] = {}
+
+        def cached(build: Callable, old: int, new: int) -> tuple:
+            key = (build.__name__, old, new)
+            if key not in cache:
+                if len(cache) >= CACHED_SIZES:
+                    cache.clear()
+                cache[key] = build(old, new, spec)
+            return cache[key]
+
         for record in batches:
             values = record.column("v")
             new_w = record.column("new_w").to_numpy()
@@ -100,9 +109,9 @@ def _resize_batches(spec: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             rows, outs, weights, counts = [], [], [], []
             for i, (y, h, new_h) in enumerate(heights):
                 row = values[i].values.to_numpy(zero_copy_only=False)
-                source, weight = _taps(len(row), int(new_w[i]), spec)
+                source, weight = cached(_taps, len(row), int(new_w[i]))
                 rows.append((row[source] * weight).sum(axis=1))
-                starts, out, tap = _taps_by_source(int(h), int(new_h), spec)
+                starts, out, tap = cached(_taps_by_source, int(h), int(new_h))
                 here = slice(starts[y], starts[y + 1])
                 outs.append(out[here])
                 weights.append(tap[here])

@@ -253,7 +253,7 @@ def pad_to_multiple(rasters: DataFrame, multiple: int = ALIGNMENT) -> DataFrame:
         F.array_distinct(F.filter(F.concat(ups, downs), lambda t: t < new_h))
     )
     return rasters.select(
-        "image_id", "c", F.explode(places).cast("int").alias("y"), new_h.alias("h"), wide.alias("v")
+        "image_id", "c", F.explode(places).alias("y"), new_h.alias("h"), wide.alias("v")
     )
 
 
