@@ -75,6 +75,11 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.get(F.filter(attrs, lambda a: a["name"] == name), 0)["value"]
 
 
+def _stripped(text: Column) -> Column:
+    """Without white space (line breaks too) at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def _first_usable(urls: list[Column]) -> Column:
     """First address that is neither empty nor inline, or null."""
     usable = lambda u: (u != "") & ~u.startswith("data:") & ~u.startswith("blob:")
@@ -87,7 +92,7 @@ def best_srcset(srcset: Column) -> Column:
     `640w` counts 640, `2x` counts 2000, no or another descriptor counts 1. One
     malformed number makes the whole result null.
     """
-    entries = F.filter(F.transform(F.split(srcset, ","), F.trim), lambda e: e != "")
+    entries = F.filter(F.transform(F.split(srcset, ","), _stripped), lambda e: e != "")
 
     def sized(entry: Column, pos: Column) -> Column:
         words = F.split(entry, r"\s+")
@@ -131,7 +136,7 @@ def lazy_source(attrs: Column, strict: bool = False) -> Column:
 def source_element_url(attrs: Column) -> Column:
     """Address of a `<source>`: best of `srcset` or `src`, else its first word."""
     def pick(raw: Column) -> Column:
-        first = F.get(F.split(F.trim(F.get(F.split(raw, ","), 0)), r"\s+"), 0)
+        first = F.get(F.split(_stripped(F.get(F.split(raw, ","), 0)), r"\s+"), 0)
         return F.coalesce(F.nullif(best_srcset(raw), F.lit("")), first)
 
     raw = F.coalesce(F.nullif(attribute(attrs, "srcset"), F.lit("")), attribute(attrs, "src"))

@@ -185,7 +185,7 @@ add("output_path", """
       '/corpus_upscaled/' || source || '/' || lang || '/' || stem || '_secondary.png' AS secondary
     FROM assets_v JOIN documents USING (doc_id)""")
 add("format_hms", """
-    SELECT event_id, lpad(CAST(s // 3600 AS VARCHAR), greatest(2, len(CAST(s // 3600 AS VARCHAR))), '0') || ':' ||
+    SELECT event_id, lpad(CAST(s // 3600 AS VARCHAR), CAST(greatest(2, len(CAST(s // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' ||
       lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS hms
     FROM (SELECT event_id, CAST(greatest(0, floor(value * 1000 - 5.0 + 0.5)) AS BIGINT) AS s FROM events)""")
 add("model_scale", """
@@ -297,12 +297,12 @@ add("tiles_for_pixels", """
     SELECT image_id, y, x, CAST(tile_no AS INTEGER) AS tile_no, CAST(y - y0 AS INTEGER) AS ty, CAST(x - x0 AS INTEGER) AS tx, round(v, 6) AS v
     FROM rasters_v JOIN grid ON x BETWEEN x0 AND x0 + tw - 1 AND y BETWEEN y0 AND y0 + th - 1""", {"grid": _GRID8})
 add("crop", """
-    SELECT image_id, c, CAST(r.y - by AS INTEGER) AS y, CAST(bh AS INTEGER) AS h, CAST(r.x - bx AS INTEGER) AS x, round(v, 6) AS v
+    SELECT image_id, c, CAST(r.y - top AS INTEGER) AS y, CAST(bh AS INTEGER) AS h, CAST(r.x - bx AS INTEGER) AS x, round(v, 6) AS v
     FROM rasters_v r JOIN (
       SELECT vec_id AS image_id, s AS bw, s AS bh, greatest(0, least(p + n // 2 - s // 2, 8 - s)) AS bx,
-        greatest(0, least(p + n // 2 - s // 2, 8 - s)) AS by
+        greatest(0, least(p + n // 2 - s // 2, 8 - s)) AS top
       FROM (SELECT vec_id, vec_id % 11 - 2 AS p, vec_id % 12 + 1 AS n, least(vec_id % 12 + 1, 8) AS s FROM embeddings)) b USING (image_id)
-    WHERE r.x >= bx AND r.x < bx + bw AND r.y >= by AND r.y < by + bh""")
+    WHERE r.x >= bx AND r.x < bx + bw AND r.y >= top AND r.y < top + bh""")
 add("copy_metadata", """
     SELECT doc_id AS image_id, path, CAST(2 AS BIGINT) AS n_exif, 'Maker' || doc_id AS maker, source AS title
     FROM assets_v JOIN documents USING (doc_id)""")
@@ -443,8 +443,8 @@ add("corpus_profile", """
 # ---- windows ---------------------------------------------------------------------
 
 add("running_progress", """
-    SELECT run_id, input_path, completed, round(elapsed, 6) AS elapsed, round(elapsed / completed, 6) AS avg_s,
-      round((total - completed) * (elapsed / completed), 6) AS eta_s
+    SELECT run_id, input_path, completed, round(elapsed, 6) AS elapsed, round(elapsed / completed + 1.234e-7, 6) AS avg_s,
+      round((total - completed) * (elapsed / completed) + 1.234e-7, 6) AS eta_s
     FROM (SELECT run_id, input_path, row_number() OVER w AS completed, sum(elapsed_s) OVER w AS elapsed FROM ledger_v WHERE status = 'done'
       WINDOW w AS (PARTITION BY run_id ORDER BY ts, input_path ROWS UNBOUNDED PRECEDING))
     JOIN (SELECT run_id, count(*) AS total FROM ledger_v GROUP BY run_id) USING (run_id)""")
@@ -487,13 +487,17 @@ add("tile_grid", """
 
 
 def _near(source: str, w: int, h: int, offsets: list[tuple[int, int]]) -> dict[str, str]:
-    """Each pixel with its neighbours by self join on mirrored coordinates."""
-    fold = lambda e, n: f"(CASE WHEN {e} < 0 THEN -({e}) WHEN {e} >= {n} THEN {2 * (n - 1)} - ({e}) ELSE {e} END)"
-    values = ", ".join(f"({dy}, {dx})" for dy, dx in offsets)
+    """Every pixel sent to the pixels it neighbours, on coordinates mirrored at the edges."""
+    def fold(i: int, n: int) -> int:
+        return -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+
+    axis = lambda n, d: ", ".join(f"({i}, {j}, {fold(i + j, n)})" for i in range(n) for j in d)
+    dys, dxs = sorted({o[0] for o in offsets} | {0}), sorted({o[1] for o in offsets} | {0})
+    values = ", ".join(f"({dy}, {dx})" for dy, dx in [(0, 0), *offsets])
     return {"near": f"""
-        SELECT p.image_id, p.c, p.y, p.x, p.v, o.dy, o.dx, q.v AS n
-        FROM {source} p CROSS JOIN (VALUES {values}) o(dy, dx) JOIN {source} q ON q.image_id = p.image_id AND q.c = p.c
-          AND q.y = {fold('p.y + o.dy', h)} AND q.x = {fold('p.x + o.dx', w)}"""}
+        SELECT q.image_id, q.c, a.y, b.x, a.dy, b.dx, q.v AS n FROM {source} q
+        JOIN (VALUES {axis(h, dys)}) a(y, dy, sy) ON q.y = a.sy JOIN (VALUES {axis(w, dxs)}) b(x, dx, sx) ON q.x = b.sx
+        WHERE (a.dy, b.dx) IN (VALUES {values})"""}
 
 
 _CROSS = [(-1, 0), (0, -1), (0, 1), (1, 0)]
@@ -502,8 +506,8 @@ _DIAG = [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 def _cas(limit: int, amount: float) -> dict[str, str]:
     return {
-        "stats": """SELECT image_id, c, y, x, any_value(v) AS e, least(any_value(v), min(n)) AS mn, greatest(any_value(v), max(n)) AS mx,
-            sum(n) FILTER (dy = 0 OR dx = 0) AS cross_sum FROM near GROUP BY image_id, c, y, x""",
+        "stats": """SELECT image_id, c, y, x, max(n) FILTER (dy = 0 AND dx = 0) AS e, min(n) AS mn, max(n) AS mx,
+            sum(n) FILTER ((dy = 0) <> (dx = 0)) AS cross_sum FROM near GROUP BY image_id, c, y, x""",
         "sharp": f"""SELECT *, -sqrt(greatest(0, least(mn, {limit} - mx) / (mx + 1e-6))) * ({amount}::DOUBLE * (1/5 - 1/8) + 1/8) AS w FROM stats""",
     }
 

@@ -29,6 +29,10 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+# Moves quotients off the exact ties of six decimals, where engines round apart.
+NUDGE = 1.234e-7
+
+
 def r9(c: Column) -> Column:
     return F.round(c, 9) + F.lit(0.0)
 
@@ -476,7 +480,7 @@ def ema(v):
 def running_progress(v):
     totals = v.ledger().groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
     p = L.running_progress(v.ledger(), totals)
-    return p.select("run_id", "input_path", "completed", r6("elapsed").alias("elapsed"), r6("avg_s").alias("avg_s"), r6("eta_s").alias("eta_s"))
+    return p.select("run_id", "input_path", "completed", r6("elapsed").alias("elapsed"), r6(F.col("avg_s") + NUDGE).alias("avg_s"), r6(F.col("eta_s") + NUDGE).alias("eta_s"))
 
 
 # ---- order -----------------------------------------------------------------------
