@@ -94,7 +94,7 @@ def _all_parts(url: Column) -> Column:
 
 
 def _merged_path(base_path: Column, ref_path: Column) -> Column:
-    """Path of a relative reference: joined, empty inner segments dropped, dots folded."""
+    """Path of a reference, dots folded; a relative one is joined without empty inner segments."""
     above = bind(
         F.split(base_path, "/"),
         lambda parts: F.when(
@@ -102,12 +102,11 @@ def _merged_path(base_path: Column, ref_path: Column) -> Column:
             F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
         ).otherwise(parts),
     )
-    joined = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(
-        F.concat(above, F.split(ref_path, "/"))
-    )
-    kept = bind(
-        joined, lambda j: F.filter(j, lambda seg, i: (i == 0) | (i == F.size(j) - 1) | (seg != ""))
+    below = bind(
+        F.concat(above, F.split(ref_path, "/")),
+        lambda j: F.filter(j, lambda seg, i: (i == 0) | (i == F.size(j) - 1) | (seg != "")),
     )
+    kept = F.when(ref_path.startswith("/"), F.split(ref_path, "/")).otherwise(below)
     text = F.array_join(bind(kept, _fold_dots), "/")
     return bind(text, lambda t: F.when(t == "", F.lit("/")).otherwise(t))
 

@@ -8,11 +8,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pixelmill.functions.paths import base_name, is_image_suffix, parent_dir, stem, suffix
+from pixelmill.functions.paths import is_image_suffix, parent_dir, stem, suffix
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def local_path(path: Column) -> Column:
+    """`file:/a/b` as `/a/b`; other schemes are kept."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
+def without_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+
+
 def scan_assets(spark: SparkSession, paths: Sequence[str], recursive: bool = True) -> DataFrame:
     """Image files below `paths` as assets; file contents are not read.
 
@@ -24,9 +33,15 @@ def scan_assets(spark: SparkSession, paths: Sequence[str], recursive: bool = Tru
         .option("recursiveFileLookup", str(recursive).lower())
         .load(list(paths))
     )
-    path = F.regexp_replace("path", r"^file:/*", "/")
+    if not recursive:
+        tops = [p.rstrip("/") for p in paths]
+        here = F.lit(False)
+        for top in tops:
+            above, whole = without_scheme(parent_dir(F.col("path"))), without_scheme(F.col("path"))
+            here = here | above.eqNullSafe(without_scheme(F.lit(top))) | whole.eqNullSafe(without_scheme(F.lit(top)))
+        listed = listed.where(here)
     return (
-        listed.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
+        listed.select(local_path(F.col("path")).alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
         .withColumn("ext", suffix(F.col("path")))
         .where(is_image_suffix(F.col("ext")))
         .select("path", parent_dir(F.col("path")).alias("dir"), stem(F.col("path")).alias("stem"), "ext", "size_bytes", "mtime")
@@ -91,7 +106,3 @@ def load_rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         _decode, _RASTER
     )
     return rows, facts
-
-
-def file_names(df: DataFrame, column: str = "path") -> DataFrame:
-    return df.withColumn("name", base_name(F.col(column)))

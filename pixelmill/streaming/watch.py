@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pixelmill.functions.paths import is_image_suffix, suffix
-from pixelmill.sources.files import BINARY_SCHEMA
+from pixelmill.functions.paths import is_image_suffix, parent_dir, suffix
+from pixelmill.sources.files import BINARY_SCHEMA, local_path, without_scheme
 
 SETTLE = "1 second"  # fixed value: silence after which a group of changes is taken
 
@@ -25,11 +25,12 @@ def watch_folder(
     reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.load(folder.rstrip("/") + "/*").select(
-        F.regexp_replace("path", r"^file:/*", "/").alias("path"),
+    files = reader.load(folder).select(
+        local_path(F.col("path")).alias("path"),
         F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"),
     )
-    files = files.where(is_image_suffix(suffix(F.col("path"))))
+    here = without_scheme(parent_dir(F.col("path"))) == without_scheme(F.lit(folder.rstrip("/")))
+    files = files.where(here & is_image_suffix(suffix(F.col("path"))))
     return files if since is None else files.where(F.col("mtime") > F.lit(since))
 
 

@@ -1,8 +1,6 @@
 """Streams give what the batch forms give."""
 
 import os
-import struct
-import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,20 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import catalog as C, frames as FR, ledger as L
 from pixelmill.streaming import state as ST, watch as W
-
-
-def png(path, pixels):
-    """Writes an 8-bit picture [h, w, 1|3|4] with the standard library."""
-    h, w, n = pixels.shape
-    kind = {1: 0, 3: 2, 4: 6}[n]
-    raw = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
-
-    def chunk(tag, data):
-        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
-
-    with open(path, "wb") as out:
-        out.write(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0))
-                  + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+from tests_util import png
 
 
 def stream_of(spark, df, tmp_path, name, parts, part):
