@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from pixelmill.functions import bind
 from pixelmill.functions.paths import natural_key
 
 
@@ -15,6 +15,17 @@ def natural_sort(df: DataFrame, column: str = "path") -> DataFrame:
     return df.orderBy(natural_key(F.col(column)), F.col(column))
 
 
+def _cut_literal(row: Row | None) -> str:
+    """A cut point as constant SQL: folded once by the optimiser, never parsed per row."""
+    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    pieces, whole = (row["__key"], row["__text"]) if row else ([], "")
+    key = ", ".join(
+        f"named_struct('text', {text(p['text'])}, 'n_digits', {p['n_digits']}, 'digits', {text(p['digits'])})" for p in pieces
+    )
+    typed = f"array({key})" if key else "cast(array() as array<struct<text:string,n_digits:int,digits:string>>)"
+    return f"named_struct('k', {typed}, 't', {text(whole)})"
+
+
 def global_rank(
     df: DataFrame, column: str = "path", name: str = "rank", parts: int = 64, sample: int = 4000
 ) -> DataFrame:
@@ -32,14 +43,11 @@ def global_rank(
         .orderBy("__key", "__text").collect()
     )
     step = max(1, len(picked) // parts)
-    cut_rows = [row.asDict(recursive=True) for row in picked[step::step]]
-    # One folded literal: the keys of the cut points are not computed again per row.
-    cuts = F.from_json(
-        F.lit(json.dumps([{"k": r["__key"], "t": r["__text"]} for r in cut_rows])),
-        "array<struct<k:array<struct<text:string,n_digits:int,digits:string>>,t:string>>",
-    )
+    cuts = F.expr("array(" + ", ".join(_cut_literal(row) for row in picked[step::step]) + ")")
+    if len(picked) <= step:
+        cuts = F.expr(f"slice(array({_cut_literal(None)}), 1, 0)")
     here = F.struct(F.col("__key").alias("k"), F.col(column).alias("t"))
-    placed = keyed.withColumn("__part", F.size(F.filter(cuts, lambda c: c <= here)))
+    placed = keyed.withColumn("__part", bind(here, lambda h: F.size(F.filter(cuts, lambda c: c <= h))))
     # One row per part: at most `parts` + step remainder, whatever the table holds.
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -152,19 +152,15 @@ def blend_tiles(
     )
     left = many & (edge | (F.col("x0") > 0))
     right = many & (edge | (F.col("x0") + F.col("tw") < F.col("w")))
-    blocks = explode_blocks(
-        tiles.withColumn("wy", weight_y).withColumn("left", left).withColumn("right", right)
-        .withColumn("y", F.col("y0") + F.col("ty")),
-        F.col("x0"),
+    weighted = (
+        tiles.withColumn("wy", weight_y)
+        .withColumn("wx", _ramp_row(F.col("tw"), ramp, left, right, inclusive))
+        .withColumn("y", F.col("y0") + F.col("ty"))
     )
+    blocks = explode_blocks(weighted, F.col("x0"), ("v", "wx"))
     sums = []
     for i in range(BLOCK):
-        tx = F.col("b") * BLOCK + i - F.col("x0")
-        inside = (tx >= 0) & (tx < F.col("tw"))
-        w = F.when(
-            inside,
-            side_ramp(tx, F.col("tw"), ramp, F.col("left"), F.col("right"), inclusive) * F.col("wy"),
-        )
+        w = block_value(i, "wx") * F.col("wy")
         sums += [F.sum(block_value(i) * w).alias(f"s{i}"), F.sum(w).alias(f"w{i}")]
     summed = blocks.groupBy("image_id", "c", "y", "w", "h", "b").agg(*sums)
     mean = [
@@ -174,29 +170,51 @@ def blend_tiles(
     return rows_from_blocks(summed.withColumn("v", F.array(*mean)), ["image_id", "c", "y", "h"])
 
 
-def explode_blocks(rows: DataFrame, start: Column) -> DataFrame:
-    """One record per 16-pixel block that `v`, placed at column `start`, touches.
+def _ramp_row(length: Column, ramp: int, start: Column, end: Column, inclusive: bool) -> Column:
+    """Blend weights along a tile row as an array.
+
+    A row longer than its two ramps is put together from constant pieces, without
+    computing anything per pixel; a short one, whose ramps overlap, is computed.
+    """
+    if ramp <= 0:
+        return F.array_repeat(F.lit(1.0), length)
+    steps = max(ramp - 1, 1) if inclusive else ramp
+    rise = [i / steps for i in range(ramp)]
+    flat = F.array_repeat(F.lit(1.0), ramp)
+    pieces = F.concat(
+        F.when(start, F.lit(rise)).otherwise(flat),
+        F.array_repeat(F.lit(1.0), F.greatest(length - 2 * ramp, F.lit(0))),
+        F.when(end, F.lit(rise[::-1])).otherwise(flat),
+    )
+    computed = F.transform(
+        F.sequence(F.lit(0), length - 1), lambda p: side_ramp(p, length, ramp, start, end, inclusive)
+    )
+    return F.when(length >= 2 * ramp, pieces).otherwise(computed)
+
+
+def explode_blocks(rows: DataFrame, start: Column, arrays: tuple[str, ...] = ("v",)) -> DataFrame:
+    """One record per 16-pixel block that `arrays`, placed at column `start`, touch.
 
-    Replaces `v` by the slice that falls into block `b`; `lead` pixels are missing at
-    the slice's left. Slicing comes before the explode, so no record carries the row.
+    Replaces each array by the slice that falls into block `b`; `lead` pixels are
+    missing at the slice's left. Slicing comes before the explode, so no record
+    carries the row.
     """
     first = F.floor(start / BLOCK).cast("int")
-    last = F.floor((start + F.size("v") - 1) / BLOCK).cast("int")
+    last = F.floor((start + F.size(arrays[0]) - 1) / BLOCK).cast("int")
 
     def piece(b: Column) -> Column:
         left = F.greatest(b * BLOCK - start, F.lit(0))
         lead = F.greatest(start - b * BLOCK, F.lit(0))
-        return F.struct(
-            b.alias("b"), lead.alias("lead"), F.slice("v", left + 1, F.lit(BLOCK) - lead).alias("v")
-        )
+        parts = [F.slice(a, left + 1, F.lit(BLOCK) - lead).alias(a) for a in arrays]
+        return F.struct(b.alias("b"), lead.alias("lead"), *parts)
 
-    names = [c for c in rows.columns if c != "v"]
+    names = [c for c in rows.columns if c not in arrays]
     return rows.select(*names, F.inline(F.transform(F.sequence(first, last), piece)))
 
 
-def block_value(i: int) -> Column:
+def block_value(i: int, array: str = "v") -> Column:
     """Pixel i of a block, null where the block has none."""
-    return F.get("v", F.lit(i) - F.col("lead"))
+    return F.get(array, F.lit(i) - F.col("lead"))
 
 
 def rows_from_blocks(blocks: DataFrame, keys: list[str], width: str = "w") -> DataFrame:
