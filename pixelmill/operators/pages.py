@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pixelmill.functions import html as H
+from pixelmill.functions import bind, html as H
 from pixelmill.functions.filters import has_inline_scheme
 from pixelmill.functions.urls import resolve_url, url_filename, url_host
 
@@ -23,53 +23,54 @@ def _present(value: Column) -> Column:
     return F.explode(F.filter(F.array(value), lambda u: u.isNotNull()))
 
 
-def img_candidates(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """Every usable image reference of every page (page_id, url, html), still relative.
+def _elements(html: Column) -> Column:
+    """Elements of a clean page that may hold an image: array of (phase, pos, sub, tag, inside)."""
+    def item(phase: int, pos: Column, sub: Column, tag: Column, inside: Column) -> Column:
+        return F.struct(
+            F.lit(phase).alias("phase"), pos.alias("pos"), sub.alias("sub"), tag.alias("tag"), inside.alias("inside")
+        )
 
-    Phase 1 is `<img>`, phase 2 `<picture>` sources and image-typed `<source>`, phase 3
-    inline background images; `pos`, `sub` is document order inside a phase. A page's
-    tags are exploded from its own row: no shuffle.
-    """
-    clean = pages.select("page_id", F.col("url").alias("page_url"), H.strip_noise(F.col("html")).alias("html"))
-
-    img = clean.select("page_id", "page_url", F.posexplode(H.tags(F.col("html"), "img")).alias("pos", "tag"))
-    img = img.withColumn("attrs", H.attributes(F.col("tag")))
-    best = H.best_srcset(H.attribute(F.col("attrs"), "srcset"))
-    plain = H.lazy_source(F.col("attrs"), strict)
-    width, height = H.image_size(F.col("attrs"))
-    first = img.select(
-        "page_id", "page_url", F.lit(1).alias("phase"), "pos", F.lit(0).alias("sub"),
-        _present(F.when(plain.isNotNull(), F.coalesce(F.nullif(best, F.lit("")), plain))).alias("ref"),
-        width.alias("width"), height.alias("height"),
-        H.truncate_alt(H.attribute(F.col("attrs"), "alt")).alias("alt"),
-    )
+    def sources(block: Column, pos: Column) -> Column:
+        inside = F.lower(F.substring(block, 1, 8)) == "<picture"
+        return F.transform(H.tags(block, "source"), lambda tag, sub: item(2, pos, sub, tag, inside))
 
-    blocks = clean.select(
-        "page_id", "page_url", F.posexplode(H.picture_blocks_and_sources(F.col("html"))).alias("pos", "block")
-    )
-    inside = F.lower(F.substring("block", 1, 8)) == "<picture"
-    sources = blocks.select(
-        "page_id", "page_url", "pos", inside.alias("inside"),
-        F.posexplode(H.tags(F.col("block"), "source")).alias("sub", "tag"),
-    ).withColumn("attrs", H.attributes(F.col("tag")))
-    typed = F.coalesce(H.attribute(F.col("attrs"), "type").contains("image"), F.lit(False))
-    second = sources.where(F.col("inside") | typed).select(
-        "page_id", "page_url", F.lit(2).alias("phase"), "pos", "sub",
-        _present(H.source_element_url(F.col("attrs"))).alias("ref"),
-        F.lit(H.UNKNOWN_SIZE).alias("width"), F.lit(H.UNKNOWN_SIZE).alias("height"), F.lit("").alias("alt"),
+    none, yes = F.lit(0), F.lit(True)
+    return F.concat(
+        F.transform(H.tags(html, "img"), lambda tag, pos: item(1, pos, none, tag, yes)),
+        F.flatten(F.transform(H.picture_blocks_and_sources(html), sources)),
+        F.transform(H.styled_tags(html), lambda tag, pos: item(3, pos, none, tag, yes)),
     )
 
-    styled = clean.select(
-        "page_id", "page_url", F.posexplode(H.styled_tags(F.col("html"))).alias("pos", "tag")
+
+def img_candidates(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """Every usable image reference of every page (page_id, url, html), made absolute.
+
+    Phase 1 is `<img>`, phase 2 `<picture>` sources and image-typed `<source>`, phase 3
+    inline background images; `pos`, `sub` is document order inside a phase. A page is
+    read and cleaned once, and its elements are exploded from its own row: no shuffle.
+    """
+    found = pages.select(
+        "page_id", F.col("url").alias("page_url"), F.inline(bind(H.strip_noise(F.col("html")), _elements))
     ).withColumn("attrs", H.attributes(F.col("tag")))
-    # A laid-out box would need a browser; the tag's own size attributes stand in.
-    third = styled.select(
-        "page_id", "page_url", F.lit(3).alias("phase"), "pos", F.lit(0).alias("sub"),
-        _present(H.background_url(H.attribute(F.col("attrs"), "style"))).alias("ref"),
-        width.alias("width"), height.alias("height"), F.lit("").alias("alt"),
+    attrs, phase = F.col("attrs"), F.col("phase")
+
+    best, plain = H.best_srcset(H.attribute(attrs, "srcset")), H.lazy_source(attrs, strict)
+    image = bind(plain, lambda u: F.when(u.isNotNull(), F.coalesce(F.nullif(best, F.lit("")), u)))
+    typed = F.coalesce(H.attribute(attrs, "type").contains("image"), F.lit(False))
+    ref = (
+        F.when(phase == 1, image)
+        .when(phase == 2, F.when(F.col("inside") | typed, H.source_element_url(attrs)))
+        .otherwise(H.background_url(H.attribute(attrs, "style")))
     )
+    # A laid-out box would need a browser; a styled tag's own size attributes stand in.
+    width, height = H.image_size(attrs)
+    sized = lambda n: F.when(phase == 2, F.lit(H.UNKNOWN_SIZE)).otherwise(n)
+    alt = F.when(phase == 1, H.truncate_alt(H.attribute(attrs, "alt"))).otherwise(F.lit(""))
     return (
-        first.unionByName(second).unionByName(third)
+        found.select(
+            "page_id", "page_url", "phase", "pos", "sub", sized(width).alias("width"),
+            sized(height).alias("height"), alt.alias("alt"), _present(ref).alias("ref"),
+        )
         .withColumn("url", _present(resolve_url(F.col("page_url"), F.col("ref"))))
         .select(*_COLUMNS)
     )
