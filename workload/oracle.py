@@ -267,7 +267,7 @@ add("apply_preset", """
 add("save_delete_preset", """
     SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN c_name ELSE c_name || ',p' END AS after_save, c_name AS after_delete FROM customer""")
 add("recent", """
-    SELECT path, epoch_us(max(used_at)) AS used_us FROM history_v GROUP BY path ORDER BY 2 DESC, path LIMIT 10""")
+    SELECT path, strftime(max(used_at), '%Y-%m-%d %H:%M:%S.%f') AS used_at FROM history_v GROUP BY path ORDER BY 2 DESC, path LIMIT 10""")
 
 # ---- joins -----------------------------------------------------------------------
 

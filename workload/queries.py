@@ -295,7 +295,7 @@ def save_delete_preset(v):
 
 @query
 def recent(v):
-    return O.recent(v.history(), 10).select("path", F.unix_micros("used_at").alias("used_us"))
+    return O.recent(v.history(), 10).select("path", F.date_format("used_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("used_at"))
 
 
 # ---- joins -----------------------------------------------------------------------
