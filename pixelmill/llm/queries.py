@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pixelmill.llm.minhash import op9_minhash_near_dedup
 from pixelmill.llm.quality import op10_quality_rules
 
 QUERIES = {
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 

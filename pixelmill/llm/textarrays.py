@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64, and of its inverse."""
-    def of(base: int) -> np.ndarray:
-        out = np.full(1 << bits, base % (1 << 64), np.uint64)
-        out[0] = 1
-        return np.cumprod(out)
-    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+class Memo(dict):
+    """What a task remembers; it travels to tasks empty."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+
+_POWERS = Memo()
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd base modulo 2^64, and of its inverse."""
+    if n > _POWERS.get("n", 0):
+        size = 1 << max(SLICE_BYTES.bit_length(), n.bit_length())
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            _POWERS[name] = np.full(size, base, np.uint64)
+            _POWERS[name][0] = 1
+            np.cumprod(_POWERS[name], out=_POWERS[name])
+        _POWERS["n"] = size
+    return _POWERS["up"], _POWERS["down"]
 
 
 @dataclass
@@ -54,14 +66,14 @@ class Texts:
     @cached_property
     def sums(self) -> np.ndarray:
         """Prefix sums of byte * base^place: the hash of any part follows from two of them."""
-        pw, _ = _powers(max(21, int(len(self.data) + 1).bit_length()))
+        pw, _ = _powers(len(self.data) + 1)
         out = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * pw[: len(self.data)], out=out[1:])
         return out
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of data[start:end]; equal parts have equal hashes, also in other slices."""
-        _, inverse = _powers(max(21, int(len(self.data) + 1).bit_length()))
+        _, inverse = _powers(len(self.data) + 1)
         return mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
     @cached_property
