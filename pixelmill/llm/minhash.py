@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
         # Members that still differ, without the centers: those have met their whole bucket.
-        left = entries.filter("rep > center").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "center", F.coalesce("component", "rep").alias("component"))
+        left = entries.filter("rep > center").select("bucket", "rep", "center").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "center", F.coalesce("component", "rep").alias("component"))
         mixed = left.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("next"), F.count("*").alias("n")).filter("c0 < c1")
         entries = stage(left.join(mixed, "bucket").select("bucket", "rep", F.col("next").alias("center"), "component"))
         sizes = entries.groupBy("bucket", "component").count().groupBy("bucket").agg(((F.pow(F.sum("count"), 2) - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"), F.sum("count").alias("rows"))
