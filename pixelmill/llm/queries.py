@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pixelmill.llm.minhash import op9_minhash_near_dedup
 from pixelmill.llm.quality import op10_quality_rules
+from pixelmill.llm.repeats import op1_suffix_array_dedup
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
