@@ -5,9 +5,11 @@ from __future__ import annotations
 from pixelmill.llm.minhash import op9_minhash_near_dedup
 from pixelmill.llm.quality import op10_quality_rules
 from pixelmill.llm.repeats import op1_suffix_array_dedup
+from pixelmill.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_toxicity": op2_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -83,17 +83,20 @@ class Texts:
     def lower(self) -> Texts:
         return Texts(_LOWER[self.data], self.offsets)
 
-    @cached_property
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the words; none crosses the end of its text."""
-        solid, inner = self.solid, self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))]
-        before = np.zeros(len(solid), bool)
-        before[1:] = solid[:-1]
+    def runs(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of bytes that the mask holds; none crosses the end of its text."""
+        inner = self.offsets[(self.offsets > 0) & (self.offsets < len(self.data))]
+        before = np.zeros(len(mask), bool)
+        before[1:] = mask[:-1]
         before[inner] = False
-        after = np.zeros(len(solid), bool)
-        after[:-1] = solid[1:]
+        after = np.zeros(len(mask), bool)
+        after[:-1] = mask[1:]
         after[inner - 1] = False
-        return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+        return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.runs(self.solid)
 
     @cached_property
     def first(self) -> np.ndarray:
