@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pixelmill.llm.minhash import op9_minhash_near_dedup
+from pixelmill.llm.packing import op3_best_fit_packing
 from pixelmill.llm.quality import op10_quality_rules
 from pixelmill.llm.repeats import op1_suffix_array_dedup
 from pixelmill.llm.toxicity import op2_toxicity
@@ -10,6 +11,7 @@ from pixelmill.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }

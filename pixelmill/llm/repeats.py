@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from pixelmill.llm.encoding import gather
 from pixelmill.llm.suffixes import common_prefixes, suffix_array
 from pixelmill.llm.textarrays import Texts, mix, slices, texts_of
 
@@ -82,12 +83,6 @@ def _places(size: int):
     return rows
 
 
-def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts data[start:start + length] one after another, and where they begin and end."""
-    edges = np.concatenate([[0], np.cumsum(lengths)])
-    return data[np.repeat(starts - edges[:-1], lengths) + np.arange(edges[-1])], edges
-
-
 def _cuttings(size: int):
     """Rows (key, doc_id, start, n, bytes): the bytes of n strings; null bytes if an equal cutting came earlier."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +106,7 @@ def _cuttings(size: int):
             same[1:] = (body[order][1:] == body[order][:-1]) & (key[order][1:] == key[order][:-1])
             again = np.zeros(len(order), bool)
             again[order] = same
-            data, edges = _gather(texts.data, start, np.where(again, 0, n + size - 1))
+            data, edges = gather(texts.data, start, np.where(again, 0, n + size - 1))
             valid = np.packbits(~again, bitorder="little")
             cut = pa.BinaryArray.from_buffers(pa.binary(), len(again), [pa.py_buffer(valid), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays(
