@@ -5,10 +5,9 @@ coordinate k is the least `_pi(sigma + k)`, so the second permutation, shifted a
 every coordinate. Bands of 4 coordinates make 32 buckets per document: a pair at similarity 0.75
 misses all of them once in 190,000 times, and one at 0.8 once in 10 million.
 
-Work stays linear in hot groups: equal sets are one class from the start; in each bucket the least
-member is compared with the others, found links merge, and only members of different components
-remain to be compared. A bucket with many of those gives its next least member to a further round
-in place of all its pairs, until the pairs left are no more than the bucket entries.
+Equal sets are one class from the start. The members of all buckets that have the same least
+member form a cell. A cell is compared on full sets by blocks of members, so a hot group becomes
+many small tasks, and yields links that join what belongs together, never all pairs.
 
 Null or empty texts, and texts without words, have the empty set: a component each, always kept.
 Rows with equal doc_id are one document. A null doc_id takes no part: null component, kept.
@@ -29,6 +28,8 @@ from pixelmill.llm.textarrays import Texts, mix, repeated, slices, texts_of, win
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
+#: Members of a cell that are compared with as many others in one group.
+BLOCK = 256
 
 
 def shingles(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -121,24 +122,70 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(rows, "doc_id long, shingles binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join all sets which chains of similar sets join: a forest, not all pairs."""
+    size = np.array([len(s) for s in sets])
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    values = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, seen = np.unique(values, return_inverse=True, return_counts=True)
+    shared = seen > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part @ part.T
+    common = both.astype(np.int64)
+    good = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    out, left = [], np.ones(len(sets), bool)
+    for k in range(len(sets)):
+        front = [k] if left[k] else []
+        left[k] = False
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(good[at] & left)
+            left[new] = False
+            out.extend((at, int(j)) for j in new)
+            front.extend(new.tolist())
+    return out
+
+
+def _similar(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within each cell, found on the full sets.
+
+    A cell of many members is split into blocks, and each two blocks meet in a group of their own,
+    so a group has at most two blocks of members whatever the cell.
+    """
+    size = cells.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = (
+        cells.join(size, "center").withColumn("own", own).withColumn("other", other)
+        .select("rep", F.xxhash64("center", F.least("own", "other"), F.greatest("own", "other")).alias("meet"))
+    )
+    met = placed.join(sets, placed["rep"] == sets["doc_id"]).select("meet", "rep", "shingles").repartition("meet").sortWithinPartitions("meet", "rep")
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            pairs = _links([s for _, s in group], percent) if len(group) > 1 else []
+            a, b = ([group[p[k]][0] for p in pairs] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        now, group = None, []
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                least, most = sorted((len(x), len(y)))
-                if 100 * least < percent * most:
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[k] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    # The hot side of a star is joined first, while its rows are two numbers each.
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+            for meet, rep, shingle in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if meet != now and group:
+                    yield done(group)
+                    group = []
+                now = meet
+                group.append((rep, np.frombuffer(shingle.as_py(), np.uint64)))
+        if group:
+            yield done(group)
+
+    return met.mapInArrow(rows, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -152,35 +199,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     entries = members.filter("n_shingles > 0 AND doc_id = rep").select(F.explode("bands").alias("bucket"), "rep").distinct()
     shared = entries.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last").select("bucket", "center")
-    entries = stage(entries.join(shared, "bucket").select("bucket", "rep", "center"))
-    sets = stage(_full_sets(docs, entries.select(F.col("rep").alias("doc_id")).distinct()))
-
-    pairs = stage(entries.filter("rep > center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct())
-    links = tested = None
-    while True:
-        found = stage(_similar(pairs, sets, percent))
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-        # Members that still differ, without the centers: those have met their whole bucket.
-        left = entries.filter("rep > center").select("bucket", "rep", "center").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "center", F.coalesce("component", "rep").alias("component"))
-        mixed = left.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("next"), F.count("*").alias("n")).filter("c0 < c1")
-        entries = stage(left.join(mixed, "bucket").select("bucket", "rep", F.col("next").alias("center"), "component"))
-        sizes = entries.groupBy("bucket", "component").count().groupBy("bucket").agg(((F.pow(F.sum("count"), 2) - F.sum(F.col("count") * F.col("count"))) / 2).alias("pairs"), F.sum("count").alias("rows"))
-        total = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
-        if not total["rows"]:
-            break
-        if last := total["pairs"] <= 4 * total["rows"] + 100_000:
-            other = entries.select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = entries.join(other, "bucket").filter("rep < b AND component <> cb").select(F.col("rep").alias("a"), "b")
-        else:
-            own = entries.filter("rep = center").select("bucket", F.col("component").alias("cb"))
-            pairs = entries.join(own, "bucket").filter("rep > center AND component <> cb").select(F.col("center").alias("a"), F.col("rep").alias("b"))
-        pairs = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        if last:
-            links = links.union(stage(_similar(pairs, sets, percent)))
-            labels = components(links)
-            break
+    # All that share a bucket share its least member's cell, often with many other buckets.
+    cells = stage(entries.join(shared, "bucket").select("center", "rep").distinct())
+    sets = _full_sets(docs, cells.select(F.col("rep").alias("doc_id")).distinct())
+    labels = components(_similar(cells, sets, percent))
     labels = labels.select(F.col("node").alias("rep"), "component")
     return (
         members.select("doc_id", "n_shingles", "rep").join(labels, "rep", "left")
