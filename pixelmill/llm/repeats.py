@@ -187,6 +187,13 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return spans.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
+def _with_spans(docs: DataFrame, size: int) -> DataFrame:
+    """`docs` with the column spans. Rows with an id take the same path to it as in repeated_spans, so their texts are shuffled once."""
+    named = docs.filter("doc_id IS NOT NULL").join(repeated_spans(docs, size), "doc_id", "left").select(*docs.columns, "spans")
+    other = docs.filter("doc_id IS NULL").withColumn("spans", F.lit(None).cast(named.schema["spans"].dataType))
+    return named.unionByName(other)
+
+
 def _merged(spans: pa.Scalar, length: int) -> list[tuple[int, int]]:
     """The maximal removed runs, in order."""
     out: list[tuple[int, int]] = []
@@ -201,9 +208,9 @@ def _merged(spans: pa.Scalar, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, the removed runs and the remaining bytes."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select("doc_id", "text")
     schema = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
     kind = T.StructType.fromDDL(schema)
 
@@ -224,7 +231,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
                 [part.column(0), pa.array(np.diff(texts.offsets)), pa.array(removed, out_type), pa.array(kept, pa.binary())], kind.names,
             )
 
-    return docs.join(repeated_spans(docs, size), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(rows, kind)
+    return _with_spans(docs, size).mapInArrow(rows, kind)
 
 
 def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -257,7 +264,7 @@ def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array(chars).cast(part.schema.field("n_chars").type))
             yield out.filter(pa.array(stay_rows, pa.bool_())).select(columns)
 
-    return docs.join(repeated_spans(docs, size), "doc_id", "left").mapInArrow(rows, docs.schema)
+    return _with_spans(docs, size).mapInArrow(rows, docs.schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
