@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pixelmill.llm.minhash import op9_minhash_near_dedup
+from pixelmill.llm.nearest import OP8_SQL, op8_exact_top_k
 from pixelmill.llm.packing import op3_best_fit_packing
 from pixelmill.llm.quality import op10_quality_rules
 from pixelmill.llm.repeats import op1_suffix_array_dedup
@@ -12,8 +13,11 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op8_exact_top_k": OP8_SQL,
+}
