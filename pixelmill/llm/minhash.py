@@ -119,7 +119,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [np.sort(what[cut[k] : cut[k + 1]]).tobytes() for k in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(rows, "doc_id long, shingles binary")
+    # The same join at every size: the wanted ids grow with the corpus.
+    return docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(rows, "doc_id long, shingles binary")
 
 
 def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
