@@ -5,6 +5,7 @@ from __future__ import annotations
 from pixelmill.llm.minhash import op9_minhash_near_dedup
 from pixelmill.llm.nearest import OP8_SQL, op8_exact_top_k
 from pixelmill.llm.packing import op3_best_fit_packing
+from pixelmill.llm.passages import op5_substring_dedup
 from pixelmill.llm.quality import op10_quality_rules
 from pixelmill.llm.repeats import op1_suffix_array_dedup
 from pixelmill.llm.suffix_tree import op6_lm_scoring
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_top_k": op8_exact_top_k,
