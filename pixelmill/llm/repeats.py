@@ -189,10 +189,11 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return spans.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _with_spans(docs: DataFrame, size: int) -> DataFrame:
-    """`docs` with the column spans. Rows with an id take the same path to it as in repeated_spans, so their texts are shuffled once."""
-    named = docs.filter("doc_id IS NOT NULL").join(repeated_spans(docs, size), "doc_id", "left").select(*docs.columns, "spans")
-    other = docs.filter("doc_id IS NULL").withColumn("spans", F.lit(None).cast(named.schema["spans"].dataType))
+def _with_spans(docs: DataFrame, size: int, name: str = "spans") -> DataFrame:
+    """`docs` with its spans in the column `name`. Rows with an id take the same path to it as in repeated_spans, so their texts are shuffled once."""
+    spans = repeated_spans(docs, size).withColumnRenamed("spans", name)
+    named = docs.filter("doc_id IS NOT NULL").join(spans, "doc_id", "left").select(*docs.columns, name)
+    other = docs.filter("doc_id IS NULL").withColumn(name, F.lit(None).cast(named.schema[name].dataType))
     return named.unionByName(other)
 
 
@@ -242,12 +243,14 @@ def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     A character goes only if all its bytes do, so that texts stay valid. Texts left blank go with
     their rows; null texts stay.
     """
-    columns = docs.columns
+    columns, name = docs.columns, "spans"
+    while name in columns:
+        name += "_"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
             texts, stay_rows, new, chars = texts_of(part.column("text")), [], [], []
-            for k, spans in enumerate(part.column("spans")):
+            for k, spans in enumerate(part.column(name)):
                 raw = texts.data[texts.offsets[k] : texts.offsets[k + 1]]
                 runs = _merged(spans, len(raw))
                 head = (raw & 0xC0) != 0x80
@@ -266,7 +269,7 @@ def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 out = out.set_column(out.schema.get_field_index("n_chars"), "n_chars", pa.array(chars).cast(part.schema.field("n_chars").type))
             yield out.filter(pa.array(stay_rows, pa.bool_())).select(columns)
 
-    return _with_spans(docs, size).mapInArrow(rows, docs.schema)
+    return _with_spans(docs, size, name).mapInArrow(rows, docs.schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
