@@ -129,6 +129,7 @@ class _Group:
             score = (self.matrix.astype(float) @ x.astype(float).T).astype(np.int64)
         else:
             score = self.matrix @ x.T
+        score[ids[None, :] == self.own[:, None]] = np.iinfo(np.int64).min
         query, score_now, _ = self.hits
         worst = np.full(len(self.own), np.iinfo(np.int64).min)
         full = np.bincount(query, minlength=len(self.own)) == self.k
@@ -148,7 +149,7 @@ class _Group:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows (vec_id, embedding) for which `is_query` holds, against all other rows."""
     spark = vectors.sparkSession
-    v = vectors.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).filter("v IS NOT NULL AND vec_id IS NOT NULL")
+    v = vectors.select("vec_id", whole_numbers(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).filter("v IS NOT NULL AND vec_id IS NOT NULL").distinct()
     sample = v.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
     cells = choose_pivots([np.array(r["v"], float) for r in sample])
     placed = stage(_assigned(v, cells))
