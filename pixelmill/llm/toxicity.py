@@ -17,12 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from pixelmill.llm.tables import stage
 from pixelmill.llm.textarrays import Texts, mix, slices, texts_of
 
-#: Labelled documents that the fit may read; it holds about 8 bytes a word of them on the driver.
-FIT_ROWS = 8_000
+#: Labelled documents that the fit may read; the driver gets the places of their telling features only.
+FIT_ROWS = 20_000
 THRESHOLD = 0.3
 #: Bytes of a word's beginning that count as a feature of their own.
 BEGINNING = 4
@@ -89,36 +91,25 @@ class ToxicModel:
         return noisy_or(p, owner, len(texts), float(_sigmoid(np.array(self.bias))))
 
 
-def telling(pairs: np.ndarray, label: np.ndarray, n_keys: int, least: int = 5, strength: float = 18.0) -> np.ndarray:
-    """Which features are in at least `least` documents and commoner in toxic ones beyond chance.
+def telling(counts: DataFrame, n_toxic: int, n_clean: int, least: int = 5, strength: float = 18.0) -> DataFrame:
+    """The features of (key, toxic, clean) in at least `least` documents and commoner in toxic ones beyond chance.
 
-    `pairs` holds key * documents + document, once each. The test is a likelihood ratio; 18 is
-    reached by chance once in 45,000 features.
+    The test is a likelihood ratio; 18 is reached by chance once in 45,000 features.
     """
-    key, doc = pairs // len(label), pairs % len(label)
-    toxic = np.bincount(key, label[doc] == 1, minlength=n_keys)
-    clean = np.bincount(key, label[doc] == 0, minlength=n_keys)
-    n1, n0 = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
-    rate = (toxic + clean) / (n1 + n0)
-    part = lambda seen, n: seen * np.log(np.maximum(seen, 1e-9) / (n * rate)) + (n - seen) * np.log(np.maximum(n - seen, 1e-9) / np.maximum(n * (1 - rate), 1e-9))
-    ratio = 2 * (part(toxic, n1) + part(clean, n0))
-    return (toxic + clean >= least) & (ratio >= strength) & (toxic / n1 > clean / n0)
-
-
-def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 0.1, shrink: float = 1e-4) -> ToxicModel:
-    """Gradient steps (Adam) on the documents' log loss through the noisy-or.
-
-    feature, sentence: hashes and the sentence each is in; owner: the document of each sentence;
-    label: 0 or 1 for each document. Only telling features get a weight; the others would let the
-    model learn its documents by heart.
+    n1, n0 = float(max(1, n_toxic)), float(max(1, n_clean))
+    rate = (F.col("toxic") + F.col("clean")) / (n1 + n0)
+    part = lambda seen, n: seen * F.log(F.greatest(seen, F.lit(1e-9)) / (n * rate)) + (n - seen) * F.log(F.greatest(n - seen, F.lit(1e-9)) / F.greatest(n * (1 - rate), F.lit(1e-9)))
+    ratio = 2 * (part(F.col("toxic").cast("double"), n1) + part(F.col("clean").cast("double"), n0))
+    return counts.filter((F.col("toxic") + F.col("clean") >= least) & (F.col("toxic") / n1 > F.col("clean") / n0) & (ratio >= strength))
+
+
+def train(n_keys: int, which: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, rounds: int = 300, rate: float = 0.1, shrink: float = 1e-4) -> np.ndarray:
+    """Gradient steps (Adam) on the documents' log loss through the noisy-or; the weights, then the bias.
+
+    which, sentence: number of a feature and the sentence it is in; owner: the document of each
+    sentence; label: 0 or 1 for each document.
     """
-    if not len(label):
-        return ToxicModel(-3.0, np.zeros(0, np.uint64), np.zeros(0))
-    keys, which = np.unique(feature, return_inverse=True)
-    use = telling(np.unique(which.astype(np.int64) * len(label) + owner[sentence]), label, len(keys))
-    keys, inside = keys[use], use[which]
-    sentence, which = sentence[inside], (np.cumsum(use) - 1)[which[inside]]
-    theta = np.zeros(len(keys) + 1)
+    theta = np.zeros(n_keys + 1)
     theta[-1] = -6.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     n = len(owner)
@@ -127,11 +118,11 @@ def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: n
         doc = np.clip(noisy_or(p, owner, len(label), 0.5), 1e-9, 1 - 1e-9)
         # d loss / d z of a sentence: p for a clean document, -p (1 - doc) / doc for a toxic one.
         slope = p * np.where(label == 1, -(1 - doc) / doc, 1.0)[owner]
-        grad = np.append(np.bincount(which, slope[sentence], minlength=len(keys)), slope.sum()) / len(label)
+        grad = np.append(np.bincount(which, slope[sentence], minlength=n_keys), slope.sum()) / len(label)
         grad[:-1] += shrink * theta[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-7)
-    return ToxicModel(float(theta[-1]), keys, theta[:-1])
+    return theta
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,32 +131,55 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicModel:
     """Trains on at most `rows` labelled documents outside the held-out quarter, chosen by hash."""
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` rows of two numbers: a bounded broadcast, so that no text is shuffled.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id")
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text"))
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if not size:
+        return ToxicModel(-3.0, np.zeros(0, np.uint64), np.zeros(0))
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many toxic and clean documents of a slice each feature is."""
         for part in slices(batches, "text"):
-            texts = texts_of(part.column(1))
+            texts, label = texts_of(part.column(2)), part.column(1).to_numpy()
             _, _, owner = sentences(texts)
             of, hashes = features(texts)
-            cut = np.searchsorted(owner[of] if len(of) else owner[:0], np.arange(len(texts) + 1))
-            rows = [(of[a:b] - (of[a] if b > a else 0)).astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])]
-            codes = [hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(0).cast(pa.int32()), pa.array(rows, pa.binary()), pa.array(codes, pa.binary())], ["doc_id", "toxic", "sentence", "codes"])
-
-    drawn = sample.mapInArrow(words, "doc_id long, toxic int, sentence binary, codes binary").toArrow().sort_by("doc_id").combine_chunks()
-    label = drawn.column("toxic").to_numpy()
-    feature, sentence, owner, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for k, (places, codes) in enumerate(zip(drawn.column("sentence"), drawn.column("codes"), strict=True)):
-        place = np.frombuffer(places.as_buffer(), np.int32)
-        many = int(place[-1]) + 1 if len(place) else 1
-        feature.append(np.frombuffer(codes.as_buffer(), np.uint64))
-        sentence.append(np.repeat(place, 2).astype(np.int64) + n)
-        owner.append(np.full(many, k))
-        n += many
-    return train(np.concatenate(feature), np.concatenate(sentence), np.concatenate(owner), label)
+            doc = np.repeat(owner[of] if len(of) else of, hashes.shape[1])
+            keys, which = np.unique(hashes.ravel(), return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * len(texts) + doc)
+            toxic = label[pairs % len(texts)] == 1
+            counts = (np.bincount(pairs // len(texts), x, minlength=len(keys)).astype(np.int64) for x in (toxic, ~toxic))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], ["key", "toxic", "clean"])
+
+    counts = sample.mapInArrow(seen, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # Each of them is in 5 documents of the sample at least.
+    keys = np.sort(telling(counts, size.get(1, 0), size.get(0, 0)).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The telling features of each document by sentence."""
+        for part in slices(batches, "text"):
+            texts = texts_of(part.column(2))
+            _, _, owner = sentences(texts)
+            of, hashes = features(texts)
+            at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
+            hit = keys[at] == hashes if len(keys) else np.zeros(hashes.shape, bool)
+            word, side = np.nonzero(hit)
+            many = np.bincount(owner, minlength=len(texts))
+            doc = owner[of[word]]
+            inside = of[word] - (np.cumsum(many) - many)[doc]
+            cut = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(many.astype(np.int64)), pa.ListArray.from_arrays(cut, pa.array(inside)), pa.ListArray.from_arrays(cut, pa.array(at[word, side]))],
+                ["doc_id", "toxic", "sentences", "inside", "which"],
+            )
+
+    drawn = sample.mapInArrow(places, "doc_id long, toxic int, sentences long, inside array<long>, which array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    label, many = drawn.column("toxic").to_numpy(), np.maximum(drawn.column("sentences").to_numpy(), 1)
+    inside, which = (drawn.column(c).combine_chunks().flatten().to_numpy() for c in ("inside", "which"))
+    first = np.repeat(np.cumsum(many) - many, pc.list_value_length(drawn.column("which")).to_numpy())
+    theta = train(len(keys), which, inside + first, np.repeat(np.arange(len(many)), many), label)
+    return ToxicModel(float(theta[-1]), keys, theta[:-1])
 
 
 def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
