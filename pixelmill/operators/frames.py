@@ -138,10 +138,3 @@ def flat_rows(rasters: DataFrame) -> DataFrame:
         .withColumn("g", F.coalesce("g", "r"))
         .withColumn("b", F.coalesce("b", "r"))
     )
-
-
-def durations_on(results: DataFrame, merged: DataFrame, frame: Column) -> DataFrame:
-    """Puts the merged durations on the processed frames."""
-    return results.withColumn("frame_no", frame).join(
-        merged.select("anim_id", "frame_no", "duration_ms"), ["anim_id", "frame_no"]
-    )

@@ -11,10 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 # A model maps float32 [N, 3, H, W] in [0, 1] to [N, 3, H * scale, W * scale].
 Model = Callable[[np.ndarray], np.ndarray]
 
-_OUT = (
-    "image_id long, c int, w int, h int, tile_no int, x0 int, y0 int, tw int, th int, "
-    "ty int, v array<double>"
-)
+_OUT = "c int, w int, h int, tile_no int, x0 int, y0 int, tw int, th int, ty int, v array<double>"
+_SMALL = ("tile_no", "grp", "w", "h", "x0", "y0", "tw", "th", "planes")
 
 
 def _whole_tiles(tiles: DataFrame) -> DataFrame:
@@ -27,7 +25,7 @@ def _whole_tiles(tiles: DataFrame) -> DataFrame:
         .groupBy("image_id", "tile_no", "grp", "w", "h", "x0", "y0", "tw", "th")
         .agg(F.array_sort(F.collect_list(F.struct("c", "ty", "v"))).alias("rows"))
         .withColumn("planes", (F.size("rows") / F.col("th")).cast("int"))
-        .withColumn("data", F.flatten(F.transform("rows", lambda r: r["v"])))
+        .withColumn("data", F.flatten(F.transform("rows", lambda r: r["v"])).cast("array<float>"))
         .drop("rows")
     )
 
@@ -47,7 +45,8 @@ def infer_tiles(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
         for record in batches:
-            table = record.to_pydict()
+            # Only the few numbers of a tile become Python objects; its pixels stay in their buffer.
+            table = {name: record.column(name).to_pylist() for name in _SMALL}
             shapes: dict[tuple[int, int, int], list[int]] = {}
             for i, shape in enumerate(zip(table["planes"], table["th"], table["tw"])):
                 shapes.setdefault(shape, []).append(i)
@@ -57,25 +56,25 @@ def infer_tiles(
                     part = members[start:start + batch]
                     stack = np.stack([
                         data[i].values.to_numpy(zero_copy_only=False).reshape(planes, th, tw) for i in part
-                    ]).astype(np.float32)
+                    ])
                     if planes == 1:
                         stack = np.repeat(stack, 3, axis=1)
                     pad_h, pad_w = -th % pad_to, -tw % pad_to
                     stack = np.pad(stack, ((0, 0), (0, 0), (0, pad_h), (0, pad_w)), mode="reflect")
                     result = np.asarray(model(stack), dtype=np.float64)
                     result = np.clip(result[:, :planes, :th * scale, :tw * scale], 0.0, 1.0)
-                    yield _as_rows(table, part, result, scale)
+                    yield _as_rows(table, record.column("image_id"), part, result, scale)
 
-    return _whole_tiles(tiles).mapInArrow(run, _OUT)
+    return _whole_tiles(tiles).mapInArrow(run, f"image_id {dict(tiles.dtypes)['image_id']}, {_OUT}")
 
 
-def _as_rows(table: dict, part: list[int], result: np.ndarray, scale: int) -> pa.RecordBatch:
+def _as_rows(table: dict, ids: pa.Array, part: list[int], result: np.ndarray, scale: int) -> pa.RecordBatch:
     n, planes, height, width = result.shape
     per_tile = planes * height
     repeat = lambda name, k: np.repeat(np.array([table[name][i] for i in part]) * k, per_tile)
     first = np.repeat(np.array([3 * table["grp"][i] for i in part]), per_tile)
     columns = {
-        "image_id": pa.array(repeat("image_id", 1), pa.int64()),
+        "image_id": ids.take(pa.array(np.repeat(part, per_tile))),
         "c": pa.array(first + np.tile(np.repeat(np.arange(planes), height), n), pa.int32()),
     }
     for name in ("w", "h"):

@@ -6,14 +6,16 @@ reason, elapsed_s, ts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pixelmill.functions.filters import two_decimals
 from pixelmill.functions.paths import base_name, format_hms
-from .skew import CHUNK, ordered
+from .skew import CHUNK, ordered, same
 
 SMOOTHING = 0.3  # fixed value: weight of the newest duration
-SMOOTHING_ROWS = 128  # 0.7 ** 128 is about 1e-20: older rows cannot be seen in a double
 
 
 def resume(assets: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -64,43 +66,86 @@ def running_progress(ledger: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def _recursion(n_keys: int, alpha: float):
+    """Adds place and average within each run of equal first columns; the value is the column after them.
+
+    The average starts from 0, so that what came before can be added later.
+    """
+    keep = 1.0 - alpha
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, e, n = None, 0.0, 0
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(n_keys)), strict=True)
+            places, averages = [], []
+            for key, x in zip(keys, batch.column(n_keys).to_pylist(), strict=True):
+                if key != now:
+                    now, e, n = key, 0.0, 0
+                e, n = keep * e + alpha * x, n + 1
+                places.append(n)
+                averages.append(e)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(places, pa.int64()), pa.array(averages, pa.float64())],
+                [*batch.schema.names, "__r", "__local"],
+            )
+
+    return run
+
+
+def _compose(n_keys: int, keep: float):
+    """What each chunk gets from those before it: an average e becomes keep ** n * e + end over a chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, e = None, 0.0
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(n_keys)), strict=True)
+            carried = []
+            rest = (batch.column(k).to_pylist() for k in range(n_keys + 1, n_keys + 4))
+            for key, start, end, n in zip(keys, *rest, strict=True):
+                if key != now:
+                    now, e = key, start
+                carried.append(e)
+                e = keep**n * e + end
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: n_keys + 1], pa.array(carried, pa.float64())],
+                [*batch.schema.names[: n_keys + 1], "__carry"],
+            )
+
+    return run
+
+
 def ema(
     df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, alpha: float = SMOOTHING,
     name: str = "ema",
 ) -> DataFrame:
     """Exponential moving average over positive values, starting at the first one.
 
-    Values that are not positive are left out. Inside a chunk a window of 128 rows is
-    the full recursion to double precision. The average at a chunk's end is passed on
-    through one row per chunk and fades by the number of rows since, so a long key is
-    cut wherever `chunk` says, with the same result.
+    Values that are null or not positive are left out; null keys are one key, null
+    chunks come first. Every row runs through the exact recursion once, within its
+    chunk. Over a whole chunk the recursion is a linear step, so one row per chunk
+    carries the average on, and a long key is cut wherever `chunk` says (it must not
+    decrease along the order) with the same result for every `alpha`.
     """
     keep = 1.0 - alpha
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    near = inner.rowsBetween(-(SMOOTHING_ROWS - 1), 0)
-    local = (
-        df.where(F.col(value) > 0)
-        .withColumn(CHUNK, chunk.cast("bigint"))
-        .withColumn("__r", F.row_number().over(inner))
-        .withColumn("__local", F.aggregate(
-            F.collect_list(value).over(near), F.lit(0.0), lambda e, x: e * keep + x * alpha
-        ))
-    )
-    ends = local.groupBy(*keys, CHUNK).agg(
-        F.max_by("__local", "__r").alias("end"), F.max("__r").alias("n"),
-        F.min_by(value, "__r").alias("start"),
+    joint = [*keys, CHUNK]
+    rest = [c for c in df.columns if c not in keys and c != value]
+    cut = (
+        df.where(F.col(value) > 0).withColumn(CHUNK, chunk.cast("bigint"))
+        .select(*joint, F.col(value).cast("double").alias(value), *rest)
     )
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    before = F.collect_list(F.struct("end", "n")).over(across.rowsBetween(-SMOOTHING_ROWS, -1))
-    first = F.first("start").over(across.rowsBetween(Window.unboundedPreceding, 0))
-    carried = ends.select(
-        *keys, CHUNK,
-        F.aggregate(before, first, lambda e, s: s["end"] + F.pow(F.lit(keep), s["n"]) * e).alias("__carry"),
+    met = cut.repartition(*joint).sortWithinPartitions(*joint, *order)
+    added = [T.StructField("__r", T.LongType()), T.StructField("__local", T.DoubleType())]
+    local = met.mapInArrow(_recursion(len(joint), alpha), T.StructType([*met.schema, *added]))
+    ends = local.groupBy(*joint).agg(
+        F.min_by(value, "__r").alias("start"), F.max_by("__local", "__r").alias("end"), F.max("__r").alias("n")
     )
+    chunks = ends.repartition(*keys).sortWithinPartitions(*joint)
+    carried = chunks.mapInArrow(
+        _compose(len(keys), keep), T.StructType([*(chunks.schema[k] for k in joint), T.StructField("__carry", T.DoubleType())])
+    ).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(joint)], "__carry")
     return (
-        local.join(carried, [*keys, CHUNK])
+        local.join(carried, [same(k, f"__k{i}") for i, k in enumerate(joint)])
         .withColumn(name, F.col("__local") + F.pow(F.lit(keep), F.col("__r")) * F.col("__carry"))
-        .drop(CHUNK, "__r", "__local", "__carry")
+        .select(*df.columns, name)
     )
 
 

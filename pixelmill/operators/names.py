@@ -30,7 +30,7 @@ def _taken_numbers(names: DataFrame) -> DataFrame:
 
 
 def unique_names(
-    planned: DataFrame, existing: DataFrame, order: Sequence[str], chunk: Column, hot_rows: int = 1_000_000
+    planned: DataFrame, existing: DataFrame, order: Sequence[str], chunk: Column
 ) -> DataFrame:
     """Gives every planned output (dir, base, ext) a free `name`, in `order`.
 
@@ -58,7 +58,7 @@ def unique_names(
 
     plain = present.withColumn("plain_taken", F.lit(True))
     wanted = (
-        rank_within(planned, _NAME, order, chunk, "k", hot_rows)
+        rank_within(planned, _NAME, order, chunk, "k")
         .withColumn("name", F.concat("base", "ext"))
         .join(plain, ["dir", "name"], "left")
         # 0 is the plain name, i >= 1 the i-th free number.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pixelmill.functions import bind
 from pixelmill.functions.paths import natural_key
@@ -15,40 +15,45 @@ def natural_sort(df: DataFrame, column: str = "path") -> DataFrame:
     return df.orderBy(natural_key(F.col(column)), F.col(column))
 
 
-def _cut_literal(row: Row | None) -> str:
-    """A cut point as constant SQL: folded once by the optimiser, never parsed per row."""
-    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    pieces, whole = (row["__key"], row["__text"]) if row else ([], "")
-    key = ", ".join(
-        f"named_struct('text', {text(p['text'])}, 'n_digits', {p['n_digits']}, 'digits', {text(p['digits'])})" for p in pieces
+_GROUP = 64
+
+
+def _cut_points(keyed: DataFrame, column: str, every: int, most: int) -> DataFrame:
+    """One row: sorted cut points in groups of 64, with the first of each group apart."""
+    here = F.struct(F.col("__key").alias("k"), F.col(column).alias("t"))
+    chosen = (
+        keyed.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0)
+        .select(here.alias("c"), F.xxhash64(F.lit(1), column).alias("h")).orderBy("h").limit(most)
+        .agg(F.array_sort(F.collect_list("c")).alias("s"))
     )
-    typed = f"array({key})" if key else "cast(array() as array<struct<text:string,n_digits:int,digits:string>>)"
-    return f"named_struct('k', {typed}, 't', {text(whole)})"
+    group = F.filter(F.sequence(F.lit(0), F.lit(most // _GROUP)), lambda i: i * _GROUP < F.size("s"))
+    return chosen.select(F.lit(1).alias("__one"), F.struct(
+        F.transform(group, lambda i: F.element_at("s", i * _GROUP + 1)).alias("heads"),
+        F.transform(group, lambda i: F.slice("s", i * _GROUP + 1, _GROUP)).alias("groups"),
+    ).alias("__cuts"))
 
 
-def global_rank(
-    df: DataFrame, column: str = "path", name: str = "rank", parts: int = 64, sample: int = 4000
-) -> DataFrame:
+def global_rank(df: DataFrame, column: str = "path", name: str = "rank", every: int = 1000, most: int = 4096) -> DataFrame:
     """Exact 0-based position in the natural order of distinct texts, without one big task.
 
-    Cut points come from a bounded sample (the texts with the smallest hashes), read
-    eagerly. Rows are counted per part, and a row's rank is the count of the parts
-    before plus its position inside its part. The cut points only balance the work:
-    any choice gives the same ranks.
+    One text in `every` is a cut point, chosen by hash inside the plan, up to `most` of
+    them (the list is in every task). Rows are counted per part, and a row's rank is the count of
+    the parts before plus its position inside its part. The cut points only balance
+    the work: any choice gives the same ranks.
     """
     keyed = df.withColumn("__key", natural_key(F.col(column)))
-    picked = (
-        keyed.select("__key", F.col(column).alias("__text"))
-        .orderBy(F.xxhash64("__text"), "__text").limit(sample)
-        .orderBy("__key", "__text").collect()
-    )
-    step = max(1, len(picked) // parts)
-    cuts = F.expr("array(" + ", ".join(_cut_literal(row) for row in picked[step::step]) + ")")
-    if len(picked) <= step:
-        cuts = F.expr(f"slice(array({_cut_literal(None)}), 1, 0)")
     here = F.struct(F.col("__key").alias("k"), F.col(column).alias("t"))
-    placed = keyed.withColumn("__part", bind(here, lambda h: F.size(F.filter(cuts, lambda c: c <= h))))
-    # One row per part: at most `parts` + step remainder, whatever the table holds.
+    both = F.struct(here.alias("here"), F.col("__cuts").alias("cuts"))
+
+    def part(row: Column) -> Column:
+        reached = lambda cuts: F.size(F.filter(cuts, lambda c: c <= row["here"]))
+        group = reached(row["cuts"]["heads"])
+        return F.when(group == 0, 0).otherwise((group - 1) * _GROUP + reached(F.get(row["cuts"]["groups"], group - 1)))
+
+    # One row of cut points, beside every row only while its part is found.
+    beside = keyed.withColumn("__one", F.lit(1)).join(F.broadcast(_cut_points(keyed, column, every, most)), "__one")
+    placed = beside.withColumn("__part", bind(both, part)).drop("__one", "__cuts")
+    # One row per part: `most` + 1 at most, whatever the table holds.
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
@@ -65,10 +70,11 @@ def resume_from(df: DataFrame, index: int, column: str = "path") -> DataFrame:
     return global_rank(df, column, "__rank").where(F.col("__rank") >= index).drop("__rank")
 
 
-def largest_first(page_images: DataFrame) -> DataFrame:
-    """Page images by area, largest first; equal areas keep phase and document order."""
+def largest_first(page_images: DataFrame, name: str = "rank") -> DataFrame:
+    """Adds each image's 1-based place on its page: by area, largest first; equal areas keep phase and document order."""
     area = F.col("width").cast("bigint") * F.col("height").cast("bigint")
-    return page_images.orderBy("page_id", area.desc(), "phase", "pos", "sub")
+    page = Window.partitionBy("page_id").orderBy(area.desc(), "phase", "pos", "sub")
+    return page_images.withColumn(name, F.row_number().over(page))
 
 
 def recent(history: DataFrame, n: int = 10, key: str = "path", at: str = "used_at") -> DataFrame:

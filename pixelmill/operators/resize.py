@@ -140,9 +140,7 @@ def _offsets(lengths: list[int]) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
-_BATCH_SCHEMA = (
-    "image_id long, c int, w int, h int, v array<double>, taps array<struct<o:int,wt:double>>"
-)
+_BATCH_SCHEMA = "c int, w int, h int, v array<double>, taps array<struct<o:int,wt:double>>"
 
 
 def resize(
@@ -161,7 +159,7 @@ def resize(
         .select("image_id", "c", "y", "h", "v", "new_w", "new_h")
     )
     spread = (
-        sized.mapInArrow(_resize_batches(KERNELS[kernel]), _BATCH_SCHEMA)
+        sized.mapInArrow(_resize_batches(KERNELS[kernel]), f"image_id {dict(rasters.dtypes)['image_id']}, {_BATCH_SCHEMA}")
         .transform(lambda d: explode_blocks(d, F.lit(0)))
         .select("image_id", "c", "w", "h", "b", "lead", "v", F.inline("taps").alias("y", "wt"))
     )

@@ -118,7 +118,7 @@ def _band_function(radius: int, kernel: Callable[[At], np.ndarray]) -> Callable[
         result = kernel(lambda dy, dx: np.repeat(at(dy, dx), 3, axis=0))[:1] if planes == 1 else kernel(at)
         n = planes * len(core)
         return pa.table({
-            "image_id": pa.array(np.full(n, table.column("image_id")[0].as_py()), pa.int64()),
+            "image_id": pa.array([table.column("image_id")[0].as_py()] * n, table.schema.field("image_id").type),
             "c": pa.array(np.repeat(np.unique(channels), len(core)), pa.int32()),
             "y": pa.array(np.tile(core, planes), pa.int32()),
             "h": pa.array(np.full(n, height), pa.int32()),
@@ -143,7 +143,7 @@ def _by_band(
     spread = colour.select("image_id", "c", "y", "h", "v", F.explode(bands).alias("band"))
     keys = ["image_id", "band"] + (["c"] if split_channels else [])
     sharp = spread.groupBy(*keys).applyInArrow(
-        _band_function(radius, kernel), "image_id long, c int, y int, h int, v array<double>"
+        _band_function(radius, kernel), f"image_id {dict(rasters.dtypes)['image_id']}, c int, y int, h int, v array<double>"
     )
     return sharp.unionByName(alpha.select("image_id", "c", "y", "h", "v"))
 

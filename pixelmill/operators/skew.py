@@ -14,24 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK = "__chunk"
 
 
-def chunk_hot_keys(
-    df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int = 1_000_000
-) -> DataFrame:
-    """Adds the chunk column: `chunk` for keys with more than `hot_rows` rows, else 0.
-
-    At most rows/hot_rows keys can be hot, so the list of them stays small; the
-    engine decides from its real size whether to broadcast it.
-    """
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    return (
-        df.join(hot, list(keys), "left")
-        .withColumn(CHUNK, F.when(F.col("__hot"), chunk.cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-        .drop("__hot")
-    )
+def same(left: str, right: str) -> Column:
+    """Equality for which null equals null."""
+    return F.col(left).eqNullSafe(F.col(right))
 
 
 def ordered(
@@ -43,8 +28,9 @@ def ordered(
 ) -> DataFrame:
     """Running sums and previous values per key over `order`, chunk by chunk.
 
-    `df` carries the chunk column, which must not decrease along the order, and
-    `order` must be total within a key (or its ties be interchangeable).
+    `df` carries the chunk column, which must not decrease along the order (nulls
+    first, as in the order), and `order` must be total within a key (or its ties be
+    interchangeable). Rows with null keys are one key.
     `sums`: name -> column, running total including the row itself.
     `previous`: name -> column name, its value on the row before; null on the first.
     """
@@ -68,45 +54,28 @@ def ordered(
     per_chunk = df.groupBy(*keys, CHUNK).agg(*totals)
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
+    joint = [*keys, CHUNK]
     carried = per_chunk.select(
-        *keys, CHUNK,
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(joint)],
         *[F.sum(f"__sum_{n}").over(before).alias(f"__before_{n}") for n in sums],
         *[F.lag(f"__last_{n}").over(across).alias(f"__prev_{n}") for n in previous],
     ).where(F.greatest(*[F.col(f"__before_{n}").isNotNull() for n in sums],
                        *[F.col(f"__prev_{n}").isNotNull() for n in previous], F.lit(False)))
 
-    joined = local.join(carried, [*keys, CHUNK], "left")
+    joined = local.join(carried, [same(k, f"__k{i}") for i, k in enumerate(joint)], "left")
     for name in sums:
         joined = joined.withColumn(name, F.col(name) + F.coalesce(F.col(f"__before_{name}"), F.lit(0)))
     for name in previous:
         joined = joined.withColumn(
             name, F.when(F.col("__first"), F.col(f"__prev_{name}")).otherwise(F.col(name))
         )
-    spare = [f"__before_{n}" for n in sums] + [f"__prev_{n}" for n in previous]
+    spare = [f"__before_{n}" for n in sums] + [f"__prev_{n}" for n in previous] + [f"__k{i}" for i in range(len(joint))]
     return joined.drop(*spare, "__first", CHUNK)
 
 
-def rank_within(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
-    name: str = "rank", hot_rows: int = 1_000_000,
-) -> DataFrame:
-    """0-based position of every row inside its key, hot keys cut by `chunk`."""
-    split = chunk_hot_keys(df, keys, chunk, hot_rows)
-    counted = ordered(split, keys, order, sums={name: F.lit(1).cast("bigint")})
-    return counted.withColumn(name, F.col(name) - 1)
-
-
-def attach(
-    rows: DataFrame, facts: DataFrame, key: str, spread: Column, how: str = "inner", salt: int = 32
-) -> DataFrame:
-    """Joins one fact row per key to many rows of that key, spread over `salt` parts.
-
-    A key that holds a large share of `rows` is shared by `salt` tasks; the price is
-    `salt` copies of the facts, which have one row per key.
-    """
-    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return (
-        rows.withColumn("__salt", F.pmod(spread, F.lit(salt)).cast("int"))
-        .join(salted, [key, "__salt"], how)
-        .drop("__salt")
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str = "rank") -> DataFrame:
+    """0-based position of every row inside its key; `chunk` must not decrease along the order."""
+    counted = ordered(
+        df.withColumn(CHUNK, chunk.cast("bigint")), keys, order, sums={name: F.lit(1).cast("bigint")}
     )
+    return counted.withColumn(name, F.col(name) - 1)

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pixelmill.functions.pixels import mirror, side_ramp
-from .skew import attach
 
 ALIGNMENT = 64  # fixed value: tile sides are cut to a multiple of this
 BLOCK = 16  # pixels summed together in one aggregation row
@@ -306,12 +305,15 @@ def clamp_rois(rois: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def crop(rasters: DataFrame, rois: DataFrame) -> DataFrame:
-    """Cuts one clamped rectangle out of each picture; rows of a picture are salted."""
+    """Cuts one clamped rectangle out of each picture.
+
+    The engine splits a picture that holds a large share of the rows (skewed join).
+    """
     box = rois.select(
         "image_id", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("w").alias("rw"), F.col("h").alias("rh")
     )
     return (
-        attach(rasters, box, "image_id", F.col("y"))
+        rasters.join(box, "image_id")
         .where((F.col("y") >= F.col("ry")) & (F.col("y") < F.col("ry") + F.col("rh")))
         .select(
             "image_id", "c", (F.col("y") - F.col("ry")).alias("y"), F.col("rh").alias("h"),
@@ -351,7 +353,7 @@ def normalize_range(rasters: DataFrame) -> DataFrame:
     )
     scaled = F.when(F.col("peak") > 1.0, F.transform("v", lambda a: a / 255.0)).otherwise(F.col("v"))
     colour = F.when(F.col("c") < 3, scaled).otherwise(F.col("v"))
-    return attach(rasters, peak, "image_id", F.col("y")).withColumn("v", colour).drop("peak")
+    return rasters.join(peak, "image_id").withColumn("v", colour).drop("peak")
 
 
 def compare_models(a: DataFrame, b: DataFrame) -> DataFrame:

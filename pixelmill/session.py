@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution splits skewed join partitions and merges small ones; UTC
@@ -32,12 +29,3 @@ def build(app: str = "pixelmill", master: str | None = None, **extra: str) -> Sp
     for key, value in {**SETTINGS, **STREAM_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only if none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = os.path.join(tempfile.gettempdir(), "pixelmill-checkpoint")
-    spark.sparkContext.setCheckpointDir(shared)
-    return shared

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -48,40 +49,100 @@ def scan_assets(spark: SparkSession, paths: Sequence[str], recursive: bool = Tru
     )
 
 
-def _number(content: Column, start: int, n: int, little: bool) -> Column:
-    parts = [F.hex(F.substring(content, start + i, 1)) for i in range(n)]
-    return F.conv(F.concat(*(reversed(parts) if little else parts)), 16, 10).cast("int")
+def _jpeg_size(raw: memoryview) -> tuple[int, int]:
+    """From the first frame header; the segments before it are skipped by their length."""
+    at = 2
+    while True:
+        marker = raw[at + 1]
+        if raw[at] != 0xFF:
+            raise ValueError("no marker")
+        # FF fills, 01 and D0-D9 stand alone, C0-CF but C4, C8 and CC start a frame.
+        if marker == 0xFF:
+            at += 1
+        elif marker == 0x01 or 0xD0 <= marker <= 0xD9:
+            at += 2
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack_from(">HH", raw, at + 5)
+            return width, height
+        else:
+            at += 2 + struct.unpack_from(">H", raw, at + 2)[0]
+
+
+def _webp_size(raw: memoryview) -> tuple[int, int]:
+    kind = bytes(raw[12:16])
+    if kind == b"VP8 ":
+        width, height = struct.unpack_from("<HH", raw, 26)
+        return width & 0x3FFF, height & 0x3FFF
+    if kind == b"VP8L":
+        bits = struct.unpack_from("<I", raw, 21)[0]
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if kind == b"VP8X":
+        return int.from_bytes(raw[24:27], "little") + 1, int.from_bytes(raw[27:30], "little") + 1
+    raise ValueError("unknown chunk")
+
+
+def _tiff_size(raw: memoryview) -> tuple[int, int]:
+    """From the first directory, in either byte order, with values of 2 or 4 bytes."""
+    order = "<" if raw[0] == 0x49 else ">"
+    first = struct.unpack_from(order + "I", raw, 4)[0]
+    found = {}
+    for k in range(struct.unpack_from(order + "H", raw, first)[0]):
+        tag, kind = struct.unpack_from(order + "HH", raw, first + 2 + 12 * k)
+        if tag in (256, 257):
+            found[tag] = struct.unpack_from(order + ("H" if kind == 3 else "I"), raw, first + 10 + 12 * k)[0]
+    return found[256], found[257]
+
+
+def _header_size(raw: memoryview) -> tuple[int, int] | None:
+    """Width and height, or null for other formats and damaged headers. File signatures."""
+    try:
+        if raw[:8] == b"\x89PNG\r\n\x1a\n":
+            return struct.unpack_from(">II", raw, 16)
+        if raw[:4] == b"GIF8":
+            return struct.unpack_from("<HH", raw, 6)
+        if raw[:2] == b"BM":
+            width, height = struct.unpack_from("<ii", raw, 18)
+            return abs(width), abs(height)
+        if raw[:3] == b"\xff\xd8\xff":
+            return _jpeg_size(raw)
+        if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+            return _webp_size(raw)
+        if raw[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff_size(raw)
+    except (IndexError, KeyError, ValueError, struct.error):
+        pass
+    return None
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_header_size(memoryview(c.as_buffer()).cast("B")) if c.is_valid else None for c in batch.column(1)]
+        width, height = ([f[k] if f else None for f in found] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(width, pa.int32()), pa.array(height, pa.int32())], ["path", "width", "height"])
 
 
 def image_headers(files: DataFrame) -> DataFrame:
-    """Width and height from the first bytes of PNG, GIF and BMP files; null otherwise."""
-    content = F.col("content")
-    starts = lambda text: F.hex(F.substring(content, 1, len(text) // 2)) == text
-    # File signatures.
-    png, gif, bmp = starts("89504E470D0A1A0A"), starts("47494638"), starts("424D")
-    pick = lambda a, b, c: F.when(png, a).when(gif, b).when(bmp, F.abs(c))
-    return files.select(
-        "path",
-        pick(_number(content, 17, 4, False), _number(content, 7, 2, True), _number(content, 19, 4, True)).alias("width"),
-        pick(_number(content, 21, 4, False), _number(content, 9, 2, True), _number(content, 23, 4, True)).alias("height"),
-    )
+    """Width and height from the headers of PNG, GIF, BMP, JPEG, WebP and TIFF files; null otherwise.
+
+    `content` may be cut after the header.
+    """
+    return files.select("path", "content").mapInArrow(_sizes, "path string, width int, height int")
 
 
-_RASTER = "image_id long, c int, y int, h int, v array<double>"
+_RASTER = "image_id string, c int, y int, h int, v array<double>"
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes in blue-green-red order to rows of [0, 1]; grey repeats into three channels."""
     for record in batches:
-        for i in range(record.num_rows):
-            get = lambda name: record.column(name)[i].as_py()
-            h, w, n = get("height"), get("width"), get("n_channels")
-            raw = np.frombuffer(get("data"), np.uint8).reshape(h, w, n)
+        sizes = zip(*(record.column(n).to_pylist() for n in ("image_id", "height", "width", "n_channels")), strict=True)
+        for data, (image, h, w, n) in zip(record.column("data"), sizes, strict=True):
+            raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, n)
             order = [2, 1, 0] + ([3] if n == 4 else []) if n >= 3 else [0, 0, 0]
             planes = np.moveaxis(raw[:, :, order], 2, 0) / 255.0
             k = len(order)
             yield pa.RecordBatch.from_pydict({
-                "image_id": pa.array(np.full(k * h, get("image_id")), pa.int64()),
+                "image_id": pa.array([image] * (k * h), pa.string()),
                 "c": pa.array(np.repeat(np.arange(k), h), pa.int32()),
                 "y": pa.array(np.tile(np.arange(h), k), pa.int32()),
                 "h": pa.array(np.full(k * h, h), pa.int32()),
@@ -92,17 +153,25 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def load_rasters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Decoded pictures as raster rows, and the (image_id, path, w, h) table.
+    """Decoded pictures as raster rows, and the (image_id, path, w, h, status, reason) table.
 
-    The id is a hash of the path, so both tables can be read apart and still agree.
+    The id is a 128-bit digest of the path, so both tables can be read apart and still
+    agree, and no two pictures share one. A file that cannot be decoded has no raster
+    rows; its row in the table has the status `failed` and null sizes.
     """
     images = (
-        spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true")
+        spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true")
         .load(path).select("image.*")
-        .withColumn("image_id", F.xxhash64("origin"))
+        .withColumn("image_id", F.md5("origin"))
+        .withColumn("good", (F.col("height") > 0) & (F.col("width") > 0))
     )
-    facts = images.select("image_id", F.col("origin").alias("path"), F.col("width").alias("w"), F.col("height").alias("h"))
-    rows = images.select("image_id", "height", "width", F.col("nChannels").alias("n_channels"), "data").mapInArrow(
-        _decode, _RASTER
+    size = lambda name: F.when(F.col("good"), F.col(name))
+    facts = images.select(
+        "image_id", F.col("origin").alias("path"), size("width").alias("w"), size("height").alias("h"),
+        F.when(F.col("good"), "done").otherwise("failed").alias("status"),
+        F.when(~F.col("good"), "cannot be decoded").alias("reason"),
     )
+    rows = images.where("good").select(
+        "image_id", "height", "width", F.col("nChannels").alias("n_channels"), "data"
+    ).mapInArrow(_decode, _RASTER)
     return rows, facts

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 def write_rasters(rasters: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
     """Raster rows as parquet, in folders by a hash bucket of the picture.
 
-    Rows are spread by (bucket, row band) before writing, so one huge picture is
-    written by several tasks and a folder still has few files.
+    Rows are spread by (picture, row band) within their folder, so one huge picture is
+    written by several tasks and many small ones by as many tasks as there are.
     """
     bucket = F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int")
     (
         rasters.withColumn("bucket", bucket)
-        .repartition("bucket", F.floor(F.col("y") / 1024))
+        .repartition("bucket", "image_id", F.floor(F.col("y") / 1024))
         .write.mode(mode).partitionBy("bucket").parquet(path)
     )
 

@@ -48,11 +48,18 @@ class _Changes(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         data = _rows(rows, "frame_no")
-        before = data["sig"].shift(1)
-        if self.sig.exists():
+        sig = data["sig"].astype(object).where(data["sig"].notna(), None)
+        before = sig.shift(1)
+        before = before.where(before.notna(), None)
+        started = self.sig.exists()
+        if started:
             before.iloc[0] = self.sig.get()[0]
-        self.sig.update((data["sig"].iloc[-1],))
-        yield data.loc[before != data["sig"], ["anim_id", "frame_no", "sig"]]
+        self.sig.update((sig.iloc[-1],))
+        # Null equals null, as in the batch form.
+        new = ~((before == sig) | (before.isna() & sig.isna()))
+        if not started:
+            new.iloc[0] = True
+        yield data.loc[new, ["anim_id", "frame_no", "sig"]]
 
     def close(self) -> None:
         pass

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pixelmill.functions.paths import is_image_suffix, parent_dir, suffix
+from pixelmill.operators.ordering import natural_sort
 from pixelmill.sources.files import BINARY_SCHEMA, local_path, without_scheme
 
 SETTLE = "1 second"  # fixed value: silence after which a group of changes is taken
@@ -57,22 +58,38 @@ def process_new_files(
 ) -> StreamingQuery:
     """Runs `process` on each micro-batch of files and appends its ledger rows.
 
-    `process` gets the files not yet in the ledger and returns one ledger row per
-    file (input_path first of all). Batches run one at a time. The ledger is written
-    after the work: a batch that is run again finds its finished files and leaves
-    them out, so no file is done twice.
+    `process` gets the files that are not done yet and returns one ledger row per file
+    (input_path and status first of all). Batches run one at a time. The ledger is
+    written after the work, in folders by the day of the file's time: a batch reads only the
+    days of its own files, leaves out what is finished there, and takes up what failed, so a
+    batch that is run again does no file twice.
     """
     def run(batch: DataFrame, _: int) -> None:
-        todo = batch
-        try:
-            done = batch.sparkSession.read.parquet(ledger_path).select(F.col("input_path").alias("path"))
-            todo = batch.join(done.distinct(), "path", "left_anti")
-        except Exception as error:  # the ledger does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        process(todo).write.mode("append").parquet(ledger_path)
+        spark = batch.sparkSession
+        dated = batch.withColumn("day", F.to_date("mtime"))
+        todo = dated
+        if _exists(spark, ledger_path):
+            # A semi join on the partition column: the engine prunes the other days at run time.
+            before = spark.read.parquet(ledger_path).join(dated.select("day").distinct(), "day", "left_semi")
+            gone = before.where(F.col("status") != "failed").select(F.col("input_path").alias("path")).distinct()
+            todo = dated.join(gone, "path", "left_anti")
+        days = todo.select(F.col("path").alias("input_path"), "day")
+        # In the natural order of their paths, as the watched list shows them.
+        done = process(natural_sort(todo.drop("day")))
+        done.join(days, "input_path").write.mode("append").partitionBy("day").parquet(ledger_path)
 
     writer = files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def failed_files(ledger: DataFrame) -> DataFrame:
+    """Paths whose latest ledger row says failed: what a later run takes up again (input_path, status, ts)."""
+    last = ledger.groupBy("input_path").agg(F.max_by("status", "ts").alias("status"))
+    return last.where(F.col("status") == "failed").select(F.col("input_path").alias("path"))

@@ -25,7 +25,7 @@ def test_natural_order(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string")
     want = sorted(names, key=lambda s: (key(s), s))
     assert [r.path for r in O.natural_sort(df).collect()] == want
-    ranked = O.global_rank(df, parts=3).collect()
+    ranked = O.global_rank(df, every=1, most=64).collect()
     assert {r.path: r.rank for r in ranked} == {n: i for i, n in enumerate(want)}
     assert {r.path for r in O.resume_from(df, 5).collect()} == set(want[5:])
 
@@ -77,30 +77,43 @@ def test_unique_names_like_the_loop(spark):
     planned = spark.createDataFrame([(i, "/d", b, ".png") for i, b in requests], "i long, dir string, base string, ext string")
     there = spark.createDataFrame([("/d", f + ".png") for f in files], "dir string, name string")
     want = slow_names(requests, files)
-    for hot in (100, 10**6):
-        named = N.unique_names(planned, there, ["i"], F.floor(F.col("i") / 64), hot_rows=hot)
+    for size in (64, 10**6):
+        named = N.unique_names(planned, there, ["i"], F.floor(F.col("i") / size))
         assert {r.i: r.name for r in named.collect()} == {k: v + ".png" for k, v in want.items()}
 
 
-def test_hot_keys_change_nothing(spark):
-    df = spark.range(5000).select(F.col("id").alias("t"), (F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)).alias("k"))
-    chunk = F.floor(F.col("t") / 100)
-    plain = {(r.k, r.t): r["rank"] for r in K.rank_within(df, ["k"], ["t"], chunk).collect()}
-    split = {(r.k, r.t): r["rank"] for r in K.rank_within(df, ["k"], ["t"], chunk, hot_rows=200).collect()}
-    assert plain == split and max(plain.values()) > 1000
+def test_chunks_change_nothing(spark):
+    """Also for a key that is null or holds a third of the rows, and for null times."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 50)
+    df = spark.range(5000).select(F.when(F.col("id") > 20, F.col("id")).alias("t"), F.col("id").alias("i"), key.alias("k"))
+    ranks = [
+        {r.i: (r.k, r["rank"]) for r in K.rank_within(df, ["k"], ["t", "i"], F.floor(F.col("t") / size)).collect()}
+        for size in (7, 100, 10**6)
+    ]
+    assert ranks[0] == ranks[1] == ranks[2] and len(ranks[0]) == 5000
+    assert max(n for k, n in ranks[0].values() if k is None) == 1666
+
+
+def test_global_rank_at_any_cut(spark):
+    from pixelmill.operators.ordering import global_rank
+
+    df = spark.range(3000).select(F.concat(F.lit("img"), (F.col("id") * 7919 % 30011).cast("string")).alias("path"))
+    want = {f"img{n}": i for i, n in enumerate(sorted(k * 7919 % 30011 for k in range(3000)))}
+    for every, most in ((1, 4096), (1, 100), (10, 4096), (10**9, 4096)):
+        assert {r.path: r["rank"] for r in global_rank(df, every=every, most=most).collect()} == want
 
 
 def test_ema_in_chunks_is_the_recursion(spark):
     rng = random.Random(5)
     xs = [rng.choice([0.0, -1.0, rng.random() * 10]) if i > 400 else rng.random() for i in range(900)]
     df = spark.createDataFrame([("r", i, x) for i, x in enumerate(xs)], "k string, i long, x double")
-    e, want = None, {}
-    for i, x in enumerate(xs):
-        if x > 0:
-            e = x if e is None else 0.7 * e + 0.3 * x
-            want[i] = e
-    for size in (1, 7, 1000):
-        got = {r.i: r.ema for r in L.ema(df, ["k"], ["i"], "x", F.floor(F.col("i") / size)).collect()}
+    for size, alpha in ((1, 0.3), (7, 0.3), (1000, 0.3), (7, 0.05), (300, 0.01)):
+        e, want = None, {}
+        for i, x in enumerate(xs):
+            if x > 0:
+                e = x if e is None else (1 - alpha) * e + alpha * x
+                want[i] = e
+        got = {r.i: r.ema for r in L.ema(df, ["k"], ["i"], "x", F.floor(F.col("i") / size), alpha).collect()}
         assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-12
 
 
@@ -158,3 +171,51 @@ def test_skipped_and_kept_are_all(views):
     skipped, kept = skipped_entries(items, 1, "m").count(), items.where("reason IS NULL").count()
     assert skipped + kept == views.assets().count() and skipped > 0 and kept > 0
     assert C.filter_extension(views.assets()).count() < views.assets().count()
+
+
+def header_files():
+    """(name, bytes, size): the smallest headers of each format, and damaged ones."""
+    be, le = (lambda n, k: n.to_bytes(k, "big")), (lambda n, k: n.to_bytes(k, "little"))
+    segment = lambda marker, body: bytes([0xFF, marker]) + be(len(body) + 2, 2) + body
+    jpeg = b"\xff\xd8" + b"".join(segment(0xE2, b"x" * 60_000) for _ in range(70)) + b"\xff\xff" + segment(0xC4, b"y" * 9)
+    jpeg += segment(0xC2, b"\x08" + be(777, 2) + be(1234, 2) + b"\x03")
+    entry = lambda order, tag, kind, value: order(tag, 2) + order(kind, 2) + order(1, 4) + (order(value, 2) + b"\0\0" if kind == 3 else order(value, 4))
+    tiff = lambda mark, order: mark + order(8, 4) + order(3, 2) + entry(order, 255, 4, 0) + entry(order, 256, 3, 640) + entry(order, 257, 4, 70_000)
+    riff = lambda kind, body: b"RIFF" + le(100, 4) + b"WEBP" + kind + le(len(body), 4) + body
+    return [
+        ("j", jpeg, (1234, 777)), ("t", tiff(b"II*\0", le), (640, 70_000)), ("u", tiff(b"MM\0*", be), (640, 70_000)),
+        ("v", riff(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + le(300 | 0x4000, 2) + le(200, 2)), (300, 200)),
+        ("l", riff(b"VP8L", b"\x2f" + le(4999 | 1999 << 14, 4)), (5000, 2000)),
+        ("x", riff(b"VP8X", b"\0\0\0\0" + le(69_999, 3) + le(11, 3)), (70_000, 12)),
+        ("g", b"GIF89a" + le(9, 2) + le(8, 2), (9, 8)), ("b", b"BM" + b"\0" * 16 + le(5, 4) + (-6).to_bytes(4, "little", signed=True), (5, 6)),
+        ("cut", jpeg[:5000], (None, None)), ("none", b"text", (None, None)), ("empty", b"", (None, None)), ("null", None, (None, None)),
+    ]
+
+
+def test_headers_of_all_formats(spark):
+    cases = header_files()
+    df = spark.createDataFrame([(n, bytearray(b) if b is not None else None) for n, b, _ in cases], "path string, content binary")
+    assert {r.path: (r.width, r.height) for r in SF.image_headers(df).collect()} == {n: s for n, _, s in cases}
+
+
+def test_files_that_cannot_be_decoded_are_rows(spark, tmp_path):
+    png(tmp_path / "good.png", np.zeros((2, 3, 3), np.uint8))
+    (tmp_path / "bad.png").write_bytes(b"\x89PNG no picture")
+    rasters, facts = SF.load_rasters(spark, str(tmp_path))
+    found = {r.path.rsplit("/", 1)[1]: (r.w, r.h, r.status, r.reason) for r in facts.collect()}
+    assert found == {"good.png": (3, 2, "done", None), "bad.png": (None, None, "failed", "cannot be decoded")}
+    assert rasters.select("image_id").distinct().count() == 1
+
+
+def test_writers_spread_with_the_pictures(spark, tmp_path):
+    """Distinct keys of the shuffle before the write grow with the pictures."""
+    rows = spark.range(300).select(F.col("id").alias("image_id"), F.lit(0).alias("c"), F.lit(0).alias("y"), F.lit(1).alias("h"), F.array(F.lit(0.5)).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        SK.write_rasters(rows, str(tmp_path / "out"), buckets=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(glob.glob(str(tmp_path / "out" / "bucket=0" / "*.parquet"))) > 30
+    assert SK.read_rasters(spark, str(tmp_path / "out")).count() == 300

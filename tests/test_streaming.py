@@ -83,3 +83,43 @@ def test_watched_folder_runs_each_file_once(spark, tmp_path):
     # A fresh checkpoint meets the ledger: nothing is done again.
     W.process_new_files(W.watch_folder(spark, str(folder), since), process, ledger, cp + "2").awaitTermination()
     assert spark.read.parquet(ledger).count() == 2
+
+
+def test_dedupe_of_null_signatures(spark, tmp_path):
+    rows = [(1, k, s) for k, s in enumerate([None, None, "a", None, None, "b", "b"])]
+    frames = spark.createDataFrame(rows, "anim_id long, frame_no long, sig string").withColumn("duration_ms", F.lit(10))
+    live = stream_of(spark, frames, tmp_path, "nulls", 2, (F.col("frame_no") >= 4).cast("int"))
+    got = sorted(r.frame_no for r in drain(spark, ST.stream_frame_dedupe(live), "nulls", tmp_path).collect())
+    assert got == sorted(r.frame_no for r in FR.merge_islands(frames).collect()) == [0, 2, 3, 5]
+
+
+def test_settle_on_a_stream(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    rows = [("a", t0 + timedelta(milliseconds=ms), part) for ms, part in ((0, 0), (400, 0), (1300, 0), (5000, 1), (5900, 1), (60_000, 2), (61_500, 2))]
+    df = spark.createDataFrame(rows, "folder string, ts timestamp, part int")
+    live = stream_of(spark, df, tmp_path, "changes", 3, F.col("part"))
+    got = drain(spark, W.settle(live), "settled", tmp_path).orderBy("start").collect()
+    assert [r.n_changes for r in got] == [3, 2]
+
+
+def test_failed_files_are_taken_up_again(spark, tmp_path):
+    folder, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    os.makedirs(folder)
+    for k in (10, 9, 2):
+        png(folder / f"img{k}.png", np.zeros((2, 2, 3), np.uint8))
+    seen, status = [], "failed"
+
+    def process(files):
+        names = [os.path.basename(r.path) for r in files.select("path").collect()]
+        seen.append(names)
+        state = F.when(F.col("path").endswith("9.png"), status).otherwise("done")
+        return files.select(F.col("path").alias("input_path"), state.alias("status"), F.current_timestamp().alias("ts"))
+
+    for k in range(3):
+        if k == 2:
+            status = "done"
+        W.process_new_files(W.watch_folder(spark, str(folder), max_files=2 if k == 0 else None), process, ledger, str(tmp_path / f"cp{k}")).awaitTermination()
+    assert sorted(sum(seen[:2], [])) == ["img10.png", "img2.png", "img9.png"] and max(map(len, seen[:2])) == 2
+    assert all(names == sorted(names, key=lambda n: int(n[3:-4])) for names in seen)
+    assert [s for s in seen[2:] if s] == [["img9.png"], ["img9.png"]]
+    assert W.failed_files(spark.read.parquet(ledger)).count() == 0

@@ -431,9 +431,10 @@ _COLORS = """
 _TOP = "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, color) AS rank FROM colors QUALIFY rank <= 8"
 add("top_colors", "SELECT image_id, CAST(color AS INTEGER) AS color, n, CAST(rank AS INTEGER) AS rank FROM top", {"colors": _COLORS, "top": _TOP})
 add("palette_map", """
-    SELECT a.image_id, CAST(a.color AS INTEGER) AS color, any_value(a.n) AS n, CAST(min(
-        (a.color // 1024 - p.color // 1024) ** 2 + (a.color // 32 % 32 - p.color // 32 % 32) ** 2 + (a.color % 32 - p.color % 32) ** 2) AS INTEGER) AS dist
-    FROM colors a JOIN top p USING (image_id) GROUP BY a.image_id, a.color""", {"colors": _COLORS, "top": _TOP})
+    SELECT image_id, CAST(color AS INTEGER) AS color, any_value(n) AS n, CAST(min(d) AS INTEGER) AS dist,
+      CAST(arg_min(other, d * 100 + rank) AS INTEGER) AS palette_color FROM (
+      SELECT a.*, p.color AS other, p.rank, (a.color // 1024 - p.color // 1024) ** 2 + (a.color // 32 % 32 - p.color // 32 % 32) ** 2 + (a.color % 32 - p.color % 32) ** 2 AS d
+      FROM colors a JOIN top p USING (image_id)) GROUP BY image_id, color""", {"colors": _COLORS, "top": _TOP})
 add("corpus_profile", """
     SELECT suffix, aspect, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(max(width) AS INTEGER) AS max_width,
       CAST(max(height) AS INTEGER) AS max_height, CAST(grouping(suffix, aspect) AS BIGINT) AS level
@@ -448,12 +449,14 @@ add("running_progress", """
     FROM (SELECT run_id, input_path, row_number() OVER w AS completed, sum(elapsed_s) OVER w AS elapsed FROM ledger_v WHERE status = 'done'
       WINDOW w AS (PARTITION BY run_id ORDER BY ts, input_path ROWS UNBOUNDED PRECEDING))
     JOIN (SELECT run_id, count(*) AS total FROM ledger_v GROUP BY run_id) USING (run_id)""")
-# Row by row: e(n) = 0.7 e(n-1) + 0.3 x(n), one recursion step per rank for all runs at once.
-add("ema", "SELECT run_id, input_path, round(e, 6) AS ema FROM steps", {
-    "ranked": """SELECT run_id, input_path, elapsed_s AS x, row_number() OVER (PARTITION BY run_id ORDER BY ts, input_path) AS n
-        FROM ledger_v WHERE status = 'done' AND elapsed_s > 0""",
-    "steps": """SELECT run_id, input_path, n, x AS e FROM ranked WHERE n = 1
-        UNION ALL SELECT r.run_id, r.input_path, r.n, 0.7::DOUBLE * s.e + 0.3::DOUBLE * r.x FROM steps s JOIN ranked r ON r.run_id = s.run_id AND r.n = s.n + 1""",
+# Row by row: e(n) = (1 - a) e(n-1) + a x(n), one recursion step per rank for all runs at once.
+add("ema", "SELECT nullif(run_id, -1) AS run_id, input_path, round(a + 1.234e-7, 6) AS ema_30, round(b + 1.234e-7, 6) AS ema_5, round(c + 1.234e-7, 6) AS ema_1 FROM steps", {
+    "shown": """SELECT CASE WHEN run_id = 3 THEN -1 ELSE run_id END AS run_id, input_path, elapsed_s AS x,
+        CASE WHEN NOT ends_with(input_path, '7.png') THEN ts END AS ts FROM ledger_v WHERE status = 'done' AND elapsed_s > 0""",
+    "ranked": """SELECT run_id, input_path, x, row_number() OVER (PARTITION BY run_id ORDER BY ts NULLS FIRST, input_path) AS n FROM shown""",
+    "steps": """SELECT run_id, input_path, n, x AS a, x AS b, x AS c FROM ranked WHERE n = 1
+        UNION ALL SELECT r.run_id, r.input_path, r.n, 0.7::DOUBLE * s.a + 0.3::DOUBLE * r.x, 0.95::DOUBLE * s.b + 0.05::DOUBLE * r.x, 0.99::DOUBLE * s.c + 0.01::DOUBLE * r.x
+        FROM steps s JOIN ranked r ON r.run_id = s.run_id AND r.n = s.n + 1""",
 }, recursive=True)
 # The k-th request takes the k-th entry of the free list, written out as a list per name.
 add("unique_names", """
@@ -585,7 +588,7 @@ add("filter_scheme", """
     SELECT page_id, phase, pos, sub, url FROM elements
     UNION ALL SELECT page_id, 9, pos, 0, ref FROM links_v WHERE pos % 2 = 1""", _ELEMENTS)
 add("dedupe_urls", "SELECT * FROM elements WHERE NOT (phase = 1 AND pos = 4)", _ELEMENTS)
-add("largest_first", "SELECT * FROM elements WHERE NOT (phase = 1 AND pos = 4) AND width >= 400 AND height >= 600", _ELEMENTS)
+add("largest_first", "SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CAST(width AS BIGINT) * height DESC, phase, pos, sub) AS INTEGER) AS rank FROM elements WHERE NOT (phase = 1 AND pos = 4) AND width >= 400 AND height >= 600", _ELEMENTS)
 add("write_manifest", """
     SELECT page_id, url, dest, count(*) OVER (PARTITION BY page_id, dest) AS n_sharing FROM (
       SELECT page_id, url, '/downloads/' || page_id || '/' || CASE WHEN contains(name, '.') THEN name

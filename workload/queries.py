@@ -437,7 +437,7 @@ def top_colors(v):
 
 @query
 def palette_map(v):
-    return CO.palette_map(v.rgba(), 8).select("image_id", "color", "n", "dist")
+    return CO.palette_map(v.rgba(), 8).select("image_id", "color", "n", "palette_color", "dist")
 
 
 @query
@@ -471,9 +471,14 @@ def unique_names(v):
 
 @query
 def ema(v):
+    """Three weights; one run has no id and some rows have no time."""
     done = v.ledger().where(F.col("status") == "done")
+    done = done.withColumn("run_id", F.when(F.col("run_id") != 3, F.col("run_id")))
+    done = done.withColumn("ts", F.when(~F.col("input_path").endswith("7.png"), F.col("ts")))
     day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    return L.ema(done, ["run_id"], ["ts", "input_path"], "elapsed_s", day).select("run_id", "input_path", r6("ema").alias("ema"))
+    for percent in (30, 5, 1):
+        done = L.ema(done, ["run_id"], ["ts", "input_path"], "elapsed_s", day, percent / 100, f"ema_{percent}")
+    return done.select("run_id", "input_path", *[r6(F.col(f"ema_{p}") + 1.234e-7).alias(f"ema_{p}") for p in (30, 5, 1)])
 
 
 @query

@@ -140,7 +140,7 @@ class Views:
         raw = self.table("pages").select(
             "page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(href), F.lit(1))).alias("pos", "href")
         )
-        tail = F.substring("href", 2, 1000000)
+        tail = F.expr("substring(href, 2)")
         form = F.col("pos") % 9
         ref = (
             F.when(form == 0, F.col("href")).when(form == 1, tail)
