@@ -20,10 +20,15 @@ LAZY_ATTRIBUTES = (
 UNKNOWN_SIZE = 1000
 ALT_LENGTH = 100
 
-_NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_REST_OF_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
-_BACKGROUND = r"""background-image:\s*url\(['"]?([^'")\s]+)['"]?\)"""
+# An unclosed element reaches to the end of the page, so every character is read once.
+_NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+# Attribute syntax: a quote opens a value only after `=`; elsewhere it belongs to the name or the bare value.
+_VALUE = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s"'>][^\s>]*+)"""
+_ATTRIBUTE = rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+"""
+_REST_OF_TAG = rf"(?=[\s/>])(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+(?:>|\z)"
+_END = "\0"
+# A `url(...)` in a style text: the address bare or in either quotes, with blanks inside quotes.
+_BACKGROUND = r"""background(?:-image)?\s*:[^;]*?url\(\s*(?:"([^"]*)"|'([^']*)'|([^'"\s)]+))\s*\)"""
 
 
 def strip_noise(html: Column) -> Column:
@@ -31,21 +36,25 @@ def strip_noise(html: Column) -> Column:
     return F.regexp_replace(html, _NOISE, "")
 
 
+def _found(html: Column, pattern: str) -> Column:
+    """All matches of a tag pattern. A tag that no `>` ends takes the rest of the page with it and is none."""
+    every = F.regexp_extract_all(F.concat(html, F.lit(_END)), F.lit(pattern), F.lit(0))
+    return F.filter(every, lambda tag: tag.endswith(">"))
+
+
 def tags(html: Column, name: str) -> Column:
     """All start tags of one name, in document order, as array<string>."""
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b{_REST_OF_TAG}"), F.lit(0))
+    return _found(html, rf"(?i)<{name}{_REST_OF_TAG}")
 
 
 def picture_blocks_and_sources(html: Column) -> Column:
-    """Whole `<picture>` blocks and free `<source>` tags, in document order."""
-    pattern = rf"(?is)<picture\b.*?</picture\s*>|<source\b{_REST_OF_TAG}"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    """Whole `<picture>` blocks and free `<source>` tags, in document order; an unclosed block reaches to the page's end."""
+    return _found(F.concat(html, F.lit("</picture>")), rf"(?is)<picture\b.*?</picture\s*>|<source{_REST_OF_TAG}")
 
 
 def styled_tags(html: Column) -> Column:
-    """All start tags whose text mentions a background image."""
-    every = F.regexp_extract_all(html, F.lit(rf"(?i)<[a-z]{_REST_OF_TAG}"), F.lit(0))
-    return F.filter(every, lambda tag: tag.contains("background-image"))
+    """All start tags whose text mentions a background."""
+    return F.filter(_found(html, rf"(?i)<[a-z][^\s/>]*+{_REST_OF_TAG}"), lambda tag: tag.contains("background"))
 
 
 def _decode(text: Column) -> Column:
@@ -57,7 +66,7 @@ def _decode(text: Column) -> Column:
 
 def attributes(tag: Column) -> Column:
     """Attributes of a start tag as array<struct<name,value>>; names lower-cased."""
-    body = F.regexp_replace(tag, r"^<[^\s/>]+|/?>$", "")
+    body = F.regexp_replace(tag, r"^<[^\s/>]+|>$", "")
     found = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
 
     def split(item: Column) -> Column:
@@ -144,7 +153,7 @@ def source_element_url(attrs: Column) -> Column:
 
 
 def background_url(style: Column) -> Column:
-    return _first_usable([F.regexp_extract(style, _BACKGROUND, 1)])
+    return _first_usable([F.regexp_extract(style, _BACKGROUND, k) for k in (1, 2, 3)])
 
 
 def image_size(attrs: Column) -> tuple[Column, Column]:

@@ -219,3 +219,48 @@ def test_writers_spread_with_the_pictures(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(glob.glob(str(tmp_path / "out" / "bucket=0" / "*.parquet"))) > 30
     assert SK.read_rasters(spark, str(tmp_path / "out")).count() == 300
+
+
+def html_of(spark, f, texts):
+    return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "html string").select(f(F.col("html"))).collect()]
+
+
+def test_tags_follow_attribute_syntax(spark):
+    from pixelmill.functions import html as H
+
+    pages = ['<img src="a.png" alt="5" tall"><img src="b.png">', "<img alt=it's src=c.png><p>", '<imgx src=a><img/><img src=a/>', '<img alt="x > y" src=z>', '<img alt="never closed>', "<img " + "word " * 200_000]
+    want = [['<img src="a.png" alt="5" tall">', '<img src="b.png">'], ["<img alt=it's src=c.png>"], ["<img/>", "<img src=a/>"], ['<img alt="x > y" src=z>'], [], []]
+    assert html_of(spark, lambda h: H.tags(h, "img"), pages) == want
+    pairs = html_of(spark, lambda h: H.attributes(F.get(H.tags(h, "img"), 0)), [*pages[:2], "<img A=1 b = 'x y' c d=>"])
+    assert [[tuple(a) for a in p] for p in pairs] == [
+        [("src", "a.png"), ("alt", "5"), ('tall"', "")], [("alt", "it's"), ("src", "c.png")], [("a", "1"), ("b", "x y"), ("c", ""), ("d", "")],
+    ]
+
+
+def test_unclosed_elements_reach_to_the_end(spark):
+    from pixelmill.functions import html as H
+
+    pages = ["a<script>b<img src=x>", "a<!-- b<img src=x>", "a<style>b</style>c<script>d</script >e"]
+    assert html_of(spark, H.strip_noise, pages) == ["a", "a", "ace"]
+    assert html_of(spark, H.picture_blocks_and_sources, ["<picture><source src=a><img>"]) == [["<picture><source src=a><img></picture>"]]
+
+
+def test_reading_time_grows_with_the_page(spark):
+    from time import perf_counter
+
+    from pixelmill.functions import html as H
+
+    def seconds(n):
+        start = perf_counter()
+        html_of(spark, lambda h: F.struct(H.strip_noise(h), H.picture_blocks_and_sources(h), H.tags(h, "img")), [unit * n for unit in ("<script ", "<picture ", "<!-- ", "<img '")])
+        return perf_counter() - start
+
+    seconds(1000)
+    assert seconds(64_000) < 16 * seconds(16_000) + 2
+
+
+def test_background_addresses(spark):
+    from pixelmill.functions import html as H
+
+    styles = ["background: #fff url( 'a b.png' ) no-repeat; x", "background-image:url(x.png)", 'color:red; background-image: url("q.jpg")', "background:red", "background: url(data:image/png;base64,AA)"]
+    assert html_of(spark, H.background_url, styles) == ["a b.png", "x.png", "q.jpg", None, None]
