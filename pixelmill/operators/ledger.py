@@ -149,6 +149,12 @@ def ema(
     )
 
 
+def csv_lines(entries: DataFrame) -> DataFrame:
+    """Adds `line`: the entry as one quoted CSV field, quotes doubled."""
+    doubled = F.replace(F.col("entry"), F.lit('"'), F.lit('""'))
+    return entries.withColumn("line", F.concat(F.lit('"'), doubled, F.lit('"')))
+
+
 def ledger_text(ledger: DataFrame) -> DataFrame:
     """One line of text per finished or skipped item."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")

@@ -89,9 +89,13 @@ def eight_bit(rasters: DataFrame) -> DataFrame:
 def upscale_animation(frames: DataFrame, rasters: DataFrame, recipe: Recipe) -> tuple[DataFrame, DataFrame]:
     """Merged frame list and processed rows of the kept frames only.
 
-    `frames`: anim_id, frame_no, duration_ms, image_id, sig. Runs of equal input
+    `frames`: anim_id, frame_no, duration_ms, image_id and perhaps sig; without it the
+    signature of each picture, as 8-bit values, is computed. Runs of equal input
     frames are merged first, so the costly steps never see a repeated frame.
     """
+    if "sig" not in frames.columns:
+        seen = eight_bit(rasters).withColumn("v", F.transform("v", lambda a: a / 255.0))
+        frames = frames.join(FR.frame_signature(seen), "image_id", "left")
     kept = FR.merge_islands(frames)
     ids = frames.select("anim_id", "frame_no", "image_id").join(
         kept.select("anim_id", "frame_no"), ["anim_id", "frame_no"], "left_semi"

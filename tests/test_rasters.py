@@ -273,3 +273,14 @@ def test_prepare_chain(spark):
     want = slow_resize(half.repeat(2, axis=1).repeat(2, axis=2), 32, 24, _hermite, 1)
     want[:3] = slow_cas(want[:3], 0.5, True)
     assert np.allclose(got, want, atol=1e-10)
+
+
+def test_animation_finds_its_own_repeats(spark):
+    """Frames whose 8-bit values are equal are one frame, without a given signature."""
+    a, b = picture(3, 20, 24), picture(3, 20, 24) * 0.5
+    pictures = [a, a + 1e-6, b, b, a]
+    rasters = rows(spark, *pictures)
+    frames = spark.createDataFrame([(1, k, 10, k) for k in range(5)], "anim_id long, frame_no long, duration_ms int, image_id long")
+    merged, out = PR.upscale_animation(frames, rasters, PR.Recipe())
+    assert sorted((r.frame_no, r.n_frames, r.duration_ms) for r in merged.collect()) == [(0, 2, 20), (2, 2, 20), (4, 1, 10)]
+    assert {r.image_id for r in out.select("image_id").collect()} == {0, 2, 4}

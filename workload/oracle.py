@@ -248,6 +248,24 @@ add("ledger_text", """
       ELSE input_path[5:] || ' -> ' || output_path[6:] || ' (' || printf('%.2f', elapsed_s) || 's)' END AS entry
     FROM ledger_v WHERE status IN ('done', 'skipped')""")
 
+add("export_log_lines", """
+    SELECT input_path, '"' || '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || CASE status
+      WHEN 'skipped' THEN 'SKIPPED: ' || input_path[5:] || ' (' || reason || ')'
+      ELSE input_path[5:] || ' -> ' || output_path[6:] || ' (' || printf('%.2f', elapsed_s) || 's)' END || ' ' || chr(34) || chr(34) || model || chr(34) || chr(34) || chr(34) AS line
+    FROM ledger_v WHERE status IN ('done', 'skipped')""")
+add("settle", """
+    SELECT folder, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 24 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n_changes
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY folder ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM (
+      SELECT CAST(user_id AS VARCHAR) AS folder, ts, event_id,
+        CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM events))
+    GROUP BY folder, grp""")
+add("image_headers", "SELECT path, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height FROM assets_v")
+add("plan_without_overwriting", """
+    SELECT doc_id, '/out/n' || b || '_upscaled' || CASE WHEN k = 1 THEN '' ELSE '_' || lpad(CAST(k + CAST(taken AS INTEGER) AS VARCHAR), 3, '0') END || '.png' AS output_path,
+      false AS "exists", CASE WHEN width < 300 THEN 'width ' || width || ' < min 300' END AS reason
+    FROM (SELECT doc_id, width, doc_id % 50 AS b, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k,
+      doc_id % 50 IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 50) AS taken FROM assets_v)""")
+
 # ---- arrays, maps, JSON ----------------------------------------------------------
 
 add("best_srcset", """

@@ -12,7 +12,8 @@ from pixelmill.operators import (
     pages as PG, resize as R, sharpen as S, tiling as T,
 )
 from pixelmill.plans import batch as B, prepare as PR, web as WEB
-from pixelmill.sources import pages as SP
+from pixelmill.sources import files as SF, pages as SP
+from pixelmill.streaming import watch as W
 from .views import Views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +236,35 @@ def ledger_text(v):
     return L.ledger_text(v.ledger()).select("input_path", "entry")
 
 
+@query
+def export_log_lines(v):
+    quoted = L.ledger_text(v.ledger()).withColumn("entry", F.concat("entry", F.lit(' "'), F.col("model"), F.lit('"')))
+    return L.csv_lines(quoted).select("input_path", "line")
+
+
+@query
+def settle(v):
+    """Changes of a user's folder; silence of a day ends a group."""
+    changes = v.table("events").select(F.col("user_id").cast("string").alias("folder"), F.col("ts").cast("timestamp").alias("ts"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return W.settle(changes, gap="24 hours").select("folder", text("start"), text("end"), "n_changes")
+
+
+@query
+def image_headers(v):
+    return SF.image_headers(v.header_files())
+
+
+@query
+def plan_without_overwriting(v):
+    """All pictures to one folder, where a third of the names is taken."""
+    assets = v.assets().select("doc_id", F.concat(F.lit("/in/n"), (F.col("doc_id") % 50).cast("string"), F.lit(".png")).alias("path"), "width", "height")
+    taken = v.table("part").where("p_partkey % 3 = 0 AND p_partkey < 50").select(F.concat(F.lit("/out/n"), F.col("p_partkey").cast("string"), F.lit("_upscaled_002.png")).alias("output_path"))
+    rules = FL.SkipRules(skip_existing=True, size_limits=True, min_width=300)
+    items = B.plan_items(assets, taken, rules, overwrite=False, order=["doc_id"], chunk=F.floor(F.col("doc_id") / 100), output_dir="/out")
+    return items.select("doc_id", "output_path", "exists", "reason")
+
+
 # ---- arrays, maps, JSON ----------------------------------------------------------
 
 @query
