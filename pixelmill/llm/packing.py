@@ -33,9 +33,9 @@ from pixelmill.llm.tables import stage
 from pixelmill.llm.textarrays import slices, texts_of
 
 CAPACITY = 2048
-GROUPS = 128
+GROUPS = 512
 #: Lengths from here on are small: they fill what the configurations leave.
-SMALL = 256
+SMALL = 768
 
 
 @dataclass
