@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pixelmill.llm.minhash import op9_minhash_near_dedup
+from pixelmill.llm.minhash import OP9_SQL, op9_minhash_near_dedup
 from pixelmill.llm.nearest import OP8_SQL, op8_exact_top_k
 from pixelmill.llm.packing import op3_best_fit_packing
 from pixelmill.llm.passages import op5_substring_dedup
 from pixelmill.llm.quality import op10_quality_rules
-from pixelmill.llm.repeats import op1_suffix_array_dedup
+from pixelmill.llm.repeats import OP1_SQL, op1_suffix_array_dedup
 from pixelmill.llm.suffix_tree import op6_lm_scoring
 from pixelmill.llm.toxicity import op2_toxicity
 from pixelmill.llm.unigram import op4_token_counts, op7_sentencepiece
@@ -26,5 +26,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_suffix_array_dedup": OP1_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "op9_minhash_near_dedup": OP9_SQL,
 }

@@ -275,3 +275,24 @@ def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM raw WHERE len(h) >= 200)
+), later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM starts) WHERE k > 1
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (
+      SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later))
+  GROUP BY doc_id, g
+), cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS s, list(b ORDER BY a) AS e FROM runs GROUP BY doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN s IS NULL THEN h ELSE substring(h, 1, 2 * s[1]) || array_to_string([substring(h, 2 * e[i] + 1, 2 * (coalesce(s[i + 1], len(h) // 2) - e[i])) for i in range(1, len(s) + 1)], '') END)) AS kept_sha256
+FROM raw LEFT JOIN cut USING (doc_id)
+"""
