@@ -192,3 +192,12 @@ def test_passage_edge_cases(docs_of):
     found = passages.repeated_passages(docs_of(EDGE)).collect()
     assert sorted((r.doc_id, r.ref_doc_id, r.copy) for r in found) == [(5, 4, True), (5, 4, True), (7, 6, True)]
     assert passages.repeated_passages(docs_of([])).count() == 0
+
+
+def test_a_word_said_over_and_over(docs_of):
+    """A few passages, not one per word, and together they cover the run."""
+    rows = [(1, "start here " + "of " * 90 + "and on"), (2, " ".join(f"u{k}" for k in range(40)) + " of" * 400 + " end")]
+    found = passages.repeated_passages(docs_of(rows)).collect()
+    assert 1 <= len(found) <= 400 // passages.SPACING + 2
+    covered = set().union(*(range(r.start_word, r.start_word + r.n_words) for r in found))
+    assert set(range(40, 440)) - covered <= set(range(400, 440))
