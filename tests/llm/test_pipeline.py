@@ -1,7 +1,7 @@
 """The pipeline stage by stage against plain Python, and as a whole."""
 
 import corpus_pipeline
-from pixelmill.llm import packing, quality, toxicity
+from pixelmill.llm import quality, toxicity
 
 from conftest import SF
 from llm_cases import EDGE, docs_of  # noqa: F401
@@ -46,8 +46,8 @@ def test_stages_take_any_rows(spark, docs_of):
     for name, step in corpus_pipeline.STAGES:
         docs = docs_of(EDGE)
         out = step(spark, docs, SF)
-        if name != "best_fit_packing":
-            assert out.columns == docs.columns
-        assert out.count() <= len(EDGE) + 60
+        if name == "best_fit_packing":
+            assert out.filter("piece = 0").count() == len(EDGE)
+        else:
+            assert out.columns == docs.columns and out.count() <= len(EDGE)
         assert step(spark, docs_of([]), SF).count() == 0
-    assert packing.CAPACITY == 2048
