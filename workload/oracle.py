@@ -330,6 +330,8 @@ add("copy_metadata", """
 _KERNEL = {
     "hermite": ("(2 * a - 3) * a * a + 1", "a <= 1", 1.0),
     "lanczos": ("CASE WHEN a < 1e-8 THEN 1 ELSE 3 * sin(pi() * a) * sin(pi() * a / 3) / (pi() * pi() * a * a) END", "a < 3", 3.0),
+    # The distance is a * 3 here: the textbook kernel has all its lobes, negative ones too.
+    "lanczos_full": ("CASE WHEN a < 1e-8 THEN 1 ELSE sin(pi() * a * 3) * sin(pi() * a) / (3 * pi() * pi() * a * a) END", "a < 1", 3.0),
     "catmull_rom": ("CASE WHEN a <= 1 THEN 1.5 * a * a * a - 2.5 * a * a + 1 ELSE -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2 END", "a <= 2", 2.0),
 }
 
@@ -345,7 +347,7 @@ def _weights(pairs: str, kernel: str) -> str:
           FROM (SELECT *, unnest(range(CAST(floor(ctr - reach) AS BIGINT), CAST(ceil(ctr + reach) AS BIGINT) + 1)) AS kk
             FROM (SELECT *, (o + 0.5::DOUBLE) / (new_n::DOUBLE / old_n) - 0.5::DOUBLE AS ctr,
                 CASE WHEN new_n < old_n THEN {radius}::DOUBLE / (new_n::DOUBLE / old_n) ELSE {radius}::DOUBLE END AS reach
-              FROM (SELECT old_n, new_n, unnest(range(new_n)) AS o FROM ({pairs})))))) QUALIFY w > 0"""
+              FROM (SELECT old_n, new_n, unnest(range(new_n)) AS o FROM ({pairs})))))) QUALIFY w {'<>' if kernel == 'lanczos_full' else '>'} 0"""
 
 
 def _resized(source: str, old: tuple[int, int], new: tuple[int, int], kernel: str) -> dict[str, str]:
@@ -365,6 +367,11 @@ def _long(source: str, h: int) -> str:
 
 add("resize_hermite", _long("resized", 13), _resized("rasters_v", (8, 8), (5, 13), "hermite"))
 add("resize_lanczos", _long("resized", 30), _resized("tall_v", (64, 100), (48, 30), "lanczos"))
+add("resize_lanczos_full", _long("resized", 30), _resized("tall_v", (64, 100), (48, 30), "lanczos_full"))
+add("frame_signature", """
+    SELECT image_id, string_agg(printf('%02X', CAST(floor(least(255.0, greatest(0.0, grey * 255.0::DOUBLE))) AS INTEGER)), '' ORDER BY y, x) AS sig
+    FROM (SELECT image_id, y, x, sum(CASE c WHEN 0 THEN v END) * 0.299::DOUBLE + sum(CASE c WHEN 1 THEN v END) * 0.587::DOUBLE + sum(CASE c WHEN 2 THEN v END) * 0.114::DOUBLE AS grey
+      FROM resized GROUP BY image_id, y, x) GROUP BY image_id""", _resized("(SELECT * FROM rgba_v WHERE c < 3)", (8, 8), (16, 16), "lanczos_full"))
 add("resize_catmull_rom", _long("resized", 4), _resized("rasters_v", (8, 8), (12, 4), "catmull_rom"))
 add("resize_weights", """
     SELECT CAST(old_n AS INTEGER) AS old_n, CAST(new_n AS INTEGER) AS new_n, count(*) AS n_taps, round(sum(w), 6) AS total,

@@ -580,6 +580,11 @@ def resize_lanczos(v):
     return long_form(R.resize(v.tall(), F.lit(48), F.lit(30), "lanczos"))
 
 
+@query
+def resize_lanczos_full(v):
+    return long_form(R.resize(v.tall(), F.lit(48), F.lit(30), "lanczos_full"))
+
+
 @query
 def resize_catmull_rom(v):
     return long_form(R.resize(v.rasters(), F.lit(12), F.lit(4), "catmull_rom"))
