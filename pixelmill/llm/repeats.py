@@ -33,7 +33,7 @@ SIZE = 100
 PART = 32
 #: An anchor with more places than this sends single strings, each by its own hash.
 SPREAD = 4096
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _PLACES = 1 << 22
 
 
@@ -86,7 +86,7 @@ def _places(size: int):
 def _cuttings(size: int):
     """Rows (key, doc_id, start, n, bytes): the bytes of n strings; null bytes if an equal cutting came earlier."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             texts = texts_of(part.column(1))
             where = part.column(2).flatten()
             key, start, n, places = (where.field(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             texts = texts_of(part.column(1))
             removed, kept = [], []
             for k, spans in enumerate(part.column(2)):
@@ -248,7 +248,7 @@ def drop_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
         name += "_"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             texts, stay_rows, new, chars = texts_of(part.column("text")), [], [], []
             for k, spans in enumerate(part.column(name)):
                 raw = texts.data[texts.offsets[k] : texts.offsets[k + 1]]
