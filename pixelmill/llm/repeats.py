@@ -106,8 +106,8 @@ def _cuttings(size: int):
             same[1:] = (body[order][1:] == body[order][:-1]) & (key[order][1:] == key[order][:-1])
             again = np.zeros(len(order), bool)
             again[order] = same
-            # What came earlier needs no meeting: it is sent anywhere.
-            key = np.where(again, mix(body + begin.astype(np.uint64) + ids.astype(np.uint64)), key)
+            # What came earlier needs no meeting: it is sent by its document.
+            key = np.where(again, mix(ids.astype(np.uint64)), key)
             data, edges = gather(texts.data, start, np.where(again, 0, n + size - 1))
             valid = np.packbits(~again, bitorder="little")
             cut = pa.BinaryArray.from_buffers(pa.binary(), len(again), [pa.py_buffer(valid), pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
