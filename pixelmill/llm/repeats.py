@@ -70,10 +70,24 @@ def anchors(texts: Texts, size: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that repeat a doc_id of their batch or the last one before it. Repeated rows mostly lie together; what is left of them meets later."""
+    last = None
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        new = np.zeros(len(ids), bool)
+        new[np.unique(ids, return_index=True)[1]] = True
+        if last is not None:
+            new &= ids != last
+        if len(ids):
+            last = ids[-1]
+        yield batch if new.all() else batch.filter(pa.array(new))
+
+
 def _places(size: int):
     """Rows (anchor, doc_id, start, n): n strings from `start` on have this anchor."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(_once(batches), "text"):
             texts = texts_of(part.column(1))
             anchor, text, first, last = anchors(texts, size)
             yield pa.RecordBatch.from_arrays(
@@ -86,7 +100,7 @@ def _places(size: int):
 def _cuttings(size: int):
     """Rows (key, doc_id, start, n, bytes): the bytes of n strings; null bytes if an equal cutting came earlier."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(_once(batches), "text", 2 << 20):
             texts = texts_of(part.column(1))
             where = part.column(2).flatten()
             key, start, n, places = (where.field(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -104,8 +118,13 @@ def _cuttings(size: int):
             order = np.lexsort((begin, ids, body, key))
             same = np.zeros(len(order), bool)
             same[1:] = (body[order][1:] == body[order][:-1]) & (key[order][1:] == key[order][:-1])
-            again = np.zeros(len(order), bool)
-            again[order] = same
+            # A cutting of a repeated row is the same place again, no repeat.
+            copy = same.copy()
+            copy[1:] &= (ids[order][1:] == ids[order][:-1]) & (begin[order][1:] == begin[order][:-1])
+            order, same = order[~copy], same[~copy]
+            by_place = np.argsort(order)
+            rows_kept, again = order[by_place], same[by_place]
+            key, ids, begin, start, n = (x[rows_kept] for x in (key, ids, begin, start, n))
             # What came earlier needs no meeting: it is sent by its document.
             key = np.where(again, mix(ids.astype(np.uint64)), key)
             data, edges = gather(texts.data, start, np.where(again, 0, n + size - 1))
@@ -131,7 +150,13 @@ def _later_starts(table: pa.Table, size: int) -> pa.RecordBatch:
     """The spans in which strings start that start earlier, too; rows come by key, doc_id, start."""
     table = table.combine_chunks()
     batch = table.to_batches()[0]
-    doc, begin, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "n"))
+    key, doc, begin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "start"))
+    # Cuttings of repeated rows that other tasks sent.
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] != begin[:-1])
+    if not new.all():
+        batch, doc, begin = batch.filter(pa.array(new)), doc[new], begin[new]
+    n = batch.column("n").to_numpy(zero_copy_only=False)
     held = texts_of(batch.column("bytes"))
     starts, ends = held.offsets[:-1], held.offsets[1:]
     order = suffix_array(held.data, starts, ends, n.astype(np.int64), size)

@@ -151,6 +151,20 @@ def test_repeat_edge_cases(docs_of):
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("spread", [4096, 1])
+def test_repeated_rows_are_one_document(docs_of, monkeypatch, spread):
+    monkeypatch.setattr(repeats, "SPREAD", spread)
+    text = lambda a, b: " ".join(f"w{k * k}" for k in range(a, b))
+    cases = [(30, text(100, 200))] * 5 + [(31, text(150, 300))] * 2 + [(32, text(500, 560) + " " + text(500, 560))] * 3 + [(33, text(100, 200))]
+    want = kept_bytes(cases)
+    docs = docs_of(cases)
+    rows = repeats.remove_repeats(docs).collect()
+    assert sorted((r.doc_id, r.n_bytes, len(r.removed), bytes(r.kept)) for r in rows) == sorted((i, want[i][0], want[i][2], want[i][3]) for i, _ in cases)
+    left = repeats.drop_repeats(docs).collect()
+    assert [r.text for r in left if r.doc_id == 30] == [text(100, 200)] * 5
+    assert Counter(r.doc_id for r in left) == {30: 5, 31: 2, 32: 3}
+
+
 def test_passages_cover_every_long_repeat(spark, corpus):
     texts = {i: words(t) for i, t in corpus.items()}
     spans = defaultdict(list)
