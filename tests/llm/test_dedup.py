@@ -196,6 +196,34 @@ def test_fuzzy_passage_and_clean_texts(docs_of):
     assert [(r.doc_id, r.start_word, r.n_words, r.ref_doc_id, r.ref_start_word, r.ref_n_words, r.n_matched, r.copy) for r in found] == [(2, 15, 80, 1, 50, 80, 78, False)]
 
 
+def test_passage_of_lines_that_each_stand_elsewhere_before(docs_of):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    lines = [[word() for _ in range(13)] for _ in range(40)]
+    fill = lambda n: [word() for _ in range(n)]
+    rows = [(k, fill(20) + line + fill(20)) for k, line in enumerate(lines)]
+    # Borders of two lines stand elsewhere before, too: only longer runs tell.
+    rows += [(50 + k, fill(20) + a[-8:] + b[:8] + fill(20)) for k, (a, b) in enumerate(zip(lines, lines[1:]))]
+    for k in range(10):
+        passage = sum(lines[4 * k : 4 * k + 4], [])
+        rows += [(100 + k, fill(30) + passage + fill(30)), (200 + k, fill(10) + passage + fill(50))]
+    found = passages.repeated_passages(docs_of([(i, " ".join(t)) for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.ref_doc_id, r.start_word, r.n_words) for r in found if r.doc_id >= 200) == [(200 + k, 100 + k, 10, 52) for k in range(10)]
+
+
+@pytest.mark.parametrize("every", [6, 8, 12])
+def test_passages_with_many_edits(docs_of, every):
+    rng = random.Random(every)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(60):
+        passage = fill(50)
+        edited = [f"changed{k}x{j}" if j % every == every - 1 else w for j, w in enumerate(passage)]
+        rows += [(k, fill(30) + passage + fill(30)), (100 + k, fill(30) + edited + fill(30))]
+    found = passages.repeated_passages(docs_of([(i, " ".join(t)) for i, t in rows])).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in found} == {(100 + k, k) for k in range(60)}
+
+
 def test_chains_follow_the_best_order():
     runs = np.array([[0, 100, 10], [12, 50, 5], [14, 112, 10], [30, 200, 5], [40, 130, 10]])
     assert passages.chains(runs)[0] == [0, 2, 4]
