@@ -31,8 +31,8 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised pieces and their places in sequences of 2048."""
-    return packing.pack(docs, word_encoder(public_tokenizers.path("word_bpe_49k.json")))
+    """Tokenised pieces with their ids, and their places in sequences of 2048."""
+    return packing.pack(docs, word_encoder(public_tokenizers.path("word_bpe_49k.json")), with_ids=True)
 
 
 STAGES = [

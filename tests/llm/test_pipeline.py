@@ -1,5 +1,9 @@
 """The pipeline stage by stage against plain Python, and as a whole."""
 
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
 from pixelmill.llm import quality, toxicity
 
@@ -42,6 +46,13 @@ def test_stages_and_run(spark):
     assert {r.doc_id for r in last.collect()} == set(texts)
 
 
+def test_packed_pieces_hold_their_ids(spark, docs_of):
+    out = corpus_pipeline.pack(spark, docs_of(EDGE), SF).collect()
+    assert len(out) > len(EDGE)
+    for r in out:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, np.int32).tobytes()) == r.ids_crc32
+
+
 def test_stages_take_any_rows(spark, docs_of):
     for name, step in corpus_pipeline.STAGES:
         docs = docs_of(EDGE)
