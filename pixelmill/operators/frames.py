@@ -35,7 +35,8 @@ def frame_islands(frames: DataFrame) -> DataFrame:
 
 
 def merge_islands(frames: DataFrame) -> DataFrame:
-    """First frame of every run, with the run's total duration and length."""
+    """First frame of every run, with the run's total duration and length, and `alpha`, where frames have that flag: whether any has it set."""
+    alpha = [F.coalesce(F.bool_or("alpha"), F.lit(False)).alias("alpha")] if "alpha" in frames.columns else []
     return (
         frame_islands(frames)
         .groupBy("anim_id", "island")
@@ -44,18 +45,22 @@ def merge_islands(frames: DataFrame) -> DataFrame:
             F.min_by("sig", "frame_no").alias("sig"),
             F.sum(F.coalesce(F.col("duration_ms"), F.lit(DEFAULT_DURATION_MS)).cast("bigint")).alias("duration_ms"),
             F.count(F.lit(1)).alias("n_frames"),
+            *alpha,
         )
     )
 
 
 def animation_stats(merged: DataFrame) -> DataFrame:
-    """Per animation, from merged frames: kept frames, mean duration, rate, dropped frames."""
+    """Per animation, from merged frames: kept frames, mean duration, rate, dropped frames, frames before merging, and any alpha where it is known."""
     mean = F.avg("duration_ms")
+    alpha = [F.bool_or("alpha").alias("any_alpha")] if "alpha" in merged.columns else []
     return merged.groupBy("anim_id").agg(
         F.count(F.lit(1)).alias("n_kept"),
         mean.alias("avg_duration_ms"),
         F.when(mean > 0, 1000.0 / mean).otherwise(F.lit(10.0)).alias("fps"),
         F.sum(F.col("n_frames") - 1).alias("n_dropped"),
+        F.sum("n_frames").alias("n_frames"),
+        *alpha,
     )
 
 

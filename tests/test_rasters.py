@@ -284,3 +284,12 @@ def test_animation_finds_its_own_repeats(spark):
     merged, out = PR.upscale_animation(frames, rasters, PR.Recipe())
     assert sorted((r.frame_no, r.n_frames, r.duration_ms) for r in merged.collect()) == [(0, 2, 20), (2, 2, 20), (4, 1, 10)]
     assert {r.image_id for r in out.select("image_id").collect()} == {0, 2, 4}
+
+
+def test_animation_stats_tell_alpha_and_frames_before_merging(spark):
+    from pixelmill.operators import frames as FR
+
+    rows = [(1, 0, 10, "a", False), (1, 1, 10, "a", True), (1, 2, 10, "b", False), (2, 0, 10, "a", False), (2, 1, 10, "a", None)]
+    frames = spark.createDataFrame(rows, "anim_id long, frame_no long, duration_ms int, sig string, alpha boolean")
+    found = FR.animation_stats(FR.merge_islands(frames)).collect()
+    assert sorted((r.anim_id, r.n_kept, r.n_dropped, r.n_frames, r.any_alpha) for r in found) == [(1, 2, 1, 3, True), (2, 1, 1, 2, False)]
