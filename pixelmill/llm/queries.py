@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pixelmill.llm.caps import OP12_SQL, op12_embedding_near_dedup
+from pixelmill.llm.infill import OP13_SQL, op13_fill_in_middle
 from pixelmill.llm.minhash import OP9_SQL, op9_minhash_near_dedup
 from pixelmill.llm.nearest import OP8_SQL, op8_exact_top_k
+from pixelmill.llm.negatives import OP11_SQL, op11_hard_negatives
 from pixelmill.llm.packing import op3_best_fit_packing
 from pixelmill.llm.passages import op5_substring_dedup
 from pixelmill.llm.quality import op10_quality_rules
@@ -23,10 +26,16 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE = {
     "op1_suffix_array_dedup": OP1_SQL,
     "op8_exact_top_k": OP8_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_embedding_near_dedup": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
