@@ -1,7 +1,4 @@
-"""Tags and attributes of fetched pages, read with regular expressions.
-
-Every pattern is linear: possessive groups, no nested repetition that backtracks.
-"""
+"""What the attributes of page elements say: addresses, sizes, texts."""
 
 from __future__ import annotations
 
@@ -20,68 +17,13 @@ LAZY_ATTRIBUTES = (
 UNKNOWN_SIZE = 1000
 ALT_LENGTH = 100
 
-# An unclosed element reaches to the end of the page, so every character is read once.
-_NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-# Attribute syntax: a quote opens a value only after `=`; elsewhere it belongs to the name or the bare value.
-_VALUE = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s"'>][^\s>]*+)"""
-_ATTRIBUTE = rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+"""
-_REST_OF_TAG = rf"(?=[\s/>])(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+(?:>|\z)"
-_END = "\0"
 # A `url(...)` in a style text: the address bare or in either quotes, with blanks inside quotes.
 _BACKGROUND = r"""background(?:-image)?\s*:[^;]*?url\(\s*(?:"([^"]*)"|'([^']*)'|([^'"\s)]+))\s*\)"""
 
 
-def strip_noise(html: Column) -> Column:
-    """Page without comments, scripts and style sheets."""
-    return F.regexp_replace(html, _NOISE, "")
-
-
-def _found(html: Column, pattern: str) -> Column:
-    """All matches of a tag pattern. A tag that no `>` ends takes the rest of the page with it and is none."""
-    every = F.regexp_extract_all(F.concat(html, F.lit(_END)), F.lit(pattern), F.lit(0))
-    return F.filter(every, lambda tag: tag.endswith(">"))
-
-
-def tags(html: Column, name: str) -> Column:
-    """All start tags of one name, in document order, as array<string>."""
-    return _found(html, rf"(?i)<{name}{_REST_OF_TAG}")
-
-
-def picture_blocks_and_sources(html: Column) -> Column:
-    """Whole `<picture>` blocks and free `<source>` tags, in document order; an unclosed block reaches to the page's end."""
-    return _found(F.concat(html, F.lit("</picture>")), rf"(?is)<picture\b.*?</picture\s*>|<source{_REST_OF_TAG}")
-
-
-def styled_tags(html: Column) -> Column:
-    """All start tags whose text mentions a background."""
-    return F.filter(_found(html, rf"(?i)<[a-z][^\s/>]*+{_REST_OF_TAG}"), lambda tag: tag.contains("background"))
-
-
-def _decode(text: Column) -> Column:
-    """The five predefined entities; `&amp;` last so nothing is decoded twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def attributes(tag: Column) -> Column:
-    """Attributes of a start tag as array<struct<name,value>>; names lower-cased."""
-    body = F.regexp_replace(tag, r"^<[^\s/>]+|>$", "")
-    found = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0))
-
-    def split(item: Column) -> Column:
-        value = F.regexp_extract(item, _ATTRIBUTE, 2)
-        bare = F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")
-        return F.struct(
-            F.lower(F.regexp_extract(item, _ATTRIBUTE, 1)).alias("name"), _decode(bare).alias("value")
-        )
-
-    return F.transform(found, split)
-
-
 def attribute(attrs: Column, name: str) -> Column:
-    """Value of an attribute (the first one wins), or null."""
-    return F.get(F.filter(attrs, lambda a: a["name"] == name), 0)["value"]
+    """Value of an attribute in a map of them, or null."""
+    return attrs[name]
 
 
 def _stripped(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pixelmill.functions.filters import aspect_ratio
 from pixelmill.functions.metadata import keep_png_text, read_model_list, strip_exif
 from pixelmill.functions.paths import is_image_suffix
-from .skew import CHUNK, ordered
+from .skew import ordered
 
 
 def filter_extension(assets: DataFrame, column: str = "ext") -> DataFrame:
@@ -82,14 +82,8 @@ def corpus_profile(assets: DataFrame) -> DataFrame:
 
 
 def ready_files(listings: DataFrame) -> DataFrame:
-    """Looks (path, size_bytes, seen_at) at which a file's size is positive and unchanged.
-
-    A file that was looked at very often is cut by day.
-    """
-    day = F.datediff(F.to_date("seen_at"), F.lit("1970-01-01").cast("date"))
-    seen = ordered(
-        listings.withColumn(CHUNK, day), ["path"], ["seen_at", "look_id"], previous={"__before": "size_bytes"}
-    )
+    """Looks (path, size_bytes, seen_at) at which a file's size is positive and unchanged."""
+    seen = ordered(listings, ["path"], ["seen_at", "look_id"], previous={"__before": "size_bytes"})
     return seen.where((F.col("size_bytes") > 0) & (F.col("__before") == F.col("size_bytes"))).drop("__before")
 
 

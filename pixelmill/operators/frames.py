@@ -11,27 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pixelmill.functions.pixels import luma, rgb_to_yuv444, to_uint8
 from .resize import resize
-from .skew import CHUNK, ordered
+from .skew import ordered
 
-FRAMES_PER_CHUNK = 32_768
 DEFAULT_DURATION_MS = 100  # fixed value
 THUMBNAIL = 16  # fixed value: side of the signature picture
 
 
-def _chunked(frames: DataFrame) -> DataFrame:
-    """Cuts an animation by frame number, so no window sees more than one chunk of it."""
-    return frames.withColumn(CHUNK, F.floor(F.col("frame_no") / FRAMES_PER_CHUNK))
-
-
 def frame_islands(frames: DataFrame) -> DataFrame:
     """Adds `island`, the 1-based number of the run of equal frames."""
-    marked = ordered(_chunked(frames), ["anim_id"], ["frame_no"], previous={"__sig": "sig"})
-    starts = marked.withColumn(
-        "__new", F.when((F.col("frame_no") == 0) | ~F.col("__sig").eqNullSafe(F.col("sig")), 1).otherwise(0)
-    ).drop("__sig")
-    return ordered(
-        _chunked(starts), ["anim_id"], ["frame_no"], sums={"island": F.col("__new").cast("bigint")}
-    ).drop("__new")
+    return ordered(frames, ["anim_id"], ["frame_no"], runs={"island": "sig"})
 
 
 def merge_islands(frames: DataFrame) -> DataFrame:

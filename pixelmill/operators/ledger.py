@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pixelmill.functions.filters import two_decimals
 from pixelmill.functions.paths import base_name, format_hms
-from .skew import CHUNK, ordered, same
+from .skew import FROM, PART, carried, ordered
 
 SMOOTHING = 0.3  # fixed value: weight of the newest duration
 
@@ -49,12 +51,10 @@ def batch_summary(ledger: DataFrame) -> DataFrame:
 def running_progress(ledger: DataFrame, totals: DataFrame) -> DataFrame:
     """At every finished item: items done so far, seconds, average, remaining time.
 
-    `totals`: run_id, total. A long run is cut by day; see `skew.ordered`.
+    `totals`: run_id, total.
     """
-    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    done = ledger.where(F.col("status") == "done").withColumn(CHUNK, day)
     counted = ordered(
-        done, ["run_id"], ["ts", "input_path"],
+        ledger.where(F.col("status") == "done"), ["run_id"], ["ts", "input_path"],
         sums={"completed": F.lit(1).cast("bigint"), "elapsed": F.col("elapsed_s")},
     )
     average = F.col("elapsed") / F.col("completed")
@@ -66,87 +66,113 @@ def running_progress(ledger: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def _recursion(n_keys: int, alpha: float):
-    """Adds place and average within each run of equal first columns; the value is the column after them.
+def linear_scan(x: np.ndarray, keep: float) -> np.ndarray:
+    """y[r] = keep * y[r - 1] + x[r], from 0, for values that are not negative.
 
-    The average starts from 0, so that what came before can be added later.
+    An element is the map e -> keep * e + x, and maps compose, so blocks are scanned side by side and then
+    joined. Inside a block the sum of x[i] / keep^i is taken, which grows by 1e13 at most, so every
+    digit of the sums of positive values stands; two blocks before, a weight is below any digit.
     """
-    keep = 1.0 - alpha
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, e, n = None, 0.0, 0
-        for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in range(n_keys)), strict=True)
-            places, averages = [], []
-            for key, x in zip(keys, batch.column(n_keys).to_pylist(), strict=True):
-                if key != now:
-                    now, e, n = key, 0.0, 0
-                e, n = keep * e + alpha * x, n + 1
-                places.append(n)
-                averages.append(e)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(places, pa.int64()), pa.array(averages, pa.float64())],
-                [*batch.schema.names, "__r", "__local"],
-            )
-
-    return run
-
-
-def _compose(n_keys: int, keep: float):
-    """What each chunk gets from those before it: an average e becomes keep ** n * e + end over a chunk."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, e = None, 0.0
-        for batch in batches:
-            keys = zip(*(batch.column(k).to_pylist() for k in range(n_keys)), strict=True)
-            carried = []
-            rest = (batch.column(k).to_pylist() for k in range(n_keys + 1, n_keys + 4))
-            for key, start, end, n in zip(keys, *rest, strict=True):
-                if key != now:
-                    now, e = key, start
-                carried.append(e)
-                e = keep**n * e + end
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n_keys + 1], pa.array(carried, pa.float64())],
-                [*batch.schema.names[: n_keys + 1], "__carry"],
-            )
-
-    return run
-
-
-def ema(
-    df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, alpha: float = SMOOTHING,
-    name: str = "ema",
-) -> DataFrame:
+    size = min(max(1, int(30 / -np.log(keep))), max(1, len(x)))
+    blocks = np.zeros((-(-len(x) // size), size))
+    blocks.ravel()[: len(x)] = x
+    weight = keep ** np.arange(1, size + 1)
+    blocks = np.cumsum(blocks / weight, 1) * weight
+    before = np.zeros(len(blocks))
+    before[1:] = blocks[:-1, -1]
+    before[2:] += weight[-1] * blocks[:-2, -1]
+    return (blocks + before[:, None] * weight).ravel()[: len(x)]
+
+
+_SHORT = 64
+
+
+def segment_scan(x: np.ndarray, starts: np.ndarray, keep: float) -> np.ndarray:
+    """linear_scan() of each segment; short ones are worked on together, place by place."""
+    size = np.diff(np.append(starts, len(x)))
+    out = x.astype(float)
+    for a, n in zip(starts[size > _SHORT].tolist(), size[size > _SHORT].tolist()):
+        out[a : a + n] = linear_scan(x[a : a + n], keep)
+    short, size = starts[size <= _SHORT], size[size <= _SHORT]
+    for r in range(1, int(size.max(initial=1))):
+        at = short[size > r] + r
+        out[at] += keep * out[at - 1]
+    return out
+
+
+def _changed(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row differs from the one before it in some column; null equals null."""
+    n = len(columns[0]) if columns else 0
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, max(n - 1, 0))
+        new[1:] |= pc.fill_null(pc.not_equal(a, b), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+    return new
+
+
+def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = SMOOTHING, name: str = "ema") -> DataFrame:
     """Exponential moving average over positive values, starting at the first one.
 
-    Values that are null or not positive are left out; null keys are one key, null
-    chunks come first. Every row runs through the exact recursion once, within its
-    chunk. Over a whole chunk the recursion is a linear step, so one row per chunk
-    carries the average on, and a long key is cut wherever `chunk` says (it must not
-    decrease along the order) with the same result for every `alpha`.
+    Values that are null or not positive are left out; null keys are one key. Over a run of rows the
+    recursion is one linear step, so a part's rows of a key are known by three numbers (first value, average
+    from 0, count), which the parts behind start from; see `skew.carried`. The same result for every
+    `alpha` between 0 and 1, both excluded.
     """
     keep = 1.0 - alpha
-    joint = [*keys, CHUNK]
-    rest = [c for c in df.columns if c not in keys and c != value]
-    cut = (
-        df.where(F.col(value) > 0).withColumn(CHUNK, chunk.cast("bigint"))
-        .select(*joint, F.col(value).cast("double").alias(value), *rest)
-    )
-    met = cut.repartition(*joint).sortWithinPartitions(*joint, *order)
-    added = [T.StructField("__r", T.LongType()), T.StructField("__local", T.DoubleType())]
-    local = met.mapInArrow(_recursion(len(joint), alpha), T.StructType([*met.schema, *added]))
-    ends = local.groupBy(*joint).agg(
-        F.min_by(value, "__r").alias("start"), F.max_by("__local", "__r").alias("end"), F.max("__r").alias("n")
-    )
-    chunks = ends.repartition(*keys).sortWithinPartitions(*joint)
-    carried = chunks.mapInArrow(
-        _compose(len(keys), keep), T.StructType([*(chunks.schema[k] for k in joint), T.StructField("__carry", T.DoubleType())])
-    ).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(joint)], "__carry")
-    return (
-        local.join(carried, [same(k, f"__k{i}") for i, k in enumerate(joint)])
-        .withColumn(name, F.col("__local") + F.pow(F.lit(keep), F.col("__r")) * F.col("__carry"))
-        .select(*df.columns, name)
-    )
+    given = df.where(F.col(value) > 0).withColumns({"__x": F.col(value).cast("double"), "__n": F.lit(1).cast("bigint"), "__end": F.col(value).cast("double")})
+
+    def end(kept: object, new: pa.Array) -> object:
+        e, n = kept if kept is not None else (0.0, 0)
+        return linear_scan(alpha * new.to_numpy(), keep)[-1] + keep ** len(new) * e, n + len(new)
+
+    kept = {
+        "__x": ("__x", lambda s, new: s if s is not None else new[0].as_py(), lambda s: s),
+        "__end": ("__x", end, lambda s: float(s[0])), "__n": ("__x", lambda s, new: (s or 0) + len(new), lambda s: s),
+    }
+    met = carried(given, keys, order, kept)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, PART, *keys).sortWithinPartitions(PART, *keys, FROM, *order)
+    names = df.columns
+    out = [met.schema.names.index(c) for c in names]
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, carry = None, None  # the group that the last batch ended in, and its average there
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, frm = batch.column(PART).to_numpy(), batch.column(FROM).to_numpy()
+            x, n, ends = (batch.column(c).to_numpy() for c in ("__x", "__n", "__end"))
+            columns = [batch.column(PART), *(batch.column(k) for k in keys)]
+            starts = np.flatnonzero(_changed(columns))
+            group = [c[0].as_py() for c in columns]
+            own, size = part == frm, np.diff(np.append(starts, batch.num_rows))
+            first = np.full(len(starts), np.nan)  # what each group goes on from: nothing, or an average
+            if group == open_:
+                first[0] = carry
+            # Rows of earlier parts, at most one a part, fold in one after the other.
+            passed = np.zeros(len(starts), np.int64)
+            for k in np.unique(np.searchsorted(starts, np.flatnonzero(~own), "right") - 1).tolist():
+                for i in range(starts[k], starts[k] + size[k]):
+                    if own[i]:
+                        break
+                    first[k] = keep ** n[i] * (x[i] if np.isnan(first[k]) else first[k]) + ends[i]
+                    passed[k] += 1
+            there = passed < size
+            begin = (starts + passed)[there]
+            base = np.where(np.isnan(first[there]), x[begin], first[there])
+            mine = np.flatnonzero(own)
+            where = np.searchsorted(mine, begin)
+            local = segment_scan(alpha * x[mine], where, keep)
+            length = np.diff(np.append(where, len(mine)))
+            step = np.arange(len(mine)) - np.repeat(where, length) + 1
+            result = local + keep**step * np.repeat(base, length)
+            open_ = [c[-1].as_py() for c in columns]
+            carry = float(result[-1]) if own[-1] else float(first[-1])
+            take = pa.array(mine)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in out), pa.array(result)], [*names, name])
+
+    return met.mapInArrow(average, T.StructType([*(met.schema[c] for c in df.columns), T.StructField(name, T.DoubleType())]))
 
 
 def csv_lines(entries: DataFrame) -> DataFrame:

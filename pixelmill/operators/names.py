@@ -6,72 +6,73 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .skew import CHUNK, ordered, rank_within
+from .skew import ordered
 
-_NAME = ["dir", "base", "ext"]
 _NUMBERED = r"^(.*)_(\d{3,})(\.[^.]*)?$"
-_NUMBERS_PER_CHUNK = 1_000_000
+_ENDING = r"_\d{3,}(\.[^.]*)?$"
+_PLAIN, _REQUEST, _NUMBER = 0, 1, 2
 
 
 def _three_digits(n: Column) -> Column:
     return F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
 
 
-def _taken_numbers(names: DataFrame) -> DataFrame:
-    """(dir, base, ext, n) of the names `<base>_<n><ext>` as this rule would write them."""
-    part = lambda i: F.regexp_extract("name", _NUMBERED, i)
-    return (
-        names.select("dir", part(1).alias("base"), part(3).alias("ext"), part(2).alias("digits"))
-        .where(F.col("base") != "")
-        .withColumn("n", F.col("digits").try_cast("bigint"))
-        .where((F.col("n") >= 2) & (_three_digits(F.col("n")) == F.col("digits")))
-        .select(*_NAME, "n")
-    )
+def _event(kind: int, name: Column, number: Column | None = None) -> Column:
+    return F.struct(name.alias("__name"), F.lit(kind).alias("__kind"), (F.lit(None) if number is None else number).cast("bigint").alias("__number"))
+
+
+def _events(kind: int, name: Column) -> Column:
+    """The event of a name, and what a name `<base>_<n><ext>`, as this rule would write it, takes from `<base><ext>`."""
+    part = lambda i: F.regexp_extract(name, _NUMBERED, i)
+    number = part(2).try_cast("bigint")
+    fits = (part(1) != "") & (number >= 2) & (_three_digits(number) == part(2))
+    own = _event(kind, name)
+    # Most names have no number; one short look tells.
+    return F.when(name.rlike(_ENDING) & fits, F.array(own, _event(_NUMBER, F.concat(part(1), part(3)), number))).otherwise(F.array(own))
 
 
-def unique_names(
-    planned: DataFrame, existing: DataFrame, order: Sequence[str], chunk: Column
-) -> DataFrame:
+def unique_names(planned: DataFrame, existing: DataFrame, order: Sequence[str]) -> DataFrame:
     """Gives every planned output (dir, base, ext) a free `name`, in `order`.
 
     The k-th request for a name takes the k-th free one of: the plain name, then
     `_002`, `_003`, ... `existing` lists files (dir, name). A number is free when no
     file has it and no other request asks for it as its plain name.
 
-    No list of numbers is ever gathered. With the taken numbers t1 < t2 < ... the
-    free numbers below tj are tj - 1 - j, so the i-th free number is i + 1 plus the
-    count of j with tj - 1 - j < i: a running count over requests and taken numbers
-    together, which is cut into chunks like any other ordered count.
+    Requests, files with the plain name and taken numbers are events of one plain name, from one reading
+    of each table. A first ordered scan counts requests and taken numbers. With the taken
+    numbers t1 < t2 < ... the free numbers below tj are tj - 1 - j, so the i-th free number is i + 1
+    plus the count of j with tj - 1 - j < i: a second ordered scan over both. No list of numbers
+    is ever gathered.
     """
-    requested = planned.select("dir", F.concat("base", "ext").alias("name")).distinct()
-    present = existing.select("dir", "name").distinct()
-    taken = _taken_numbers(present.unionByName(requested).distinct())
-    # Only numbers of requested names matter.
-    taken = taken.join(planned.select(*_NAME).distinct(), _NAME, "left_semi")
-    numbered = ordered(
-        taken.withColumn(CHUNK, F.floor(F.col("n") / _NUMBERS_PER_CHUNK)), _NAME, ["n"],
-        sums={"j": F.lit(1).cast("bigint")},
+    plain = F.concat("base", "ext")
+    asked = planned.select(
+        F.struct(*planned.columns).alias("__item"), F.col("dir").alias("__dir"),
+        *[F.col(c).alias(f"__by{k}") for k, c in enumerate(order)],
+        F.explode(_events(_REQUEST, plain)).alias("__event"),
     )
-    steps = numbered.select(
-        *_NAME, (F.col("n") - 1 - F.col("j")).alias("at"), F.lit(1).cast("bigint").alias("step")
+    there = existing.select(
+        F.col("dir").alias("__dir"), F.explode(_events(_PLAIN, F.col("name"))).alias("__event")
     )
-
-    plain = present.withColumn("plain_taken", F.lit(True))
-    wanted = (
-        rank_within(planned, _NAME, order, chunk, "k")
-        .withColumn("name", F.concat("base", "ext"))
-        .join(plain, ["dir", "name"], "left")
-        # 0 is the plain name, i >= 1 the i-th free number.
-        .withColumn("at", F.col("k") + F.when(F.col("plain_taken"), 1).otherwise(0))
-        .withColumn("step", F.lit(0).cast("bigint"))
-        .drop("plain_taken", "name")
+    events = asked.unionByName(there, allowMissingColumns=True).select("*", "__event.*").drop("__event")
+    events = events.withColumn("__item", F.when(F.col("__kind") == _REQUEST, F.col("__item")))
+    key, by = ["__dir", "__name"], [f"__by{k}" for k in range(len(order))]
+    of = lambda kind: (F.col("__kind") == kind).cast("bigint")
+    counted = ordered(
+        events, key, ["__kind", "__number", *by], sums={"__plain": of(_PLAIN), "__asked": of(_REQUEST)},
+        previous={"__before": "__number"}, runs={"__j": "__number"},
     )
-    both = wanted.unionByName(steps, allowMissingColumns=True).withColumn(
-        CHUNK, F.floor(F.col("at") / _NUMBERS_PER_CHUNK)
+    # Numbers come last; what stands before them has none and is one run.
+    j = F.col("__j") - F.when(F.col("__plain") + F.col("__asked") > 0, 1).otherwise(0)
+    request = F.col("__kind") == _REQUEST
+    at = F.when(request, F.col("__asked") - F.when(F.col("__plain") > 0, 0).otherwise(1)).otherwise(F.col("__number") - 1 - j)
+    new_number = (F.col("__kind") == _NUMBER) & (F.col("__asked") > 0) & ~F.col("__before").eqNullSafe(F.col("__number"))
+    steps = (
+        counted.where(request | new_number)
+        # 0 is the plain name, i >= 1 the i-th free number.
+        .select("__dir", "__name", "__item", at.alias("__at"), (1 - request.cast("bigint")).alias("__step"))
     )
-    counted = ordered(both, _NAME, ["at", "step"], sums={"skipped": F.col("step")}).where(F.col("step") == 0)
-    number = F.col("at") + 1 + F.col("skipped")
-    made = F.concat("base", F.lit("_"), _three_digits(number), "ext")
-    return counted.withColumn(
-        "name", F.when(F.col("at") == 0, F.concat("base", "ext")).otherwise(made)
-    ).drop("at", "step", "skipped")
+    placed = ordered(steps, key, ["__at", "__step"], sums={"__skipped": F.col("__step")}).where(F.col("__step") == 0)
+    number = F.col("__at") + 1 + F.col("__skipped")
+    made = F.concat("__item.base", F.lit("_"), _three_digits(number), "__item.ext")
+    name = F.when(F.col("__at") == 0, F.col("__name")).otherwise(made)
+    return placed.select(*[F.col(f"__item.{c}").alias(c) for c in planned.columns], name.alias("name"))

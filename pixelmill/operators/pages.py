@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pixelmill.functions import bind, html as H
 from pixelmill.functions.filters import has_inline_scheme
 from pixelmill.functions.urls import resolve_url, url_filename, url_host
+from .markup import elements
 
 # Smallest page image worth keeping.
 MIN_WIDTH, MIN_HEIGHT = 400, 600
@@ -23,35 +24,14 @@ def _present(value: Column) -> Column:
     return F.explode(F.filter(F.array(value), lambda u: u.isNotNull()))
 
 
-def _elements(html: Column) -> Column:
-    """Elements of a clean page that may hold an image: array of (phase, pos, sub, tag, inside)."""
-    def item(phase: int, pos: Column, sub: Column, tag: Column, inside: Column) -> Column:
-        return F.struct(
-            F.lit(phase).alias("phase"), pos.alias("pos"), sub.alias("sub"), tag.alias("tag"), inside.alias("inside")
-        )
-
-    def sources(block: Column, pos: Column) -> Column:
-        inside = F.lower(F.substring(block, 1, 8)) == "<picture"
-        return F.transform(H.tags(block, "source"), lambda tag, sub: item(2, pos, sub, tag, inside))
-
-    none, yes = F.lit(0), F.lit(True)
-    return F.concat(
-        F.transform(H.tags(html, "img"), lambda tag, pos: item(1, pos, none, tag, yes)),
-        F.flatten(F.transform(H.picture_blocks_and_sources(html), sources)),
-        F.transform(H.styled_tags(html), lambda tag, pos: item(3, pos, none, tag, yes)),
-    )
-
-
 def img_candidates(pages: DataFrame, strict: bool = False) -> DataFrame:
     """Every usable image reference of every page (page_id, url, html), made absolute.
 
     Phase 1 is `<img>`, phase 2 `<picture>` sources and image-typed `<source>`, phase 3
     inline background images; `pos`, `sub` is document order inside a phase. A page is
-    read and cleaned once, and its elements are exploded from its own row: no shuffle.
+    read once, where it lies: no shuffle.
     """
-    found = pages.select(
-        "page_id", F.col("url").alias("page_url"), F.inline(bind(H.strip_noise(F.col("html")), _elements))
-    ).withColumn("attrs", H.attributes(F.col("tag")))
+    found = elements(pages)
     attrs, phase = F.col("attrs"), F.col("phase")
 
     best, plain = H.best_srcset(H.attribute(attrs, "srcset")), H.lazy_source(attrs, strict)

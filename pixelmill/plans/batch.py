@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pixelmill.functions.filters import SkipRules, skip_reason
 from pixelmill.functions.paths import base_name, output_path, parent_dir
@@ -12,34 +12,33 @@ from pixelmill.operators.catalog import mark_existing
 from pixelmill.operators.names import unique_names
 
 
-def _free_names(items: DataFrame, outputs: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame:
+def _free_names(items: DataFrame, outputs: DataFrame, order: Sequence[str]) -> DataFrame:
     """Items with output paths that neither a file nor another item has."""
     split = lambda path: (parent_dir(path), base_name(path))
     folder, name = split(F.col("output_path"))
-    planned = (
-        items.withColumn("dir_out", folder)
-        .withColumn("base", F.regexp_replace(name, r"\.[^.]*$", "")).withColumn("ext_out", F.regexp_extract(name, r"\.[^.]*$", 0))
-    )
     kept = [c for c in items.columns if c != "output_path"]
-    asked = planned.select(F.struct(*kept).alias("item"), *order, F.col("dir_out").alias("dir"), "base", F.col("ext_out").alias("ext"), chunk.alias("__at"))
+    # Only these columns take part, whatever the items' own are called.
+    asked = items.select(
+        F.struct(*kept).alias("item"), *[F.col(c).alias(f"order{k}") for k, c in enumerate(order)], folder.alias("dir"),
+        F.regexp_replace(name, r"\.[^.]*$", "").alias("base"), F.regexp_extract(name, r"\.[^.]*$", 0).alias("ext"),
+    )
     there = outputs.select(*(c.alias(n) for c, n in zip(split(F.col("output_path")), ("dir", "name"))))
-    named = unique_names(asked, there, order, F.col("__at"))
+    named = unique_names(asked, there, [f"order{k}" for k in range(len(order))])
     return named.select("item.*", F.concat("dir", F.lit("/"), "name").alias("output_path"))
 
 
 def plan_items(
     assets: DataFrame, outputs: DataFrame, rules: SkipRules, overwrite: bool = True,
-    order: Sequence[str] = ("path",), chunk: Column | None = None, **naming,
+    order: Sequence[str] = ("path",), **naming,
 ) -> DataFrame:
     """Assets with `output_path`, `exists` and `reason`; a null reason means: do it.
 
     With `overwrite` off every item first gets a free name in `order`, so none of them
-    exists when the rules are asked. `chunk` cuts a long list of equal names; it must
-    not decrease along the order.
+    exists when the rules are asked.
     """
     named = assets.withColumn("output_path", output_path(F.col("path"), **naming))
     if not overwrite:
-        named = _free_names(named, outputs, list(order), F.lit(0) if chunk is None else chunk)
+        named = _free_names(named, outputs, list(order))
     marked = mark_existing(named, outputs)
     return marked.withColumn(
         "reason", skip_reason(rules, F.col("width"), F.col("height"), F.col("exists"))

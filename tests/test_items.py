@@ -4,13 +4,15 @@ import csv
 import glob
 import random
 import re
+from contextlib import contextmanager
 from urllib.parse import urljoin
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pixelmill.functions import filters as FL, paths as P, urls as U
-from pixelmill.operators import catalog as C, ledger as L, names as N, ordering as O, skew as K
+from pixelmill.operators import catalog as C, ledger as L, markup as M, names as N, ordering as O, skew as K
 from pixelmill.sources import files as SF, sinks as SK
 from tests_util import png
 
@@ -77,21 +79,48 @@ def test_unique_names_like_the_loop(spark):
     planned = spark.createDataFrame([(i, "/d", b, ".png") for i, b in requests], "i long, dir string, base string, ext string")
     there = spark.createDataFrame([("/d", f + ".png") for f in files], "dir string, name string")
     want = slow_names(requests, files)
-    for size in (64, 10**6):
-        named = N.unique_names(planned, there, ["i"], F.floor(F.col("i") / size))
-        assert {r.i: r.name for r in named.collect()} == {k: v + ".png" for k, v in want.items()}
-
-
-def test_chunks_change_nothing(spark):
-    """Also for a key that is null or holds a third of the rows, and for null times."""
-    key = F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 50)
-    df = spark.range(5000).select(F.when(F.col("id") > 20, F.col("id")).alias("t"), F.col("id").alias("i"), key.alias("k"))
-    ranks = [
-        {r.i: (r.k, r["rank"]) for r in K.rank_within(df, ["k"], ["t", "i"], F.floor(F.col("t") / size)).collect()}
-        for size in (7, 100, 10**6)
-    ]
-    assert ranks[0] == ranks[1] == ranks[2] and len(ranks[0]) == 5000
-    assert max(n for k, n in ranks[0].values() if k is None) == 1666
+    for parts in (1, 3, 16):
+        with shuffles(spark, parts):
+            assert {r.i: r.name for r in N.unique_names(planned, there, ["i"]).collect()} == {k: v + ".png" for k, v in want.items()}
+
+
+@contextmanager
+def shuffles(spark, parts):
+    """More parts than rows of a key, fewer, and one."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_ordered_scans_equal_a_loop(spark, parts):
+    """Also for a key that is null or holds a third of the rows, null and equal times, runs over several parts."""
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, None, "hot", "hot", "a", "b", float("nan")]), rng.choice([None, *range(30)]), i, rng.choice(["x", "x", "x", "y", None]) if i > 600 else "x", rng.choice([None, 1, 2])) for i in range(900)]
+    rows = [(None if k is None else str(k), *rest) for k, *rest in rows]
+    df = spark.createDataFrame(rows, "k string, t int, i long, s string, n int").repartition(3)
+    want, last = {}, {}
+    for k, t, i, s, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        total, rank, run, before = last.get(k, (None, -1, 0, None))
+        run += rank < 0 or before != s
+        total = total if n is None else (total or 0) + n
+        want[i] = (total, rank + 1, run, before)
+        last[k] = (total, rank + 1, run, s)
+    with shuffles(spark, parts):
+        out = K.ordered(df, ["k"], ["t", "i"], sums={"total": F.col("n"), "rank": F.lit(1)}, previous={"before": "s"}, runs={"run": "s"}).collect()
+        ranks = {r.i: r["rank"] for r in K.rank_within(df, ["k"], ["t", "i"]).collect()}
+    assert {r.i: (r.total, r["rank"] - 1, r.run, r.before) for r in out} == want
+    assert ranks == {i: w[1] for i, w in want.items()} and set(out[0].asDict()) == {"k", "t", "i", "s", "n", "total", "rank", "run", "before"}
+
+
+def test_keys_that_are_not_a_number(spark):
+    df = spark.createDataFrame([(float("nan"), i) for i in range(200)] + [(None, i) for i in range(50)], "k double, i long")
+    with shuffles(spark, 7):
+        assert sorted(r["rank"] for r in K.rank_within(df, ["k"], ["i"]).collect()) == sorted([*range(200), *range(50)])
+        assert K.rank_within(df.limit(0), ["k"], ["i"]).collect() == []
 
 
 def test_global_rank_at_any_cut(spark):
@@ -103,18 +132,32 @@ def test_global_rank_at_any_cut(spark):
         assert {r.path: r["rank"] for r in global_rank(df, every=every, most=most).collect()} == want
 
 
-def test_ema_in_chunks_is_the_recursion(spark):
+@pytest.mark.parametrize("parts,alpha", [(1, 0.3), (6, 0.3), (40, 0.05), (6, 0.01), (6, 0.999)])
+def test_moving_average_is_the_recursion(spark, parts, alpha):
     rng = random.Random(5)
-    xs = [rng.choice([0.0, -1.0, rng.random() * 10]) if i > 400 else rng.random() for i in range(900)]
-    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(xs)], "k string, i long, x double")
-    for size, alpha in ((1, 0.3), (7, 0.3), (1000, 0.3), (7, 0.05), (300, 0.01)):
-        e, want = None, {}
-        for i, x in enumerate(xs):
-            if x > 0:
-                e = x if e is None else (1 - alpha) * e + alpha * x
-                want[i] = e
-        got = {r.i: r.ema for r in L.ema(df, ["k"], ["i"], "x", F.floor(F.col("i") / size), alpha).collect()}
-        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-12
+    xs = [(rng.choice(["r", "r", None, *"abcdefg"]), i, rng.choice([0.0, -1.0, None, rng.random() * 10**rng.randrange(9)]) if i > 400 else rng.random()) for i in range(2500)]
+    e, want = {}, {}
+    for k, i, x in xs:
+        if x is not None and x > 0:
+            e[k] = want[i] = x if k not in e else (1 - alpha) * e[k] + alpha * x
+    df = spark.createDataFrame(xs, "k string, i long, x double").repartition(5)
+    with shuffles(spark, parts):
+        got = {r.i: r.ema for r in L.ema(df, ["k"], ["i"], "x", alpha).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] / want[i] - 1) for i in want) < 1e-11
+
+
+def test_linear_scan_of_any_length():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000, 20_000):
+        for keep in (0.999, 0.7, 0.001):
+            x, y, want = rng.random(n) * 10.0 ** rng.integers(-6, 6, n), 0.0, []
+            for v in x.tolist():
+                y = keep * y + v
+                want.append(y)
+            assert np.allclose(L.linear_scan(x, keep), want, rtol=1e-12, atol=0)
+            starts = np.unique(np.append(0, rng.integers(0, max(n, 1), 30))) if n else np.zeros(0, int)
+            parts = [L.linear_scan(x[a:b], keep) for a, b in zip(starts, np.append(starts[1:], n))]
+            assert np.allclose(L.segment_scan(x, starts, keep), np.concatenate(parts) if parts else x, rtol=1e-12, atol=0)
 
 
 def test_resume_after_any_prefix(spark):
@@ -225,38 +268,51 @@ def html_of(spark, f, texts):
     return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "html string").select(f(F.col("html"))).collect()]
 
 
-def test_tags_follow_attribute_syntax(spark):
-    from pixelmill.functions import html as H
+def images(html):
+    return [attrs for phase, _, _, _, attrs in M.read_page(html.encode()) if phase == M.IMAGE]
 
-    pages = ['<img src="a.png" alt="5" tall"><img src="b.png">', "<img alt=it's src=c.png><p>", '<imgx src=a><img/><img src=a/>', '<img alt="x > y" src=z>', '<img alt="never closed>', "<img " + "word " * 200_000]
-    want = [['<img src="a.png" alt="5" tall">', '<img src="b.png">'], ["<img alt=it's src=c.png>"], ["<img/>", "<img src=a/>"], ['<img alt="x > y" src=z>'], [], []]
-    assert html_of(spark, lambda h: H.tags(h, "img"), pages) == want
-    pairs = html_of(spark, lambda h: H.attributes(F.get(H.tags(h, "img"), 0)), [*pages[:2], "<img A=1 b = 'x y' c d=>"])
-    assert [[tuple(a) for a in p] for p in pairs] == [
-        [("src", "a.png"), ("alt", "5"), ('tall"', "")], [("alt", "it's"), ("src", "c.png")], [("a", "1"), ("b", "x y"), ("c", ""), ("d", "")],
-    ]
 
+@pytest.mark.parametrize("html,want", [
+    ('<img src="a.png" alt="5" tall"><img src="b.png">', [{"src": "a.png", "alt": "5", 'tall"': ""}, {"src": "b.png"}]),
+    ("<img alt=it's src=c.png><p>", [{"alt": "it's", "src": "c.png"}]),
+    ("<imgx src=a><img/><img src=a/>", [{}, {"src": "a/"}]),
+    ('<img alt="x > y" src=z>', [{"alt": "x > y", "src": "z"}]),
+    ("<img A=1 b = 'x y' a=2 c d=><IMG ÄÖ=é>", [{"a": "1", "b": "x y", "c": "", "d": ""}, {"äö": "é"}]),
+    ('<a title="<img src=no>"><img src="&lt;&amp;lt;">', [{"src": "<&lt;"}]),
+    ('<img alt="never closed><img src=a>', []), ("<img " + "word " * 200_000, []), ("", []), ("< img src=a><<img src=b>", [{"src": "b"}]),
+    ("<script>'<img src=a>'</script ><img src=b><style><img></style><!-- <img> --><img src=c>", [{"src": "b"}, {"src": "c"}]),
+    ("<img src=a><script>b<img src=x>", [{"src": "a"}]), ("<img src=a><!-- b<img src=x>", [{"src": "a"}]), ("<style>b<img>", []),
+    ("<scripty><img src=a></scripty>", [{"src": "a"}]),
+])
+def test_start_tags_follow_attribute_syntax(html, want):
+    assert images(html) == want
 
-def test_unclosed_elements_reach_to_the_end(spark):
-    from pixelmill.functions import html as H
 
-    pages = ["a<script>b<img src=x>", "a<!-- b<img src=x>", "a<style>b</style>c<script>d</script >e"]
-    assert html_of(spark, H.strip_noise, pages) == ["a", "a", "ace"]
-    assert html_of(spark, H.picture_blocks_and_sources, ["<picture><source src=a><img>"]) == [["<picture><source src=a><img></picture>"]]
+def test_pictures_sources_and_backgrounds_are_counted_in_order():
+    html = ("<source src=a><picture><source src=b><img src=i><source src=c></picture ><source src=d>"
+            "<div style='background:url(x)'><picture><picture><source src=e></picture><source src=f><picture><source src=g><p><source src=h>")
+    got = [(phase, pos, sub, inside, attrs.get("src", attrs.get("style"))) for phase, pos, sub, inside, attrs in M.read_page(html.encode())]
+    assert got == [(2, 0, 0, False, "a"), (2, 1, 0, True, "b"), (1, 0, 0, True, "i"), (2, 1, 1, True, "c"), (2, 2, 0, False, "d"),
+                   (3, 0, 0, True, "background:url(x)"), (2, 3, 0, True, "e"), (2, 4, 0, False, "f"), (2, 5, 0, True, "g"), (2, 5, 1, True, "h")]
 
 
-def test_reading_time_grows_with_the_page(spark):
-    from time import perf_counter
+def test_elements_of_a_table_of_pages(spark):
+    pages = spark.createDataFrame([("p", "u", "<img src=1>", 9), (None, None, "<img src=2><img>", 9), ("q", "v", None, 9), ("r", "w", "", 9)], "page_id string, url string, html string, phase int")
+    rows = sorted((tuple(r) for r in M.elements(pages).collect()), key=str)
+    assert rows == sorted([("p", "u", 1, 0, 0, True, {"src": "1"}), (None, None, 1, 0, 0, True, {"src": "2"}), (None, None, 1, 1, 0, True, {})], key=str)
+    assert M.elements(pages.limit(0)).collect() == []
 
-    from pixelmill.functions import html as H
+
+@pytest.mark.parametrize("unit", ["<script ", "<picture ", "<!-- ", "<img '", "<img a=", "<", "</script ", "<style></style", "<a b c d e ", "<p/ / / "])
+def test_reading_time_grows_with_the_page(unit):
+    from time import perf_counter
 
     def seconds(n):
         start = perf_counter()
-        html_of(spark, lambda h: F.struct(H.strip_noise(h), H.picture_blocks_and_sources(h), H.tags(h, "img")), [unit * n for unit in ("<script ", "<picture ", "<!-- ", "<img '")])
+        list(M.read_page(unit.encode() * n))
         return perf_counter() - start
 
-    seconds(1000)
-    assert seconds(64_000) < 16 * seconds(16_000) + 2
+    assert seconds(160_000) < 16 * seconds(40_000) + 0.5
 
 
 def test_background_addresses(spark):

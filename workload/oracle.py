@@ -74,7 +74,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT page_id, base, href, href[2:] AS tail, pos FROM (
           SELECT page_id, url AS base, unnest(hs) AS href, unnest(CAST(range(len(hs)) AS INTEGER[])) AS pos
           FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages)))""",
-    "image_pages_v": f"SELECT page_id, url, {_PAGE_HTML} || html AS html FROM pages",
+    "image_pages_v": f"SELECT page_id, url, html || {_PAGE_HTML} AS html FROM pages",
     "texts_v": """
         SELECT doc_id, text || CASE doc_id % 4
           WHEN 0 THEN ' see https://img.example.com/a/' || doc_id || '.jpeg?w=10&h=20, ok'
@@ -261,10 +261,12 @@ add("settle", """
     GROUP BY folder, grp""")
 add("image_headers", "SELECT path, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height FROM assets_v")
 add("plan_without_overwriting", """
-    SELECT doc_id, '/out/n' || b || '_upscaled' || CASE WHEN k = 1 THEN '' ELSE '_' || lpad(CAST(k + CAST(taken AS INTEGER) AS VARCHAR), 3, '0') END || '.png' AS output_path,
+    SELECT doc_id, '/out/n' || b || '_upscaled' || CASE WHEN pick = 1 THEN '' ELSE '_' || lpad(CAST(pick AS VARCHAR), 3, '0') END || '.png' AS output_path,
       false AS "exists", CASE WHEN width < 300 THEN 'width ' || width || ' < min 300' END AS reason
-    FROM (SELECT doc_id, width, doc_id % 50 AS b, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k,
-      doc_id % 50 IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey < 50) AS taken FROM assets_v)""")
+    FROM (SELECT *, (list_filter(range(1, k + 6), lambda i: NOT list_contains(coalesce(used, []), i)))[k] AS pick
+      FROM (SELECT doc_id, width, b, used, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS k
+        FROM (SELECT *, doc_id // 4 AS b FROM assets_v)
+        LEFT JOIN (SELECT p_partkey // 3 AS b, list(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE p_partkey % 3 + 2 END) AS used FROM part GROUP BY 1) USING (b)))""")
 
 # ---- arrays, maps, JSON ----------------------------------------------------------
 
@@ -437,7 +439,9 @@ add("merge_islands", """
 add("animation_stats", """
     SELECT anim_id, count(*) AS n_kept, round(avg(duration_ms), 9) AS avg_duration_ms,
       round(CASE WHEN avg(duration_ms) > 0 THEN 1000 / avg(duration_ms) ELSE 10 END, 9) AS fps,
-      CAST(sum(n_frames - 1) AS BIGINT) AS n_dropped FROM runs_v GROUP BY anim_id""")
+      CAST(sum(runs_v.n_frames - 1) AS BIGINT) AS n_dropped, any_value(f.n_frames) AS n_frames, any_value(any_alpha) AS any_alpha
+    FROM runs_v JOIN (SELECT anim_id, count(*) AS n_frames, bool_or(duration_ms % 97 = 0) AS any_alpha FROM frames_v GROUP BY anim_id) f USING (anim_id)
+    GROUP BY anim_id""")
 add("frame_islands", """
     SELECT anim_id, frame_no, sig, dense_rank() OVER (PARTITION BY anim_id ORDER BY start) AS island
     FROM (SELECT *, min(frame_no) OVER (PARTITION BY anim_id, sig, grp) AS start FROM islands_v)""")
@@ -498,7 +502,7 @@ add("new_files", "SELECT path FROM assets_v EXCEPT SELECT path FROM assets_v WHE
 add("add_unique", """
     SELECT path, CAST(list_no AS INTEGER) AS list_no, event_id AS pos FROM (
       SELECT *, row_number() OVER (PARTITION BY path ORDER BY list_no, event_id) AS rn FROM (
-        SELECT *, CASE category WHEN 'click' THEN 0 ELSE 1 END AS list_no FROM history_v WHERE category IN ('click', 'view'))) WHERE rn = 1""")
+        SELECT *, CASE category WHEN 'click' THEN 0 ELSE 1 END AS list_no FROM history_v)) WHERE rn = 1""")
 add("remove_selected", """
     SELECT pos, path FROM models_v WHERE path NOT IN (SELECT path FROM models_v WHERE p_size > 25)""")
 

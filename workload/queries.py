@@ -257,11 +257,14 @@ def image_headers(v):
 
 @query
 def plan_without_overwriting(v):
-    """All pictures to one folder, where a third of the names is taken."""
-    assets = v.assets().select("doc_id", F.concat(F.lit("/in/n"), (F.col("doc_id") % 50).cast("string"), F.lit(".png")).alias("path"), "width", "height")
-    taken = v.table("part").where("p_partkey % 3 = 0 AND p_partkey < 50").select(F.concat(F.lit("/out/n"), F.col("p_partkey").cast("string"), F.lit("_upscaled_002.png")).alias("output_path"))
+    """All pictures to one folder, four to a name, where many plain and numbered names are taken."""
+    name = lambda key, n: F.concat(F.lit("n"), F.floor(key / n).cast("string"))
+    assets = v.assets().select("doc_id", F.concat(F.lit("/in/"), name(F.col("doc_id"), 4), F.lit(".png")).alias("path"), "width", "height")
+    key = F.col("p_partkey")
+    ending = F.when(key % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("_00"), (key % 3 + 2).cast("string")))
+    taken = v.table("part").select(F.concat(F.lit("/out/"), name(key, 3), F.lit("_upscaled"), ending, F.lit(".png")).alias("output_path"))
     rules = FL.SkipRules(skip_existing=True, size_limits=True, min_width=300)
-    items = B.plan_items(assets, taken, rules, overwrite=False, order=["doc_id"], chunk=F.floor(F.col("doc_id") / 100), output_dir="/out")
+    items = B.plan_items(assets, taken, rules, overwrite=False, order=["doc_id"], output_dir="/out")
     return items.select("doc_id", "output_path", "exists", "reason")
 
 
@@ -439,8 +442,9 @@ def merge_islands(v):
 
 @query
 def animation_stats(v):
-    s = FR.animation_stats(FR.merge_islands(v.frames()))
-    return s.select("anim_id", "n_kept", r9(F.col("avg_duration_ms")).alias("avg_duration_ms"), r9(F.col("fps")).alias("fps"), "n_dropped")
+    frames = v.frames().withColumn("alpha", F.col("duration_ms") % 97 == 0)
+    s = FR.animation_stats(FR.merge_islands(frames))
+    return s.select("anim_id", "n_kept", r9(F.col("avg_duration_ms")).alias("avg_duration_ms"), r9(F.col("fps")).alias("fps"), "n_dropped", "n_frames", "any_alpha")
 
 
 @query
@@ -490,12 +494,11 @@ def dedupe_urls(v):
 
 @query
 def unique_names(v):
-    there = v.collide().select("dir", F.concat("base", F.lit("_002"), "ext").alias("name")).where(F.col("name").contains("7_"))
-    there = there.unionByName(
-        v.collide().where(F.col("l_quantity") > 40).select("dir", F.concat("base", "ext").alias("name"))
-    ).distinct()
+    numbered, plain = F.concat("base", F.lit("_002"), "ext"), F.concat("base", "ext")
+    names = F.array(F.when(numbered.contains("7_"), numbered), F.when(F.col("l_quantity") > 40, plain))
+    there = v.collide().select("dir", F.explode(F.array_compact(names)).alias("name"))
     order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-    named = N.unique_names(v.collide(), there, order, F.floor(F.col("l_partkey") / 1000))
+    named = N.unique_names(v.collide(), there, order)
     return named.select("base", *order, "name")
 
 
@@ -505,9 +508,8 @@ def ema(v):
     done = v.ledger().where(F.col("status") == "done")
     done = done.withColumn("run_id", F.when(F.col("run_id") != 3, F.col("run_id")))
     done = done.withColumn("ts", F.when(~F.col("input_path").endswith("7.png"), F.col("ts")))
-    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
     for percent in (30, 5, 1):
-        done = L.ema(done, ["run_id"], ["ts", "input_path"], "elapsed_s", day, percent / 100, f"ema_{percent}")
+        done = L.ema(done, ["run_id"], ["ts", "input_path"], "elapsed_s", percent / 100, f"ema_{percent}")
     return done.select("run_id", "input_path", *[r6(F.col(f"ema_{p}") + 1.234e-7).alias(f"ema_{p}") for p in (30, 5, 1)])
 
 
@@ -534,8 +536,9 @@ def new_files(v):
 
 @query
 def add_unique(v):
-    done = lambda kind: v.history().where(F.col("category") == kind).select(F.col("event_id").alias("pos"), "path")
-    return C.add_unique(done("click"), done("view"), "path").select("path", "list_no", "pos")
+    clicks = F.col("category") == "click"
+    opened = lambda which: v.history().where(which).select(F.col("event_id").alias("pos"), "path")
+    return C.add_unique(opened(clicks), opened(~clicks), "path").select("path", "list_no", "pos")
 
 
 @query

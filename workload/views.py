@@ -89,8 +89,7 @@ class Views:
             F.col("user_id").alias("anim_id"), "ts", "event_id", F.col("event_type").alias("sig"),
             F.floor(F.col("value") * 10).cast("int").alias("duration_ms"),
         )
-        day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-        return rank_within(ev, ["anim_id"], ["ts", "event_id"], day, "frame_no").select(
+        return rank_within(ev, ["anim_id"], ["ts", "event_id"], "frame_no").select(
             "anim_id", "frame_no", "duration_ms", "sig"
         )
 
@@ -177,7 +176,7 @@ class Views:
         pieces = []
         for part in IMAGE_HTML:
             pieces += [F.lit(part), i]
-        return self.table("pages").select("page_id", "url", F.concat(*pieces[:-1], F.col("html")).alias("html"))
+        return self.table("pages").select("page_id", "url", F.concat("html", *pieces[:-1]).alias("html"))
 
     def texts(self) -> DataFrame:
         i = F.col("doc_id").cast("string")
