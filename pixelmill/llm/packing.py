@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from pixelmill.llm.encoding import WordIds, word_encoder
-from pixelmill.llm.tables import stage
+from pixelmill.llm.tables import share, stage
 from pixelmill.llm.textarrays import slices, texts_of
 
 CAPACITY = 2048
@@ -198,15 +198,15 @@ def pack(docs: DataFrame, encode: Callable[[list[str]], list[bytes]], end: int =
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # `capacity` rows at most
         histogram[row["length"]] = row["n"]
-    plan = docs.sparkSession.sparkContext.broadcast(Plan(histogram, capacity))  # its size depends on the capacity alone
+    plan = share(docs.sparkSession, Plan(histogram, capacity))  # its size depends on the capacity alone
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = cut.join(counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), ["task", "length"])
+    ranked = cut.join(counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).hint("merge"), ["task", "length"])
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
     schema = T.StructType([*(cut.schema[c] for c in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = plan.value.find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            sequence, offset = plan().find(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], schema.names)
 
     return ranked.withColumn("rank", F.col("base") + F.col("nth")).select(*kept, "rank").mapInArrow(rows, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pixelmill.llm.tables import buckets, stage
+from pixelmill.llm.tables import buckets, share, stage
 from pixelmill.llm.textarrays import slices, texts_of
 
 P_MIN = 5e-5
@@ -189,14 +189,14 @@ def fit(docs: DataFrame) -> Tree:
     numbers = np.flatnonzero(often)
     tree.levels.append(Level(numbers.astype(np.uint64), times[numbers]))
     for depth in range(LEVELS):
-        held = spark.sparkContext.broadcast(tree)
+        held = share(spark, tree)
 
         def pairs(part: pa.RecordBatch, held=held, depth=depth) -> tuple[np.ndarray, np.ndarray]:
             names, which, first, _ = _tokens(part)
-            number = held.value.numbers(names)[which]
+            number = held().numbers(names)[which]
             start = np.zeros(len(number), bool)
             start[first] = True
-            context = held.value.contexts(number, start)[depth]
+            context = held().contexts(number, start)[depth]
             at = np.flatnonzero((context >= 0) & (number >= 0))
             return np.unique(pair(context[at], number[at]), return_counts=True)
 
@@ -204,7 +204,6 @@ def fit(docs: DataFrame) -> Tree:
         found = _counted(docs, pairs).filter(F.col("n") >= max(2.0, P_MIN * GAMMA * n)).toArrow()
         keys, times = _sorted(found)
         _keep(tree, depth, keys, times)
-        held.destroy()
         longer = (times >= max(2.0, P_MIN * n)) & (tree.words[(keys & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)] != END)
         if depth + 1 < LEVELS:
             tree.levels.append(Level(keys[longer], times[longer]))
@@ -266,7 +265,7 @@ def _unplanes(raw: bytes, kind: type) -> np.ndarray:
 def score(docs: DataFrame, tree: Tree) -> DataFrame:
     """One row per row of `docs` (doc_id, text, held_out): n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
-    held, n_buckets = spark.sparkContext.broadcast(tree), max(1, buckets(spark) // 2)
+    held, n_buckets = share(spark, tree), max(1, buckets(spark) // 2)
     key = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([
         T.StructField("row", T.LongType()), key,
@@ -275,7 +274,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per text without its rare words, and now and then a row per bucket with the rare words since."""
-        tree = held.value
+        tree = held()
         log_root, log_total, log_count, known = tree.log_root, tree.log_total, np.log10(tree.counts + ADD), tree.counts > 0
         row = TaskContext.get().partitionId() << 40
         rare: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

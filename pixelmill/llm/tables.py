@@ -3,16 +3,40 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelmill.llm.textarrays import Memo
+
+
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of a value of any class; what is returned gives the value inside a task.
+
+    It goes as bytes that hold this package's classes, too: a broadcast of the value itself names them
+    only, and executors have no copy of the package.
+    """
+    held, seen = spark.sparkContext.broadcast(cloudpickle.dumps(value)), Memo()
+
+    def get() -> Any:
+        if "value" not in seen:
+            seen["value"] = cloudpickle.loads(held.value)
+        return seen["value"]
+
+    return get
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of its own only where that is unset on a single machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="pixelmill-llm-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pixelmill.llm.tables import stage
+from pixelmill.llm.tables import share, stage
 from pixelmill.llm.textarrays import Texts, mix, slices, texts_of
 
 #: Labelled documents that the fit may read; the driver gets the places of their telling features only.
@@ -184,16 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicModel:
 
 def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: doc_id, score, and the offending sentences as spans of bytes with their scores."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # FIT_ROWS documents' features at most
+    held = share(docs.sparkSession, model)  # FIT_ROWS documents' features at most
     key = T.StructField("doc_id", docs.schema[doc_id].dataType)
     spans = T.StructType.fromDDL("score double, offending array<struct<start:long,end:long,score:double>>")
     schema = T.StructType([key, *spans])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = float(_sigmoid(np.array(held.value.bias)))
+        empty = float(_sigmoid(np.array(held().bias)))
         for part in slices(batches, "text"):
             texts = texts_of(part.column(1))
-            p, (start, end, owner) = held.value.sentence_scores(texts)
+            p, (start, end, owner) = held().sentence_scores(texts)
             bad = np.flatnonzero(p >= THRESHOLD)
             cut = np.searchsorted(owner[bad], np.arange(len(texts) + 1)).astype(np.int32)
             begin = texts.offsets[owner[bad]]
@@ -205,11 +205,11 @@ def score(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
     """The rows of `docs` whose score stays below the threshold, with all their columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            yield part.filter(pa.array(held.value.scores(texts_of(part.column(text))) < THRESHOLD))
+            yield part.filter(pa.array(held().scores(texts_of(part.column(text))) < THRESHOLD))
 
     return docs.mapInArrow(rows, docs.schema)
 

@@ -1,11 +1,18 @@
 """The pipeline stage by stage against plain Python, and as a whole."""
 
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from pixelmill.llm import quality, toxicity
+from pixelmill.llm.queries import QUERIES
+from pixelmill.llm.tables import shared_folder
 
 from conftest import SF
 from llm_cases import EDGE, docs_of  # noqa: F401
@@ -62,3 +69,46 @@ def test_stages_take_any_rows(spark, docs_of):
         else:
             assert out.columns == docs.columns and out.count() <= len(EDGE)
         assert step(spark, docs_of([]), SF).count() == 0
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import functions as F
+from pixelmill.session import build
+import __spark_entry__ as entry
+spark = build("foreign", "local[4]", **{{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": {folder!r}}})
+spark.sparkContext.setLogLevel("OFF")
+
+def absent(rows):
+    try:
+        import pixelmill
+    except ImportError:
+        return iter([1])
+    return iter([0])
+
+assert spark.sparkContext.parallelize(range(2), 2).mapPartitions(absent).sum() == 2, "workers see the package"
+for name in entry.LLM_QUERIES:
+    entry.queries()[name](spark, {data!r}).write.format("noop").mode("overwrite").save()
+    print("ran", name, flush=True)
+spark.stop()
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """All queries of this folder and the pipeline, with workers that start elsewhere."""
+    script = tmp_path / "run.py"
+    script.write_text(FOREIGN.format(repo=str(Path(corpus_pipeline.__file__).parent), folder=f"file://{tmp_path}/shared", data=SF))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr[-3000:]
+    assert out.stdout.count("ran ") == len(QUERIES) + 1
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
