@@ -78,23 +78,6 @@ def tile_band(memory_gb: Column) -> tuple[Column, Column]:
     return width, height
 
 
-def side_ramp(
-    pos: Column, length: Column, ramp: int, start: Column, end: Column, inclusive: bool = False
-) -> Column:
-    """Blend weight along one axis of a tile: linear over `ramp` pixels at each side.
-
-    `start` / `end` say whether that side is feathered at all. The ramp is i/ramp;
-    `inclusive` makes it reach 1 on its last pixel, i/(ramp-1).
-    """
-    if ramp <= 0:
-        return F.lit(1.0)
-    steps = float(max(ramp - 1, 1)) if inclusive else float(ramp)
-    last = length - 1 - pos
-    up = F.when(start & (pos < ramp), pos / F.lit(steps)).otherwise(F.lit(1.0))
-    down = F.when(end & (last < ramp), last / F.lit(steps)).otherwise(F.lit(1.0))
-    return up * down
-
-
 def mirror(index: Column, size: Column) -> Column:
     """Index reflected into 0..size-1 without repeating the edge (period 2(size-1))."""
     period = F.greatest((size - 1) * 2, F.lit(1))

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pixelmill.functions.filters import two_decimals
 from pixelmill.functions.paths import base_name, format_hms
+from .batches import changed
 from .skew import FROM, PART, carried, ordered
 
 SMOOTHING = 0.3  # fixed value: weight of the newest duration
@@ -100,17 +100,6 @@ def segment_scan(x: np.ndarray, starts: np.ndarray, keep: float) -> np.ndarray:
     return out
 
 
-def _changed(columns: list[pa.Array]) -> np.ndarray:
-    """Where a row differs from the one before it in some column; null equals null."""
-    n = len(columns[0]) if columns else 0
-    new = np.zeros(n, bool)
-    new[:1] = True
-    for c in columns:
-        a, b = c.slice(1), c.slice(0, max(n - 1, 0))
-        new[1:] |= pc.fill_null(pc.not_equal(a, b), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
-    return new
-
-
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = SMOOTHING, name: str = "ema") -> DataFrame:
     """Exponential moving average over positive values, starting at the first one.
 
@@ -144,7 +133,7 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
             part, frm = batch.column(PART).to_numpy(), batch.column(FROM).to_numpy()
             x, n, ends = (batch.column(c).to_numpy() for c in ("__x", "__n", "__end"))
             columns = [batch.column(PART), *(batch.column(k) for k in keys)]
-            starts = np.flatnonzero(_changed(columns))
+            starts = np.flatnonzero(changed(columns))
             group = [c[0].as_py() for c in columns]
             own, size = part == frm, np.diff(np.append(starts, batch.num_rows))
             first = np.full(len(starts), np.nan)  # what each group goes on from: nothing, or an average

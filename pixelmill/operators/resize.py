@@ -1,25 +1,26 @@
 """Separable resize of raster rows with a pluggable kernel.
 
-Across: inside a row, so it needs no shuffle. Down: a row is sent to the output rows
-it contributes to with its weight, and 16-pixel blocks are summed. Both passes are
-linear, so their order does not change the result; going across first means a
-shrinking resize shuffles rows that are already small.
+Across: inside a row, so it needs no shuffle. Down: output rows are cut into bands, a row is
+sent to the bands it serves (one or two unless a resize enlarges a lot), and a band is one product
+of its part of the weight matrix with its rows. Both passes are linear, so their order does not
+change the result; going across first means a shrinking resize shuffles rows that are already small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pixelmill.functions.pixels import clamp
-from .tiling import BLOCK, block_value, explode_blocks, rows_from_blocks
+from .batches import groups, joined, lists, matrix, met
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 CACHED_SIZES = 64  # weight tables a task keeps at a time
+BAND_ROWS, BAND_SOURCES = 64, 256  # output rows of a band at most, and rows that serve it without the kernel's reach
+CELLS = 1 << 20  # products held at once
 
 
 def hermite(x: np.ndarray) -> np.ndarray:
@@ -88,85 +89,112 @@ def _taps_by_source(old: int, new: int, spec: tuple) -> tuple[np.ndarray, np.nda
     return starts, pair % new, merged
 
 
-def _resize_batches(spec: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per batch: resize each row across, and list its (output row, weight) pairs."""
+class _Tables:
+    """Weight tables by (old, new) size, for a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[tuple, tuple] = {}
+    def __init__(self, spec: tuple):
+        self.spec, self.kept = spec, {}
 
-        def cached(build: Callable, old: int, new: int) -> tuple:
-            key = (build.__name__, old, new)
-            if key not in cache:
-                if len(cache) >= CACHED_SIZES:
-                    cache.clear()
-                cache[key] = build(old, new, spec)
-            return cache[key]
+    def __call__(self, build: Callable, old: int, new: int) -> tuple:
+        key = (build.__name__, old, new)
+        if key not in self.kept:
+            if len(self.kept) >= CACHED_SIZES:
+                self.kept.clear()
+            self.kept[key] = build(old, new, self.spec)
+        return self.kept[key]
 
-        for record in batches:
-            values = record.column("v")
-            new_w = record.column("new_w").to_numpy()
-            heights = zip(*(record.column(k).to_numpy() for k in ("y", "h", "new_h")))
-            rows, outs, weights, counts = [], [], [], []
-            for i, (y, h, new_h) in enumerate(heights):
-                row = values[i].values.to_numpy(zero_copy_only=False)
-                source, weight = cached(_taps, len(row), int(new_w[i]))
-                rows.append((row[source] * weight).sum(axis=1))
-                starts, out, tap = cached(_taps_by_source, int(h), int(new_h))
-                here = slice(starts[y], starts[y + 1])
-                outs.append(out[here])
-                weights.append(tap[here])
-                counts.append(len(outs[-1]))
-            taps = pa.StructArray.from_arrays(
-                [pa.array(_joined(outs, np.int32)), pa.array(_joined(weights, np.float64))], ["o", "wt"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    record.column("image_id"), record.column("c"), record.column("new_w"),
-                    record.column("new_h"),
-                    pa.ListArray.from_arrays(_offsets([len(r) for r in rows]), pa.array(_joined(rows, np.float64))),
-                    pa.ListArray.from_arrays(_offsets(counts), taps),
-                ],
-                ["image_id", "c", "w", "h", "v", "taps"],
-            )
 
-    return run
+def _band_rows(old: int, new: int) -> int:
+    return max(1, min(BAND_ROWS, BAND_SOURCES * new // old))
+
 
+def _bands_by_source(old: int, new: int, spec: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """First and last band that each source row serves; a row without weight serves none."""
+    starts, out, _ = _taps_by_source(old, new, spec)
+    band = out // _band_rows(old, new)
+    used = np.diff(starts) > 0
+    first, last = np.zeros(old, np.int32), np.full(old, -1, np.int32)
+    # Outputs of a source are in order.
+    first[used], last[used] = band[starts[:-1][used]], band[starts[1:][used] - 1]
+    return first, last
 
-def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
-    return np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
 
+def _across(spec: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows at their new width, with the bands they serve; rows of one size are worked on together."""
 
-def _offsets(lengths: list[int]) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _Tables(spec)
+        for batch in batches:
+            sizes = np.stack([batch.column(k).to_numpy() for k in ("w", "new_w", "h", "new_h")], 1)
+            own = [k for k in batch.schema.names if k not in ("v", "w", "new_w")]
+            ys, starts = batch.column("y").to_numpy(), batch.column("v").offsets.to_numpy()
+            flat = batch.column("v").values.to_numpy(zero_copy_only=False)
+            for w, new_w, h, new_h in np.unique(sizes, axis=0).tolist():
+                rows = np.flatnonzero((sizes == (w, new_w, h, new_h)).all(1))
+                source, weight = tables(_taps, w, new_w)
+                first, last = tables(_bands_by_source, h, new_h)
+                for a in range(0, len(rows), step := max(1, CELLS // source.size)):
+                    at = rows[a : a + step]
+                    values = flat[starts[at][:, None] + np.arange(w)]
+                    made = np.einsum("rot,ot->ro", values[:, source], weight) if w != new_w else values
+                    take = pa.array(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(k).take(take) for k in own), pa.array(np.full(len(at), w == new_w and h == new_h)), lists(made.astype(float)), pa.array(first[ys[at]]), pa.array(last[ys[at]])],
+                        [*own, "same", "v", "first", "last"],
+                    )
 
+    return run
 
-_BATCH_SCHEMA = "c int, w int, h int, v array<double>, taps array<struct<o:int,wt:double>>"
+
+def _down(spec: tuple, clip: bool, keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A band's output rows from the rows that serve it."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _Tables(spec)
+        for group in groups(batches, [*keys, "c", "band"]):
+            h, new_h, band = (int(group.column(k)[0].as_py()) for k in ("h", "new_h", "band"))
+            size = _band_rows(h, new_h)
+            outs = np.arange(band * size, min((band + 1) * size, new_h))
+            source, weight = (t[outs] for t in tables(_taps, h, new_h))
+            ys = group.column("y").to_numpy()
+            place = np.minimum(np.searchsorted(ys, source), len(ys) - 1)
+            there = ys[place] == source  # rows without weight were not sent
+            table = np.zeros((len(outs), len(ys)))
+            np.add.at(table, (np.arange(len(outs))[:, None], place), np.where(there, weight, 0.0))
+            values = table @ matrix(group.column("v"))
+            if clip and not group.column("same")[0].as_py():
+                values = np.clip(values, 0.0, 1.0)
+            one = pa.array(np.zeros(len(outs), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*(group.column(k).take(one) for k in (*keys, "c")), pa.array(outs.astype(np.int32)), group.column("new_h").take(one), lists(values)],
+                [*keys, "c", "y", "h", "v"],
+            )
+
+    return lambda batches: joined(made(batches))
 
 
 def resize(
-    rasters: DataFrame, new_w: Column, new_h: Column, kernel: str = "lanczos", clip: bool = True
+    rasters: DataFrame, new_w: Column, new_h: Column, kernel: str = "lanczos", clip: bool = True, also: Sequence[str] = ()
 ) -> DataFrame:
     """Raster rows at a new size; `new_w`, `new_h` may use `w`, `h` and any column.
 
-    Unknown kernels are an error.
+    `also`: further columns that tell pictures apart. Unknown kernels are an error. A picture whose size
+    stays is left as it is. `v` must not hold nulls.
     """
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel: {kernel}")
+    spec, keys = KERNELS[kernel], ["image_id", *also]
     sized = (
         rasters.withColumn("w", F.size("v"))
         .withColumn("new_w", new_w.cast("int")).withColumn("new_h", new_h.cast("int"))
-        .where((F.col("new_w") > 0) & (F.col("new_h") > 0))
-        .select("image_id", "c", "y", "h", "v", "new_w", "new_h")
-    )
-    spread = (
-        sized.mapInArrow(_resize_batches(KERNELS[kernel]), f"image_id {dict(rasters.dtypes)['image_id']}, {_BATCH_SCHEMA}")
-        .transform(lambda d: explode_blocks(d, F.lit(0)))
-        .select("image_id", "c", "w", "h", "b", "lead", "v", F.inline("taps").alias("y", "wt"))
+        .where((F.col("new_w") > 0) & (F.col("new_h") > 0) & (F.col("w") > 0))
+        .select(*keys, F.col("c").cast("int"), F.col("y").cast("int"), F.col("h").cast("int"), F.col("v").cast("array<double>"), "w", "new_w", "new_h")
     )
-    sums = [F.sum(block_value(i) * F.col("wt")).alias(f"s{i}") for i in range(BLOCK)]
-    summed = spread.groupBy("image_id", "c", "y", "w", "h", "b").agg(*sums)
-    cells = [clamp(F.col(f"s{i}"), 0.0, 1.0) if clip else F.col(f"s{i}") for i in range(BLOCK)]
-    return rows_from_blocks(summed.withColumn("v", F.array(*cells)), ["image_id", "c", "y", "h"])
+    key = ", ".join(f"`{k}` {sized.schema[k].dataType.simpleString()}" for k in keys)
+    wide = sized.mapInArrow(_across(spec), f"{key}, c int, y int, h int, new_h int, same boolean, v array<double>, first int, last int")
+    # A sequence would run backwards where `last` is -1.
+    dealt = wide.where("last >= 0").withColumn("band", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return met(dealt, [*keys, "c", "band"], ["y"]).mapInArrow(_down(spec, clip, keys), f"{key}, c int, y int, h int, v array<double>")
 
 
 def resize_weights(sizes: DataFrame, kernel: str = "hermite") -> DataFrame:

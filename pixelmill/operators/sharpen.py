@@ -1,8 +1,9 @@
 """Contrast-adaptive and edge-adaptive sharpening of raster rows.
 
 A stencil needs neighbouring rows, so pictures are cut into bands of rows; a band also
-receives the few rows above and below it. One band is one group, whatever the
-picture's size, and NumPy works on the whole band at once. Alpha passes unchanged.
+receives the few rows above and below it. One band is one group of bounded size: the wider
+a picture, the lower its bands. NumPy works on the whole band at once. Alpha is in its band's
+group and passes unchanged, so the input is read once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BAND = 64  # picture rows per group
+from .batches import groups, joined, lists, matrix, met
+
+BAND, BAND_LEAST, BAND_CELLS = 64, 8, 1 << 20  # picture rows per group at most and at least, pixels per group
 EPSILON = 1e-6  # fixed value
 
 # Fixed values of the edge-adaptive method.
@@ -97,35 +100,37 @@ def _mirror(index: np.ndarray, size: int) -> np.ndarray:
     return np.where(folded < size, folded, 2 * (size - 1) - folded)
 
 
-def _band_function(radius: int, kernel: Callable[[At], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def _band_function(kernel: Callable[[At], np.ndarray]) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     """Applies `kernel` to one band; rows beyond the picture are mirrored."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("c", "ascending"), ("y", "ascending")])
-        channels = table.column("c").to_numpy()
-        planes = len(np.unique(channels))
-        values = table.column("v").combine_chunks().flatten().to_numpy().reshape(planes, table.num_rows // planes, -1)
-        ys = table.column("y").to_numpy()[: values.shape[1]]
-        height, band = int(table.column("h")[0].as_py()), int(table.column("band")[0].as_py())
-        core = np.arange(band * BAND, min((band + 1) * BAND, height))
-        width = values.shape[2]
-
-        def at(dy: int, dx: int) -> np.ndarray:
-            rows = _mirror(core + dy, height) - ys[0]
-            return values[:, rows][:, :, _mirror(np.arange(width) + dx, width)]
-
-        # A grey picture counts as three equal channels.
-        result = kernel(lambda dy, dx: np.repeat(at(dy, dx), 3, axis=0))[:1] if planes == 1 else kernel(at)
-        n = planes * len(core)
-        return pa.table({
-            "image_id": pa.array([table.column("image_id")[0].as_py()] * n, table.schema.field("image_id").type),
-            "c": pa.array(np.repeat(np.unique(channels), len(core)), pa.int32()),
-            "y": pa.array(np.tile(core, planes), pa.int32()),
-            "h": pa.array(np.full(n, height), pa.int32()),
-            "v": pa.ListArray.from_arrays(
-                pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(result.reshape(-1))
-            ),
-        })
+    def run(group: pa.RecordBatch) -> pa.RecordBatch:
+        height, band, rows = (int(group.column(k)[0].as_py()) for k in ("h", "band", "rows"))
+        core = np.arange(band * rows, min((band + 1) * rows, height))
+        channels, ys, all_values = group.column("c").to_numpy(), group.column("y").to_numpy(), matrix(group.column("v"))
+        colour = channels < 3
+        names = np.unique(channels)
+        seen = names[names < 3]
+        width = all_values.shape[1]
+        out = []
+        if len(seen):
+            values = all_values[colour].reshape(len(seen), -1, width)
+            top = int(ys[colour][0])
+
+            def at(dy: int, dx: int) -> np.ndarray:
+                here = _mirror(core + dy, height) - top
+                return values[:, here][:, :, _mirror(np.arange(width) + dx, width)]
+
+            # A grey picture counts as three equal channels.
+            sharp = kernel(lambda dy, dx: np.repeat(at(dy, dx), 3, axis=0))[:1] if len(seen) == 1 else kernel(at)
+            out.append(sharp.reshape(-1, width))
+        if len(seen) < len(names):  # only the band's own rows of alpha are sent
+            out.append(all_values[~colour])
+        n = len(names) * len(core)
+        one = pa.array(np.zeros(n, np.int32))
+        return pa.RecordBatch.from_arrays(
+            [group.column("image_id").take(one), pa.array(np.repeat(names, len(core)).astype(np.int32)), pa.array(np.tile(core, len(names)).astype(np.int32)), group.column("h").take(one), lists(np.concatenate(out))],
+            ["image_id", "c", "y", "h", "v"],
+        )
 
     return run
 
@@ -133,19 +138,24 @@ def _band_function(radius: int, kernel: Callable[[At], np.ndarray]) -> Callable[
 def _by_band(
     rasters: DataFrame, radius: int, kernel: Callable[[At], np.ndarray], split_channels: bool
 ) -> DataFrame:
-    colour, alpha = rasters.where(F.col("c") < 3), rasters.where(F.col("c") == 3)
-    last = F.floor((F.col("h") - 1) / BAND)
+    width = F.greatest(F.size("v"), F.lit(1))
+    rows = F.greatest(F.lit(BAND_LEAST), F.least(F.lit(BAND), F.floor(F.lit(BAND_CELLS) / width))).cast("int")
+    cut = rasters.select(
+        "image_id", F.col("c").cast("int"), F.col("y").cast("int"), F.col("h").cast("int"), F.col("v").cast("array<double>"), rows.alias("rows"),
+        F.when(F.col("c") < 3, radius).otherwise(0).alias("reach"),
+    )
     # A row near a picture edge is also its own mirror image, which is in the same band.
     bands = F.sequence(
-        F.greatest(F.lit(0), F.floor((F.col("y") - radius) / BAND)).cast("int"),
-        F.least(last, F.floor((F.col("y") + radius) / BAND)).cast("int"),
+        F.greatest(F.lit(0), F.floor((F.col("y") - F.col("reach")) / F.col("rows"))).cast("int"),
+        F.least(F.floor((F.col("h") - 1) / F.col("rows")), F.floor((F.col("y") + F.col("reach")) / F.col("rows"))).cast("int"),
     )
-    spread = colour.select("image_id", "c", "y", "h", "v", F.explode(bands).alias("band"))
     keys = ["image_id", "band"] + (["c"] if split_channels else [])
-    sharp = spread.groupBy(*keys).applyInArrow(
-        _band_function(radius, kernel), f"image_id {dict(rasters.dtypes)['image_id']}, c int, y int, h int, v array<double>"
+    spread = met(cut.withColumn("band", F.explode(bands)).drop("reach"), keys, ["y"] if split_channels else ["c", "y"])
+    apply = _band_function(kernel)
+    return spread.mapInArrow(
+        lambda batches: joined(map(apply, groups(batches, keys))),
+        f"image_id {dict(rasters.dtypes)['image_id']}, c int, y int, h int, v array<double>",
     )
-    return sharp.unionByName(alpha.select("image_id", "c", "y", "h", "v"))
 
 
 def cas_sharpen(rasters: DataFrame, amount: float = 0.5, diagonals: bool = True) -> DataFrame:

@@ -3,20 +3,23 @@
 `raster_rows` is the format of every raster here: one record per picture row and
 channel, `image_id LONG, c INT, y INT, h INT, v ARRAY<DOUBLE>`; `h` is the picture
 height, so no operator has to gather a picture to learn its size. No operator puts a
-whole picture into one task: the units are a row, a tile, or a 16-pixel block.
+whole picture into one task: the units are a row and a tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pixelmill.functions.pixels import mirror, side_ramp
+from pixelmill.functions.pixels import mirror
+from .batches import lists, met, whole_groups
 
 ALIGNMENT = 64  # fixed value: tile sides are cut to a multiple of this
-BLOCK = 16  # pixels summed together in one aggregation row
 TINY_WEIGHT = 1e-8  # fixed value: below this a blended value is left as it is
+CACHED_AXES = 64  # weights of picture sides a task keeps at a time
 
 
 def aligned_tile(side: int, align: bool = True) -> int:
@@ -130,100 +133,100 @@ def _scaled(tiles: DataFrame, scale: int) -> DataFrame:
     return tiles
 
 
+def _ramp(length: int, ramp: int, start: bool, end: bool, inclusive: bool) -> np.ndarray:
+    """Blend weights along one side of a tile."""
+    at = np.arange(length)
+    steps = max(ramp - 1, 1) if inclusive else max(ramp, 1)
+    fade = lambda far: np.where(far < ramp, far / steps, 1.0)
+    return (fade(at) if start else np.ones(length)) * (fade(length - 1 - at) if end else 1.0)
+
+
+class _Axis:
+    """The weights of all tiles along one axis of a picture, and their totals per pixel."""
+
+    def __init__(self, size: int, tile: int, ramp: int, faded: bool, feather_edges: bool, inclusive: bool):
+        step = tile - 2 * ramp
+        starts = np.arange(max(1, -(-(size - ramp) // step))) * step
+        self.tiles, self.total = {}, np.zeros(size)
+        for a in starts.tolist():
+            n = min(tile, size - a)
+            start, end = faded and (feather_edges or a > 0), faded and (feather_edges or a + n < size)
+            self.tiles[a] = _ramp(n, ramp, start, end, inclusive)
+            self.total[a : a + n] += self.tiles[a]
+
+
+def _weighted(tile_w: int, tile_h: int, ramp: int, feather_edges: bool, inclusive: bool) -> Callable:
+    """Tile rows times their share of the total weight, which follows from a pixel's place alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes: dict[tuple[int, int, bool], _Axis] = {}
+
+        def axis(size: int, tile: int, faded: bool) -> _Axis:
+            if (size, tile, faded) not in axes:
+                if len(axes) >= CACHED_AXES:
+                    axes.clear()
+                axes[size, tile, faded] = _Axis(size, tile, ramp, faded, feather_edges, inclusive)
+            return axes[size, tile, faded]
+
+        for batch in batches:
+            place = np.stack([batch.column(k).to_numpy() for k in ("w", "h", "x0", "tw", "y0", "th")], 1)
+            ty, starts = batch.column("ty").to_numpy(), batch.column("v").offsets.to_numpy()
+            flat = batch.column("v").values.to_numpy(zero_copy_only=False)
+            for w, h, x0, tw, y0, th in np.unique(place, axis=0).tolist():
+                rows = np.flatnonzero((place == (w, h, x0, tw, y0, th)).all(1))
+                faded = tw < w or th < h
+                across, down = axis(w, tile_w, faded), axis(h, tile_h, faded)
+                y = y0 + ty[rows]
+                weight = down.tiles[y0][ty[rows], None] * across.tiles[x0]
+                total = down.total[y, None] * across.total[x0 : x0 + tw]
+                share = np.divide(weight, total, out=weight.copy(), where=total > TINY_WEIGHT)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(take) for k in ("image_id", "c")), pa.array(y.astype(np.int32)), *(batch.column(k).take(take) for k in ("h", "w", "x0")),
+                     lists(flat[starts[rows][:, None] + np.arange(tw)] * share)],
+                    ["image_id", "c", "y", "h", "w", "x0", "v"],
+                )
+
+    return run
+
+
+def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Picture rows from their pieces, which are added where they overlap."""
+    for batch, first in whole_groups(batches, ["image_id", "c", "y"]):
+        width = batch.column("w").to_numpy()[first].astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(width)])
+        size = np.diff(batch.column("v").offsets.to_numpy()).astype(np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, batch.num_rows)))
+        start = edges[group] + batch.column("x0").to_numpy()
+        where = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        made = np.bincount(where, batch.column("v").flatten().to_numpy(), minlength=edges[-1])
+        take = pa.array(first)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k).take(take) for k in ("image_id", "c", "y", "h")), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(made))],
+            ["image_id", "c", "y", "h", "v"],
+        )
+
+
 def blend_tiles(
-    tiles: DataFrame, ramp: int, feather_edges: bool = False, inclusive: bool = False
+    tiles: DataFrame, tile_w: int, tile_h: int, ramp: int, feather_edges: bool = False, inclusive: bool = False
 ) -> DataFrame:
     """Weighted mean of overlapping tile rows, back to raster rows.
 
-    `ramp` is the overlap in output pixels. With `feather_edges` the picture's own
-    border fades as well, so its outermost pixels have weight 0 and stay 0; without
-    it only inner sides fade. A picture that is one tile is never faded.
+    Sides of a whole tile and `ramp`, the overlap, in output pixels. With `feather_edges` the
+    picture's own border fades as well, so its outermost pixels have weight 0 and stay 0; without
+    it only inner sides fade. A picture that is one tile is never faded. `inclusive` lets a ramp
+    reach its full weight on its last pixel.
 
-    The sums run on blocks of 16 pixels with ordinary sum aggregates: they combine
-    on the map side, and a large picture spreads over all tasks.
-    """
-    many = (F.col("tw") < F.col("w")) | (F.col("th") < F.col("h"))
-    edge = F.lit(feather_edges)
-    weight_y = side_ramp(
-        F.col("ty"), F.col("th"), ramp,
-        many & (edge | (F.col("y0") > 0)),
-        many & (edge | (F.col("y0") + F.col("th") < F.col("h"))), inclusive,
-    )
-    left = many & (edge | (F.col("x0") > 0))
-    right = many & (edge | (F.col("x0") + F.col("tw") < F.col("w")))
-    weighted = (
-        tiles.withColumn("wy", weight_y)
-        .withColumn("wx", _ramp_row(F.col("tw"), ramp, left, right, inclusive))
-        .withColumn("y", F.col("y0") + F.col("ty"))
-    )
-    blocks = explode_blocks(weighted, F.col("x0"), ("v", "wx"))
-    sums = []
-    for i in range(BLOCK):
-        w = block_value(i, "wx") * F.col("wy")
-        sums += [F.sum(block_value(i) * w).alias(f"s{i}"), F.sum(w).alias(f"w{i}")]
-    summed = blocks.groupBy("image_id", "c", "y", "w", "h", "b").agg(*sums)
-    mean = [
-        F.when(F.col(f"w{i}") > TINY_WEIGHT, F.col(f"s{i}") / F.col(f"w{i}")).otherwise(F.col(f"s{i}"))
-        for i in range(BLOCK)
-    ]
-    return rows_from_blocks(summed.withColumn("v", F.array(*mean)), ["image_id", "c", "y", "h"])
-
-
-def _ramp_row(length: Column, ramp: int, start: Column, end: Column, inclusive: bool) -> Column:
-    """Blend weights along a tile row as an array.
-
-    A row longer than its two ramps is put together from constant pieces, without
-    computing anything per pixel; a short one, whose ramps overlap, is computed.
+    A pixel's total weight is a product of one number per axis, known from its place, so pieces are
+    divided before they meet, and no weight is shuffled. They meet by picture row, once.
     """
-    if ramp <= 0:
-        return F.array_repeat(F.lit(1.0), length)
-    steps = max(ramp - 1, 1) if inclusive else ramp
-    rise = [i / steps for i in range(ramp)]
-    flat = F.array_repeat(F.lit(1.0), ramp)
-    pieces = F.concat(
-        F.when(start, F.lit(rise)).otherwise(flat),
-        F.array_repeat(F.lit(1.0), F.greatest(length - 2 * ramp, F.lit(0))),
-        F.when(end, F.lit(rise[::-1])).otherwise(flat),
-    )
-    computed = F.transform(
-        F.sequence(F.lit(0), length - 1), lambda p: side_ramp(p, length, ramp, start, end, inclusive)
-    )
-    return F.when(length >= 2 * ramp, pieces).otherwise(computed)
-
-
-def explode_blocks(rows: DataFrame, start: Column, arrays: tuple[str, ...] = ("v",)) -> DataFrame:
-    """One record per 16-pixel block that `arrays`, placed at column `start`, touch.
-
-    Replaces each array by the slice that falls into block `b`; `lead` pixels are
-    missing at the slice's left. Slicing comes before the explode, so no record
-    carries the row.
-    """
-    first = F.floor(start / BLOCK).cast("int")
-    last = F.floor((start + F.size(arrays[0]) - 1) / BLOCK).cast("int")
-
-    def piece(b: Column) -> Column:
-        left = F.greatest(b * BLOCK - start, F.lit(0))
-        lead = F.greatest(start - b * BLOCK, F.lit(0))
-        parts = [F.slice(a, left + 1, F.lit(BLOCK) - lead).alias(a) for a in arrays]
-        return F.struct(b.alias("b"), lead.alias("lead"), *parts)
-
-    names = [c for c in rows.columns if c not in arrays]
-    return rows.select(*names, F.inline(F.transform(F.sequence(first, last), piece)))
-
-
-def block_value(i: int, array: str = "v") -> Column:
-    """Pixel i of a block, null where the block has none."""
-    return F.get(array, F.lit(i) - F.col("lead"))
-
-
-def rows_from_blocks(blocks: DataFrame, keys: list[str], width: str = "w") -> DataFrame:
-    """Joins blocks (b, v) of one picture row; the group is bounded by the row's width."""
-    ordered = F.array_sort(F.collect_list(F.struct("b", "v")))
-    whole = F.flatten(F.transform(ordered, lambda s: s["v"]))
-    return (
-        blocks.groupBy(*keys, width).agg(whole.alias("__v"))
-        .select(*keys, F.slice("__v", F.lit(1), F.col(width)).alias("v"))
+    _check(tile_w, tile_h, ramp)
+    key = f"image_id {dict(tiles.dtypes)['image_id']}, c int, y int, h int"
+    numbers = [F.col(k).cast("int") for k in ("c", "w", "h", "x0", "y0", "tw", "th", "ty")]
+    shares = tiles.select("image_id", *numbers, F.col("v").cast("array<double>")).mapInArrow(
+        _weighted(tile_w, tile_h, ramp, feather_edges, inclusive), f"{key}, w int, x0 int, v array<double>"
     )
+    return met(shares, ["image_id", "c", "y"], ["x0"]).mapInArrow(_row_sums, f"{key}, v array<double>")
 
 
 def upscale(
@@ -249,7 +252,7 @@ def upscale(
         enlarged = nearest_rows(tiles, scale)
     else:
         enlarged = infer_tiles(tiles, model, scale, pad_to=ALIGNMENT if align else 1)
-    return blend_tiles(enlarged, overlap * scale, feather_edges, inclusive)
+    return blend_tiles(enlarged, tile_w * scale, tile_h * scale, overlap * scale, feather_edges, inclusive)
 
 
 def pad_to_multiple(rasters: DataFrame, multiple: int = ALIGNMENT) -> DataFrame:

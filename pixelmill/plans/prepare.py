@@ -76,9 +76,11 @@ def prepare(rasters: DataFrame, recipe: Recipe) -> DataFrame:
 
 def with_secondary_output(results: DataFrame, spec: Scaling) -> DataFrame:
     """Primary rows and a smaller copy of every picture, told apart by `variant`."""
-    primary = results.withColumn("variant", F.lit("primary"))
-    small = scaled(results, spec, keep_aspect=True).withColumn("variant", F.lit("secondary"))
-    return primary.unionByName(small)
+    # Both variants come from one reading of the results; a primary row keeps its size.
+    both = results.withColumn("variant", F.explode(F.array(F.lit("primary"), F.lit("secondary"))))
+    w, h = target_size(F.size("v"), F.col("h"), spec.mode, spec.width, spec.height, True)
+    small = F.col("variant") == "secondary"
+    return resize(both, F.when(small, w).otherwise(F.size("v")), F.when(small, h).otherwise(F.col("h")), spec.kernel, also=["variant"])
 
 
 def eight_bit(rasters: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def test_model_gets_three_channels_and_padded_tiles(spark):
     from pixelmill.operators.inference import infer_tiles
 
     img = picture(4, 9, 10)
-    out = T.blend_tiles(infer_tiles(T.tile_rows(rows(spark, img), 8, 8, 2), load, 2, pad_to=8), 4)
+    out = T.blend_tiles(infer_tiles(T.tile_rows(rows(spark, img), 8, 8, 2), load, 2, pad_to=8), 16, 16, 4)
     want = np.clip(img.repeat(2, axis=1).repeat(2, axis=2) * 1.5, 0, 1)
     assert np.allclose(arrays(out)[0], want, atol=1e-6)
 

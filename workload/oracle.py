@@ -394,20 +394,21 @@ add("with_secondary_output", """
 # ---- blending --------------------------------------------------------------------
 
 
-def _blend(source: str, w: int, h: int, tile: tuple[int, int], overlap: int, scale: int, feathered: bool, value: str) -> dict[str, str]:
+def _blend(source: str, w: int, h: int, tile: tuple[int, int], overlap: int, scale: int, feathered: bool, value: str, inclusive: bool = False) -> dict[str, str]:
     """Per output pixel: sum(weight * value) / sum(weight) over the tiles that hold it (nearest model)."""
     tw, th = tile
     axis = lambda size, t, name: f"""
         SELECT i AS {name}n, i * {t - 2 * overlap} AS {name}0, least({t}, {size} - i * {t - 2 * overlap}) AS {name}t
         FROM range(greatest(1, CAST(ceil(({size} - {overlap}) / {t - 2 * overlap}) AS BIGINT))) r(i)"""
     ramp = overlap * scale
+    steps = max(ramp - 1, 1) if inclusive else ramp
 
     def side(p: str, size: int, n: str) -> str:
         first = "TRUE" if feathered else f"{n}0 > 0"
         last = "TRUE" if feathered else f"{n}0 + {n}t < {size}"
         many = f"({w} > {tw} OR {h} > {th})"
-        return (f"(CASE WHEN {many} AND {first} AND {p} < {ramp} THEN {p} / {ramp} ELSE 1 END * "
-                f"CASE WHEN {many} AND {last} AND {n}t * {scale} - 1 - {p} < {ramp} THEN ({n}t * {scale} - 1 - {p}) / {ramp} ELSE 1 END)")
+        return (f"(CASE WHEN {many} AND {first} AND {p} < {ramp} THEN {p} / {steps} ELSE 1 END * "
+                f"CASE WHEN {many} AND {last} AND {n}t * {scale} - 1 - {p} < {ramp} THEN ({n}t * {scale} - 1 - {p}) / {steps} ELSE 1 END)")
 
     return {
         "ax": axis(w, tw, "x"), "ay": axis(h, th, "y"),
@@ -424,6 +425,7 @@ def _blend(source: str, w: int, h: int, tile: tuple[int, int], overlap: int, sca
 _NUMBERED = "((yn * 4 + xn) * 0.1)::DOUBLE"
 add("blend_tiles", _long("blended", 16), _blend("rasters_v", 8, 8, (4, 4), 1, 2, False, _NUMBERED))
 add("blend_tiles_feathered", _long("blended", 16), _blend("rasters_v", 8, 8, (4, 4), 1, 2, True, _NUMBERED))
+add("blend_tiles_inclusive", _long("blended", 24), _blend("rasters_v", 8, 8, (7, 7), 1, 3, False, "((yn * 2 + xn) * 0.1)::DOUBLE", True))
 add("upscale", """
     SELECT image_id, c, CAST(y * 2 + dy AS INTEGER) AS y, 16 AS h, CAST(x * 2 + dx AS INTEGER) AS x, round(v, 6) AS v
     FROM rasters_v, range(2) a(dx), range(2) b(dy)""")

@@ -426,13 +426,20 @@ def _tiles(v, size=4, overlap=1, scale=2):
 def blend_tiles(v):
     """Tiles of different constants, so a wrong ramp cannot hide."""
     tiles = _tiles(v).withColumn("v", F.transform("v", lambda a: (F.col("tile_no") * 0.1).cast("double")))
-    return long_form(T.blend_tiles(tiles, 2))
+    return long_form(T.blend_tiles(tiles, 8, 8, 2))
 
 
 @query
 def blend_tiles_feathered(v):
     tiles = _tiles(v).withColumn("v", F.transform("v", lambda a: (F.col("tile_no") * 0.1).cast("double")))
-    return long_form(T.blend_tiles(tiles, 2, feather_edges=True))
+    return long_form(T.blend_tiles(tiles, 8, 8, 2, feather_edges=True))
+
+
+@query
+def blend_tiles_inclusive(v):
+    """Ramps that end at full weight, over three-pixel overlaps, so that they have a middle."""
+    tiles = _tiles(v, 7, 1, 3).withColumn("v", F.transform("v", lambda a: (F.col("tile_no") * 0.1).cast("double")))
+    return long_form(T.blend_tiles(tiles, 21, 21, 3, inclusive=True))
 
 
 @query
