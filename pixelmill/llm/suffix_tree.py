@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pixelmill.llm.tables import buckets, share, stage
-from pixelmill.llm.textarrays import slices, texts_of
+from pixelmill.llm.textarrays import planes, slices, texts_of, unplanes
 
 P_MIN = 5e-5
 GAMMA = 0.02
@@ -252,16 +252,6 @@ def _keep(tree: Tree, depth: int, keys: np.ndarray, times: np.ndarray) -> None:
     level.entries, level.log_p, level.log_rest = keys[own], np.log10(p[own]), np.log10(left / base_rest)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones, and so on: equal bytes lie together."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
-
-
-def _unplanes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def score(docs: DataFrame, tree: Tree) -> DataFrame:
     """One row per row of `docs` (doc_id, text, held_out): n_tokens, n_known, base_score, score."""
     spark = docs.sparkSession
@@ -316,8 +306,8 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
         some = np.flatnonzero(np.diff(cut))
         parts = [slice(cut[b], cut[b + 1]) for b in some]
         packed = [
-            [_planes(np.diff(word[p], prepend=np.uint64(0))) for p in parts],
-            [_planes(row[p]) for p in parts],
+            [planes(np.diff(word[p], prepend=np.uint64(0))) for p in parts],
+            [planes(row[p]) for p in parts],
             [np.packbits(trains[p]).tobytes() for p in parts],
         ]
         n = len(some)
@@ -339,7 +329,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
             task = texts >> 40
             first = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
             parts = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(texts)), strict=True)]
-            packed = ([_planes(x[p]) for p in parts] for x in (texts, known, base))
+            packed = ([planes(x[p]) for p in parts] for x in (texts, known, base))
             return pa.RecordBatch.from_arrays([pa.array(task[first].astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], ["task", "rows", "n_known", "base"])
 
         for batch in batches:
@@ -348,8 +338,8 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                     yield done()
                     blocks = []
                 now = bucket
-                word = np.cumsum(_unplanes(words, np.uint64), dtype=np.uint64)
-                blocks.append((word, _unplanes(row, np.int64), np.unpackbits(np.frombuffer(trains, np.uint8))[: len(word)]))
+                word = np.cumsum(unplanes(words, np.uint64), dtype=np.uint64)
+                blocks.append((word, unplanes(row, np.int64), np.unpackbits(np.frombuffer(trains, np.uint8))[: len(word)]))
         if blocks:
             yield done()
 
@@ -368,7 +358,7 @@ def score(docs: DataFrame, tree: Tree) -> DataFrame:
                     yield done()
                     blocks = []
                 now = task
-                blocks.append((_unplanes(row, np.int64), _unplanes(known, np.int64), _unplanes(base, np.float64)))
+                blocks.append((unplanes(row, np.int64), unplanes(known, np.int64), unplanes(base, np.float64)))
         if blocks:
             yield done()
 

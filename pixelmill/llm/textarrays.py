@@ -172,3 +172,13 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     twice, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     twice[order], later[order] = same[:-1] | same[1:], same[:-1]
     return twice, later
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: equal bytes lie together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+
+
+def unplanes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

@@ -243,3 +243,38 @@ def test_a_word_said_over_and_over(docs_of):
     assert 1 <= len(found) <= 400 // passages.SPACING + 2
     covered = set().union(*(range(r.start_word, r.start_word + r.n_words) for r in found))
     assert set(range(40, 440)) - covered <= set(range(400, 440))
+
+
+@pytest.mark.parametrize("kept,packed", [(4, 1 << 21), (1, 300), (10**6, 300)])
+def test_first_places_equal_brute_force(docs_of, monkeypatch, kept, packed):
+    """Every place of every seed, also of one that a task has often."""
+    monkeypatch.setattr(passages, "KEPT", kept)
+    monkeypatch.setattr(passages, "PACKED", packed)
+    rng = random.Random(8)
+    phrase = [f"p{k}" for k in range(12)]
+    rows = [(i, [w for _ in range(6) for w in (phrase if rng.random() < 0.5 else [f"w{rng.randrange(40)}" for _ in range(rng.randrange(30))])]) for i in range(60)]
+    rows += [(100, [f"u{k}" for k in range(200)]), (101, [f"u{k}" for k in range(200)]), (102, ["x"] * 100)]
+    first, places = {}, []
+    for i, words_ in sorted(rows):
+        for size, mark in ((5, 0), (30, 1)):
+            for p in range(len(words_) - size + 1):
+                key = tuple(words_[p : p + size])
+                places.append((i, 2 * p + mark, key))
+                first.setdefault(key, (i, 2 * p + mark))
+    every = {(i, p, *first[key]) for i, p, key in places if first[key][0] < i}
+    found = [tuple(r) for r in passages.first_places(docs_of([(i, " ".join(t)) for i, t in rows]), 3).collect()]
+    text = dict(rows)
+    run = lambda i, p: text[i][p // 2 : p // 2 + (30 if p & 1 else 5)]
+    assert len(found) == len(set(found)) and all(run(i, p) == run(j, q) and j < i for i, p, j, q in found)
+    assert {r for r in found if not r[1] & 1} == {r for r in every if not r[1] & 1}
+    long = sorted(r[1] // 2 for r in found if r[0] == 101 and r[1] & 1)
+    assert long[0] < 5 and max(b - a for a, b in zip(long, long[1:])) <= 5 and long[-1] > 165
+
+
+def test_an_exact_repeat_of_34_words_is_found_wherever_its_parts_stand_first(docs_of):
+    rng = random.Random(3)
+    passage = [f"w{k}" for k in range(34)]
+    rows = [(k, passage[5 * k : 5 * k + 9] + [f"a{k}b{j}" for j in range(40)]) for k in range(7)]
+    rows += [(20, [f"c{j}" for j in range(50)] + passage + [f"d{j}" for j in range(30)]), (21, [f"e{j}" for j in range(rng.randrange(30))] + passage)]
+    found = passages.repeated_passages(docs_of([(i, " ".join(t)) for i, t in rows])).collect()
+    assert [(r.doc_id, r.ref_doc_id, r.n_words) for r in found if r.doc_id == 21 and r.ref_doc_id == 20] == [(21, 20, 34)]
