@@ -1,17 +1,18 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to three words. The tree is grown level by level: a context that makes up
-at least `P_MIN` of the training tokens is counted with its next words; a context is kept as a
+States are contexts of up to three words. The tree is grown level by level: a context seen at least
+`least_seen` times in the training texts is counted with its next words; a context is kept as a
 state if the divergence of its next words from what its suffix predicts outweighs the
 description of its list (half a logarithm of its count per listed word). A state lists next words
 with probability `GAMMA` or more, discounted, and shares what is left among all other words as
 its longest kept suffix does. A token is scored in the state of the longest kept suffix.
 
-Sizes: a level has at most 1 / P_MIN contexts and their lists 1 / GAMMA words each; words that can
-be listed make up P_MIN * GAMMA of the tokens, so there are at most a million. Hence the tree is
-bounded whatever the corpus, and is broadcast. Counts are exact sums over all training texts. The
-words too rare to be listed are unbounded: their occurrences meet by word in the shuffle, where
-they are counted and scored against their own count, and no such word can be hot.
+Sizes: a context must be seen EVIDENCE * sqrt(n) times in n training tokens, so the tree grows with the
+root of the corpus: at most sqrt(n) / EVIDENCE contexts a level, their lists 1 / GAMMA words each. It is
+counted in Spark, put together on the driver and broadcast; at n = 10^10 (some 50 GB of texts) that is at most
+three million contexts a level. Counts are exact sums over all training texts. The words too rare to be listed
+are the larger part of the vocabulary: their occurrences meet by word in the shuffle, where they are counted
+and scored against their own count, and no such word can be hot.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D with A-Z lower-cased; each text has one more
 token, its end. Null texts are empty: the end alone. Rows repeat or lack ids without harm: each
@@ -31,17 +32,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pixelmill.llm.tables import buckets, share, stage
 from pixelmill.llm.textarrays import planes, slices, texts_of, unplanes
 
-P_MIN = 5e-5
+#: A context's least count as a multiple of the root of the number of training tokens.
+EVIDENCE = 0.03
 GAMMA = 0.02
 LEVELS = 3
 DISCOUNT = 0.5
 ADD = 0.1
 #: The name of a text's end among the words' hashes, and bits for a listable word's number.
 END = np.uint64(1)
-_BITS = np.uint64(20)
+_BITS = np.uint64(32)
 _MERGE_KEYS = 1 << 22
 
 
+def least_seen(n: int) -> float:
+    return max(2.0, EVIDENCE * n**0.5)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -180,11 +186,11 @@ def fit(docs: DataFrame) -> Tree:
     counts = stage(_counted(docs, words))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    # At most 1 / (P_MIN * GAMMA) words and the end.
-    common = counts.filter((F.col("n") >= max(2.0, P_MIN * GAMMA * n)) | (F.col("key") == int(END))).toArrow()
+    # No rarer word can be listed by a context that is common enough.
+    common = counts.filter((F.col("n") >= max(2.0, GAMMA * least_seen(n))) | (F.col("key") == int(END))).toArrow()
     names, times = _sorted(common)
     tree = Tree(names, times, n, v)
-    often = times >= max(2.0, P_MIN * n)
+    often = times >= least_seen(n)
     often &= names != END
     numbers = np.flatnonzero(often)
     tree.levels.append(Level(numbers.astype(np.uint64), times[numbers]))
@@ -200,11 +206,11 @@ def fit(docs: DataFrame) -> Tree:
             at = np.flatnonzero((context >= 0) & (number >= 0))
             return np.unique(pair(context[at], number[at]), return_counts=True)
 
-        # Lists and longer contexts need no rarer pair than this; at most 1 / (P_MIN * GAMMA) can be as common.
-        found = _counted(docs, pairs).filter(F.col("n") >= max(2.0, P_MIN * GAMMA * n)).toArrow()
+        # Lists and longer contexts need no rarer pair than this.
+        found = _counted(docs, pairs).filter(F.col("n") >= max(2.0, GAMMA * least_seen(n))).toArrow()
         keys, times = _sorted(found)
         _keep(tree, depth, keys, times)
-        longer = (times >= max(2.0, P_MIN * n)) & (tree.words[(keys & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)] != END)
+        longer = (times >= least_seen(n)) & (tree.words[(keys & np.uint64((1 << int(_BITS)) - 1)).astype(np.int64)] != END)
         if depth + 1 < LEVELS:
             tree.levels.append(Level(keys[longer], times[longer]))
     return tree

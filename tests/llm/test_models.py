@@ -1,6 +1,7 @@
 """Toxicity and language-model scores against plain Python and held-out data."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -103,12 +104,12 @@ def test_scores_equal_a_plain_walk_of_the_tree(docs_of, spark):
     names = [{}, {}, {}]
     for d, level in enumerate(tree.levels):
         for k, key in enumerate(level.keys.tolist()):
-            words = (key,) if d == 0 else (*names[d - 1][key >> 20], key & 0xFFFFF)
+            words = (key,) if d == 0 else (*names[d - 1][key >> 32], key & 0xFFFFFFFF)
             names[d][k] = words
             if level.kept[k]:
                 kept[d][words] = level.log_rest[k]
         for key, p in zip(level.entries.tolist(), level.log_p.tolist()):
-            lists[d][(*names[d][key >> 20], key & 0xFFFFF)] = p
+            lists[d][(*names[d][key >> 32], key & 0xFFFFFFFF)] = p
 
     def log_p(history, word):
         for d in (2, 1, 0):
@@ -130,15 +131,92 @@ def test_scores_equal_a_plain_walk_of_the_tree(docs_of, spark):
         assert r.score == pytest.approx(sum(log_p(ids[:k], w) for k, w in enumerate(ids)), rel=1e-9)
 
 
+def words_of(tree, depth, k):
+    """The numbers of a context's words."""
+    key = int(tree.levels[depth].keys[k])
+    return [key] if depth == 0 else [*words_of(tree, depth - 1, key >> 32), key & 0xFFFFFFFF]
+
+
 def test_next_word_probabilities_sum_to_one(docs_of):
-    tree = tree_of(docs_of([(k, f"a b c{k % 5} a b d{k % 3}") for k in range(100)]))
-    n = len(tree.words)
+    """In every kept state, with the states of its own suffixes behind it; rarer words have what is left."""
+    tree = tree_of(docs_of([(k, f"a b c{k % 5} a b d{k % 3} e{k % 2} b") for k in range(100)]))
+    n, seen = len(tree.words), 0
+    for depth, level in enumerate(tree.levels):
+        for k in np.flatnonzero(level.kept):
+            history = np.array([*words_of(tree, depth, k), 0])
+            states = [c[-1:] for c in tree.contexts(history, np.arange(len(history)) == 0)]
+            assert states[depth] == k
+            known = 10 ** tree.log_p(np.arange(n), [np.repeat(c, n) for c in states], tree.log_root)
+            assert 0.5 < known.sum() <= 1 + 1e-9
+            seen += 1
+    assert seen > 5
+
+
+def plain_tree(texts, levels=3):
+    """Context -> (list of next words with probabilities, what is left for shorter ones), by dictionaries."""
+    rows = [[*t.split(), None] for t in texts]
+    counts = Counter(w for r in rows for w in r)
+    n, v = sum(counts.values()), len(counts)
+    least, gamma = suffix_tree.least_seen(n), suffix_tree.GAMMA
+    listable = {w for w, c in counts.items() if c >= max(2, gamma * least) or w is None}
+    kept = {}
+
+    def p(context, word):
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (counts[word] + 0.1) / (n + 0.1 * (v + 1))
+        listed, left = kept[context]
+        return listed[word] if word in listed else left * p(context[1:], word)
+
+    contexts = {(w,): counts[w] for w in listable if w is not None and counts[w] >= least}
+    for depth in range(levels):
+        pairs = Counter((tuple(r[i - depth - 1 : i]), r[i]) for r in rows for i in range(depth + 1, len(r)) if r[i] in listable and tuple(r[i - depth - 1 : i]) in contexts)
+        pairs = {k: c for k, c in pairs.items() if c >= max(2, gamma * least)}
+        found = {}
+        for context, count in contexts.items():
+            next_ = {w: c for (x, w), c in pairs.items() if x == context and c / count >= gamma}
+            base = {w: p(context[1:], w) for w in next_}
+            rest, base_rest = max(1 - sum(next_.values()) / count, 1e-9), max(1 - sum(base.values()), 1e-9)
+            gain = sum(c / count * math.log(c / count / base[w]) for w, c in next_.items()) + rest * math.log(rest / base_rest)
+            if next_ and count * gain > 0.5 * len(next_) * math.log(max(count, 2)):
+                listed = {w: max(c - 0.5, 1e-3) / count for w, c in next_.items()}
+                found[context] = listed, max(1 - sum(listed.values()), 1e-9) / base_rest
+        kept.update(found)
+        contexts = {(*x, w): c for (x, w), c in pairs.items() if c >= least and w is not None}
+    return kept
+
+
+def test_the_fit_equals_plain_dictionaries(docs_of):
+    rng = random.Random(12)
+    texts = []
+    for k in range(150):
+        t = ["start"]
+        for _ in range(rng.randrange(1, 30)):
+            t.append(rng.choice({"start": ["a", "b"], "a": ["b", "c", "a"], "b": ["c", "d", f"r{k % 9}"]}.get(t[-1], ["a", "b", "c", "d", "start"])))
+            if t[-2:] == ["b", "c"] and rng.random() < 0.8:
+                t.append("z")
+        texts.append(" ".join(t))
+    tree, want = tree_of(docs_of(list(enumerate(texts)))), plain_tree([t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10])
+    vocabulary = {w for t in texts for w in t.split()}
+    number = {int(np.flatnonzero(tree.words == (suffix_tree.texts_of(pa.array([w])).word_hashes[0] | np.uint64(2)))[0]): w for w in vocabulary if (suffix_tree.texts_of(pa.array([w])).word_hashes[0] | np.uint64(2)) in tree.words}
+    number[int(np.flatnonzero(tree.words == suffix_tree.END)[0])] = None
+    got = {}
     for depth, level in enumerate(tree.levels):
-        for k in np.flatnonzero(level.kept)[:5]:
-            lower = suffix_tree.Tree(tree.words, tree.counts, tree.n, tree.v, tree.levels[: depth + 1])
-            contexts = [np.full(n, -1)] * depth + [np.full(n, k)]
-            known = 10 ** lower.log_p(np.arange(n), contexts, tree.log_root)
-            assert 0 < known.sum() < 1.2
+        for k in np.flatnonzero(level.kept).tolist():
+            own = np.flatnonzero(level.entries >> np.uint64(32) == k)
+            listed = {number[int(level.entries[i]) & 0xFFFFFFFF]: 10 ** level.log_p[i] for i in own}
+            got[tuple(number[w] for w in words_of(tree, depth, k))] = listed, 10 ** level.log_rest[k]
+    assert got.keys() == want.keys() and len({len(c) for c in got}) > 1
+    for context, (listed, left) in want.items():
+        assert got[context][0] == pytest.approx(listed) and got[context][1] == pytest.approx(left)
+
+
+def test_the_tree_grows_with_the_corpus(docs_of):
+    rng = random.Random(2)
+    texts = [(k, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(150))) for k in range(400)]
+    small, large = (tree_of(docs_of(texts[:n])) for n in (50, 400))
+    assert all(len(b.keys) > len(a.keys) for a, b in zip(small.levels[:2], large.levels[:2])) and len(large.words) > len(small.words)
 
 
 def test_model_edge_cases(docs_of):
