@@ -12,6 +12,9 @@ from .markup import elements
 # Smallest page image worth keeping.
 MIN_WIDTH, MIN_HEIGHT = 400, 600
 
+#: Characters of an index key, and parts a host's addresses are dealt into.
+GRAM, SPREAD = 3, 16
+
 _COLUMNS = ("page_id", "phase", "pos", "sub", "url", "width", "height", "alt")
 
 
@@ -94,32 +97,46 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct runs of `size` characters."""
+    n = F.length(text)
+    return F.array_distinct(F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(text, i, size))).otherwise(F.array()))
+
+
+def _by_suffix(hosts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Hosts at or below a domain. The engine splits a suffix that most hosts have (skewed join)."""
+    return hosts.withColumn("domain", F.explode(host_suffixes(F.col("__host")))).join(wanted, "domain")
+
+
+def _by_substring(hosts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Hosts that hold a domain, by an index of the rules under their rarest run of three characters.
+
+    A rule is looked up where that run occurs and then compared, so a host has three rows per
+    character at most, and a run that most hosts have leads to no rule unless it has nothing rarer. Rules
+    of one or two characters are their own run.
+    """
+    every = F.concat(*[_grams(F.col("__host"), F.lit(n)) for n in range(1, GRAM + 1)])
+    at = hosts.select("__host", F.explode(every).alias("gram"))
+    own = wanted.select("domain", F.explode(_grams(F.col("domain"), F.least(F.length("domain"), F.lit(GRAM)))).alias("gram"))
+    seen = at.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(seen, "gram", "left").groupBy("domain").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    index = rarest.where("r.n > 0").select("domain", F.col("r.gram").alias("gram"))
+    return at.join(index, "gram").where(F.contains("__host", "domain")).select("__host", "domain")
+
+
 def match_domains(urls: DataFrame, rules: DataFrame, mode: str = "suffix") -> DataFrame:
     """Addresses with each rule that applies to their host; adds `domain`.
 
-    `suffix`: the host is the domain or below it. An equi join on the host's suffixes,
-    of which there are as many as it has labels. `substring`: the domain occurs
-    anywhere in the host. Every substring that starts at any place and is as long as
-    some rule is looked up, again by equality, so no address is compared with every rule.
+    `suffix`: the host is the domain or below it. `substring`: the domain occurs anywhere in the
+    host. Distinct hosts are matched, so the work grows with hosts; their addresses follow by
+    equality, a popular host's in SPREAD parts.
     """
-    wanted = rules.select(F.regexp_replace(F.lower("domain"), r"^\.+", "").alias("domain")).distinct()
-    wanted = wanted.where(F.col("domain") != "")
-    hosts = urls.withColumn("__host", url_host(F.col("url")))
-    if mode == "suffix":
-        return (
-            hosts.withColumn("domain", F.explode(host_suffixes(F.col("__host"))))
-            .join(wanted, "domain").drop("__host")
-        )
-    if mode != "substring":
+    if mode not in ("suffix", "substring"):
         raise ValueError(f"unknown match mode: {mode}")
-    # Distinct hosts first: the expansion grows with hosts, not with addresses.
-    distinct = hosts.select("__host").distinct()
-    size = F.length("__host")
-    pieces = F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.transform(F.sequence(i, size), lambda j: F.substring(F.col("__host"), i, j - i + 1)),
-    )))
-    matched = (
-        distinct.where(size > 0).withColumn("domain", F.explode(pieces)).join(wanted, "domain")
-    )
-    return hosts.join(matched, "__host").drop("__host")
+    wanted = rules.select(F.regexp_replace(F.lower("domain"), r"^\.+", "").alias("domain")).where("domain <> ''").distinct()
+    hosts = urls.withColumn("__host", url_host(F.col("url")))
+    distinct = hosts.select("__host").where("__host <> ''").distinct()
+    matched = (_by_suffix if mode == "suffix" else _by_substring)(distinct, wanted)
+    spread = matched.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salted = hosts.withColumn("__salt", F.pmod(F.xxhash64("url", *[c for c in urls.columns if c != "url"]), F.lit(SPREAD)).cast("int"))
+    return salted.join(spread, ["__host", "__salt"]).drop("__host", "__salt")

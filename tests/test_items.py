@@ -320,3 +320,19 @@ def test_background_addresses(spark):
 
     styles = ["background: #fff url( 'a b.png' ) no-repeat; x", "background-image:url(x.png)", 'color:red; background-image: url("q.jpg")', "background:red", "background: url(data:image/png;base64,AA)"]
     assert html_of(spark, H.background_url, styles) == ["a b.png", "x.png", "q.jpg", None, None]
+
+
+@pytest.mark.parametrize("mode", ["suffix", "substring"])
+def test_domains_like_a_loop(spark, mode):
+    from pixelmill.operators import pages as PG
+
+    rng = random.Random(7)
+    part = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
+    hosts = [".".join(part() for _ in range(rng.randrange(1, 5))) for _ in range(80)] + ["hot.example.com"] * 40
+    urls = [(i, f"https://u@{h.upper() if i % 3 else h}:80/x") for i, h in enumerate(hosts)] + [(900, None), (901, "mailto:x@y"), (902, "https:///x")]
+    rules = [".".join(part() for _ in range(rng.randrange(1, 3))) for _ in range(40)] + ["..example.com", "com", "a", "bc", "", ".", "nowhere.org", "EXAMPLE.com", None]
+    clean = {r.lower().lstrip(".") for r in rules if r} - {""}
+    fits = lambda h, d: d in h if mode == "substring" else h == d or h.endswith("." + d)
+    want = sorted((i, d) for i, h in enumerate(hosts) for d in clean if fits(h, d))
+    df = PG.match_domains(spark.createDataFrame(urls, "i long, url string"), spark.createDataFrame([(r,) for r in rules], "domain string"), mode)
+    assert sorted((r.i, r.domain) for r in df.collect()) == want and len(want) > 50 and df.columns == ["i", "url", "domain"]

@@ -305,12 +305,15 @@ add("stale", """
       SELECT 1 FROM outputs_v o WHERE o.output_path = n.output_path AND o.mtime > n.mtime)""")
 _RULES = """
     SELECT DISTINCT d AS domain FROM (SELECT lower(n_name)[1:3] || '.example.com' AS d FROM nation
-      UNION ALL SELECT regexp_extract(url, '//[^/.]+\\.([^/]+)/', 1) FROM pages) WHERE d <> ''"""
-_HOSTS = "SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages"
+      UNION ALL SELECT regexp_extract(url, '//[^/.]+\\.([^/]+)/', 1) FROM pages
+      UNION ALL SELECT lower(n_name)[1:n_nationkey % 3 + 1] FROM nation) WHERE d <> ''"""
+_HOSTS = """
+    SELECT page_id, pos, CASE pos % 9 WHEN 3 THEN 'cdn.example.net' WHEN 7 THEN 'host.example.com' ELSE regexp_extract(base, '//([^/]*)', 1) END AS host
+    FROM links_v WHERE pos % 9 <> 8"""
 add("match_domains_suffix", """
-    SELECT page_id, domain FROM hosts JOIN rules ON host = domain OR host LIKE '%.' || domain""", {"rules": _RULES, "hosts": _HOSTS})
+    SELECT page_id, pos, domain FROM hosts JOIN rules ON host = domain OR host LIKE '%.' || domain""", {"rules": _RULES, "hosts": _HOSTS})
 add("match_domains_substring", """
-    SELECT page_id, domain FROM hosts JOIN rules ON contains(host, domain)""", {"rules": _RULES, "hosts": _HOSTS})
+    SELECT page_id, pos, domain FROM hosts JOIN rules ON contains(host, domain)""", {"rules": _RULES, "hosts": _HOSTS})
 # Tile starts 0, 2, 4, 6: the loop stops once start + overlap reaches the side.
 _GRID8 = "SELECT 4 * iy + ix AS tile_no, ix * 2 AS x0, iy * 2 AS y0, least(4, 8 - ix * 2) AS tw, least(4, 8 - iy * 2) AS th FROM range(4) a(ix), range(4) b(iy)"
 add("tiles_for_pixels", """

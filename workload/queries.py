@@ -359,22 +359,27 @@ def stale(v):
     return C.stale(named, v.outputs(), "output_path").select("doc_id", "output_path")
 
 
+def _addresses(v) -> DataFrame:
+    """All links of all pages as whole addresses."""
+    return v.links().select("page_id", "pos", U.resolve_url(F.col("base"), F.col("ref")).alias("url"))
+
+
 def _page_rules(v) -> DataFrame:
     return v.table("nation").select(
         F.concat(F.lit("."), F.substring(F.lower("n_name"), 1, 3), F.lit(".example.com")).alias("domain")
     ).unionByName(v.table("pages").select(
         F.concat(F.lit("."), F.regexp_extract("url", r"//[^/.]+\.([^/]+)/", 1)).alias("domain")
-    ))
+    )).unionByName(v.table("nation").select(F.substring(F.lower("n_name"), 1, F.col("n_nationkey") % 3 + 1).alias("domain")))
 
 
 @query
 def match_domains_suffix(v):
-    return PG.match_domains(v.table("pages").select("page_id", "url"), _page_rules(v)).select("page_id", "domain")
+    return PG.match_domains(_addresses(v), _page_rules(v)).select("page_id", "pos", "domain")
 
 
 @query
 def match_domains_substring(v):
-    return PG.match_domains(v.table("pages").select("page_id", "url"), _page_rules(v), "substring").select("page_id", "domain")
+    return PG.match_domains(_addresses(v), _page_rules(v), "substring").select("page_id", "pos", "domain")
 
 
 @query
