@@ -566,15 +566,44 @@ add("crop_back", """
     FROM rasters_v JOIN (SELECT unnest([0,1,2,3,4,5,6,7,6]) AS sy, unnest(range(9)) AS py) ON sy = y
     JOIN (SELECT unnest([0,1,2,3,4,5,6,7,6,5,4]) AS sx, unnest(range(11)) AS px) ON sx = x""")
 add("split_merge_alpha", "SELECT image_id, c, y, h, x, round(CASE WHEN c < 3 THEN v * 0.5::DOUBLE ELSE v END, 6) AS v FROM rgba_v")
-# 64x100 -> 32x50 -> twice that -> height 60 (width 38).
-add("prepare", "SELECT DISTINCT image_id, c, 59 AS max_y, 37 AS max_x, CAST(60 * 38 AS BIGINT) AS n FROM tall_v")
+# Every pixel of the flow: 64x100 -> 32x50 -> twice that (equal tiles blend to themselves) -> 38x60 -> sharper by 0.4.
+_second = {f"{k}2": v.replace(" wx ", " wx2 ").replace(" wy ", " wy2 ").replace("FROM down", "FROM down2")
+           for k, v in _resized("doubled", (64, 100), (38, 60), "hermite").items()}
+add("prepare", """
+    SELECT image_id, c, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(least(1, greatest(0, (cross_sum * w + e) / (1 + 4 * w))), 5) + 0.0 AS v FROM sharp""",
+    {**_there, "doubled": "SELECT image_id, c, y * 2 + dy AS y, x * 2 + dx AS x, v FROM resized, range(2) a(dx), range(2) b(dy)",
+     **_second, **_near("resized2", 38, 60, _CROSS + _DIAG), **_cas(2, 0.4)})
+
+# The edge-adaptive filter, term by term; `ring` distances: 1 side, 2 corner or far, 3 outer.
+_FLAT, _SIDE, _CORNER, _TWO = "dy = 0 AND dx = 0", "abs(dy) + abs(dx) = 1", "abs(dy) = 1 AND abs(dx) = 1", "abs(dy) + abs(dx) = 2"
+_AROUND = [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4) if 0 < abs(dy) + abs(dx) <= 3]
+add("adaptive_sharpen", """
+    SELECT image_id, c, CAST(y AS INTEGER) AS y, 8 AS h, CAST(x AS INTEGER) AS x,
+      round(least(1, greatest(0, l + (3 * bounded + change) / 4 + (e - l) * ((l + greatest(0.9::DOUBLE * bounded, bounded) * 1.03::DOUBLE + 0.03::DOUBLE) / (l + 0.03::DOUBLE)))), 6) + 0.0 AS v
+    FROM blurred JOIN bent USING (image_id, y, x)
+    UNION ALL SELECT image_id, c, y, h, x, round(v, 6) FROM rgba_v WHERE c = 3""", {
+    **_near("(SELECT * FROM rgba_v WHERE c < 3)", 8, 8, _AROUND),
+    "blurred": f"""SELECT image_id, c, y, x, max(n) FILTER ({_FLAT}) AS e,
+        sum(n * CASE WHEN {_FLAT} THEN 4 WHEN {_SIDE} THEN 2 WHEN {_CORNER} THEN 1 ELSE 0 END) / 16 AS blur FROM near GROUP BY image_id, c, y, x""",
+    "detail": f"""SELECT image_id, c, y, x, any_value(blur) AS blur, sum(abs(blur - n) * (CASE WHEN {_FLAT} THEN 1.38 WHEN {_SIDE} THEN 1.15 WHEN {_CORNER} THEN 0.92 WHEN {_TWO} THEN 0.23 ELSE 0 END)::DOUBLE) AS d
+        FROM near JOIN blurred USING (image_id, c, y, x) GROUP BY image_id, c, y, x""",
+    "edges": """SELECT image_id, y, x, sqrt(sum(d * d)) * least(1, greatest(0, 0.266666681::DOUBLE + 0.9::DOUBLE * pow(2, sum(blur) * (-7.4::DOUBLE / 3)))) AS edge
+        FROM detail GROUP BY image_id, y, x""",
+    "grey": "SELECT image_id, y, x, dy, dx, sum(n * (CASE c WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END)::DOUBLE) AS g FROM near GROUP BY image_id, y, x, dy, dx",
+    "lit": f"""SELECT image_id, y, x, max(g) FILTER ({_FLAT}) AS l, sum(g) FILTER ({_SIDE} OR {_CORNER}) / 8 AS mean, list_sort(list(g)) AS r FROM grey GROUP BY image_id, y, x""",
+    "pulled": """SELECT image_id, y, x, l, (l - mean) / (0.5::DOUBLE * pow(edge, 3.5) + 0.625::DOUBLE) AS pull,
+        least(abs((3 * greatest(r[24], l) + r[25]) / 4 - l), abs(l - (3 * least(r[2], l) + r[1]) / 4)) + 0.003::DOUBLE AS reach FROM lit JOIN edges USING (image_id, y, x)""",
+    "limited": "SELECT *, least(reach, 0.1::DOUBLE * (1 - 0.056::DOUBLE) + reach * 0.056::DOUBLE) AS most FROM pulled",
+    "softened": """SELECT *, least(1, greatest(0, t * (27 + t * t) / (27 + 9 * t * t))) * most AS soft
+        FROM (SELECT *, abs(pull) / (most + 1e-6) AS t FROM limited)""",
+    "changed": "SELECT *, CASE WHEN pull > 0 THEN 0.167::DOUBLE * abs(pull) + (1 - 0.167::DOUBLE) * soft ELSE -(0.25::DOUBLE * abs(pull) + 0.75::DOUBLE * soft) END AS change FROM softened",
+    "bent": "SELECT image_id, y, x, l, change, least(1, greatest(0, l + change)) - l AS bounded FROM changed",
+})
+# Frames show every third picture; a run is one picture, told by its thumbnail.
 add("upscale_animation", """
-    SELECT anim_id, f.frame_no, CAST(sum(d) AS BIGINT) AS duration_ms, count(*) AS n_frames, any_value(total) AS total
-    FROM (SELECT *, first_value(no) OVER (PARTITION BY anim_id, grp, sig ORDER BY no) AS frame_no FROM (
-        SELECT vec_id // 25 AS anim_id, vec_id % 25 AS no, vec_id % 7 * 10 AS d, label % 2 AS sig,
-          vec_id % 25 - row_number() OVER (PARTITION BY vec_id // 25, label % 2 ORDER BY vec_id) AS grp FROM embeddings)) f
-    JOIN (SELECT vec_id // 25 AS anim_id, vec_id % 25 AS frame_no, round(sum(v) * 4, 6) AS total FROM flat_v GROUP BY 1, 2) t USING (anim_id, frame_no)
-    GROUP BY anim_id, f.frame_no""")
+    SELECT vec_id // 25 AS anim_id, min(vec_id % 25) AS frame_no, CAST(sum(vec_id % 7 * 10) AS BIGINT) AS duration_ms, count(*) AS n_frames, any_value(total) AS total
+    FROM embeddings JOIN (SELECT vec_id AS image_id, round(sum(v) * 4, 6) AS total FROM flat_v GROUP BY 1) t ON image_id = vec_id // 3 * 3
+    GROUP BY vec_id // 25, vec_id // 3""")
 add("y4m_parts", """
     SELECT anim_id, CAST(-1 AS BIGINT) AS frame_no, CAST(0 AS BIGINT) AS plane, CAST(0 AS BIGINT) AS "row",
       hex('YUV4MPEG2 W8 H8 F1000:' || CAST(floor(avg(fn * 10 + 40)) AS BIGINT) || ' Ip A1:1 C444alpha' || chr(10)) AS bytes
