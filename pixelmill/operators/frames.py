@@ -7,13 +7,18 @@ one before it only, so A-B-A keeps all three.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from pixelmill.functions.pixels import luma, rgb_to_yuv444, to_uint8
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from pixelmill.functions.pixels import LUMA, YUV_U, YUV_V, luma, to_uint8
 from .resize import resize
-from .skew import ordered
+from .skew import ordered, rank_within
 
 DEFAULT_DURATION_MS = 100  # fixed value
+MARKER = "FRAME\n"  # fixed value
 THUMBNAIL = 16  # fixed value: side of the signature picture
 
 
@@ -76,13 +81,39 @@ def frame_signature(rasters: DataFrame, kernel: str = "lanczos_full") -> DataFra
     return line.groupBy("image_id").agg(F.array_join(F.transform(lines, lambda s: s["t"]), "").alias("sig"))
 
 
+_PLANE_ROWS = "frame_no long, plane long, y long, bytes binary"
+
+
+def _planes(alpha: bool):
+    """Rows of pixels as rows of bytes, one per plane."""
+    mixes = [(LUMA, 0.0), (YUV_U, 128.0), (YUV_V, 128.0)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [batch.column(k).flatten().to_numpy().astype(float) for k in "rgb"]
+            made = [np.floor(np.clip(flat[0] * k[0] + flat[1] * k[1] + flat[2] * k[2] + shift, 0, 255)) for k, shift in mixes]
+            if alpha:
+                made.append(batch.column("a").flatten().to_numpy())
+            edges = batch.column("r").offsets.to_numpy()
+            edges = pa.py_buffer((edges - edges[0]).astype(np.int32))
+            for plane, values in enumerate(made):
+                data = pa.py_buffer(np.ascontiguousarray(values.astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("anim_id"), batch.column("frame_no"), pa.array(np.full(batch.num_rows, plane, np.int64)), batch.column("y"), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, edges, data])],
+                    ["anim_id", "frame_no", "plane", "y", "bytes"],
+                )
+
+    return run
+
+
 def y4m_parts(frames: DataFrame, rows: DataFrame, alpha: bool = False) -> DataFrame:
-    """Uncompressed video as ordered byte parts; concatenated by `part` they are the file.
+    """Uncompressed video as byte parts: anim_id, part, offset, bytes.
 
     `frames`: anim_id, frame_no, duration_ms. `rows`: anim_id, frame_no, y, r, g, b[, a]
     as 8-bit integer arrays. The parts are one header per animation, one marker per
-    frame and one part per plane row; nothing gathers an animation or a frame, and a
-    writer streams the parts in the order of `part`.
+    frame and one part per plane row; `offset` is where a part stands in its animation's file, from
+    the number of frames before it and the sizes of what is in a frame. Nothing gathers an
+    animation or a frame; `sinks.write_y4m` writes the parts in order.
     """
     size = rows.groupBy("anim_id").agg(
         F.max(F.size("r")).alias("w"), (F.max("y") + 1).alias("h")
@@ -90,31 +121,23 @@ def y4m_parts(frames: DataFrame, rows: DataFrame, alpha: bool = False) -> DataFr
     mean = frames.groupBy("anim_id").agg(F.avg("duration_ms").alias("mean"))
     space = "C444alpha" if alpha else "C444"
     den = F.when(F.col("mean") > 0, F.floor("mean").cast("int")).otherwise(F.lit(DEFAULT_DURATION_MS))
-    header = size.join(mean, "anim_id").select(
-        "anim_id", F.array(F.lit(-1), F.lit(0), F.lit(0)).cast("array<bigint>").alias("part"),
-        F.format_string(f"YUV4MPEG2 W%d H%d F1000:%d Ip A1:1 {space}\n", "w", "h", den).cast("binary").alias("bytes"),
-    )
-    marker = frames.select(
-        "anim_id", F.array(F.col("frame_no"), F.lit(-1), F.lit(0)).cast("array<bigint>").alias("part"),
-        F.lit("FRAME\n").cast("binary").alias("bytes"),
-    )
-    yuv = F.transform(
-        F.arrays_zip("r", "g", "b"), lambda p: F.struct(*rgb_to_yuv444(p["r"], p["g"], p["b"]))
-    )
-    as_bytes = lambda arr: F.unhex(
-        F.array_join(F.transform(arr, lambda a: F.lpad(F.hex(a.cast("bigint")), 2, "0")), "")
+    text = F.format_string(f"YUV4MPEG2 W%d H%d F1000:%d Ip A1:1 {space}\n", F.col("w").cast("long"), F.col("h").cast("long"), den.cast("long"))
+    header = size.join(mean, "anim_id").select("anim_id", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"), text.cast("binary").alias("bytes"))
+    place = lambda *numbers: F.array(*numbers).cast("array<bigint>").alias("part")
+    plane = F.col("w") * F.col("h")
+    starts = (
+        rank_within(frames.select("anim_id", "frame_no"), ["anim_id"], ["frame_no"], "nth")
+        .join(header.select("anim_id", "w", "h", F.length("bytes").alias("head")), "anim_id")
+        .withColumn("start", F.col("head") + F.col("nth") * (len(MARKER) + plane * (4 if alpha else 3)))
     )
-    field = lambda name: F.transform("yuv", lambda s: s[name])
-    planes = [field("col1"), field("col2"), field("col3")] + ([F.col("a")] if alpha else [])
-    parts = F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("plane"), as_bytes(p).alias("bytes")) for i, p in enumerate(planes)
-    ])
-    body = (
-        rows.withColumn("yuv", yuv)
-        .select("anim_id", "frame_no", "y", F.inline(parts))
-        .select("anim_id", F.array(F.col("frame_no"), F.col("plane"), F.col("y")).cast("array<bigint>").alias("part"), "bytes")
+    markers = starts.select("anim_id", place(F.col("frame_no"), F.lit(-1), F.lit(0)), F.col("start").alias("offset"), F.lit(MARKER).cast("binary").alias("bytes"))
+    pixels = rows.select("anim_id", F.col("frame_no").cast("long").alias("frame_no"), F.col("y").cast("long").alias("y"), *(["r", "g", "b", "a"] if alpha else ["r", "g", "b"]))
+    made = pixels.mapInArrow(_planes(alpha), f"anim_id {pixels.schema['anim_id'].dataType.simpleString()}, {_PLANE_ROWS}")
+    body = made.join(starts.select("anim_id", F.col("frame_no").cast("long").alias("frame_no"), "start", "w", "h"), ["anim_id", "frame_no"]).select(
+        "anim_id", place(F.col("frame_no"), F.col("plane"), F.col("y")), (F.col("start") + len(MARKER) + F.col("plane") * plane + F.col("y") * F.col("w")).alias("offset"), "bytes"
     )
-    return header.unionByName(marker).unionByName(body)
+    first = header.select("anim_id", place(F.lit(-1), F.lit(0), F.lit(0)), F.lit(0).cast("bigint").alias("offset"), "bytes")
+    return first.unionByName(markers).unionByName(body)
 
 
 def flat_rows(rasters: DataFrame) -> DataFrame:

@@ -293,3 +293,34 @@ def test_animation_stats_tell_alpha_and_frames_before_merging(spark):
     frames = spark.createDataFrame(rows, "anim_id long, frame_no long, duration_ms int, sig string, alpha boolean")
     found = FR.animation_stats(FR.merge_islands(frames)).collect()
     assert sorted((r.anim_id, r.n_kept, r.n_dropped, r.n_frames, r.any_alpha) for r in found) == [(1, 2, 1, 3, True), (2, 1, 1, 2, False)]
+
+
+def test_raw_video_files_equal_a_loop(spark, tmp_path):
+    """Frames with gaps in their numbers, animations of several sizes, with and without alpha."""
+    from pixelmill.operators import frames as FR
+    from pixelmill.sources import sinks as SK
+
+    rng = np.random.default_rng(4)
+    shapes = {"a/b": (5, 3, [0, 2, 3]), "c": (1, 1, [7]), "d": (40, 8, list(range(0, 30, 2)))}
+    pictures = {(k, n): rng.integers(0, 256, (4, h, w)) for k, (h, w, numbers) in shapes.items() for n in numbers}
+    rows = [(k, n, y, *(p[c, y].tolist() for c in range(4))) for (k, n), p in pictures.items() for y in range(p.shape[1])]
+    frames = spark.createDataFrame([(k, n, 30 + n) for k, n in pictures], "anim_id string, frame_no long, duration_ms int")
+    table = spark.createDataFrame(rows, "anim_id string, frame_no long, y int, r array<int>, g array<int>, b array<int>, a array<int>").repartition(5)
+    for alpha in (True, False):
+        folder = tmp_path / str(alpha)
+        parts = FR.y4m_parts(frames, table, alpha)
+        assert parts.agg(F.max(F.length("bytes"))).first()[0] < 60  # a header or a row, never a frame
+        SK.write_y4m(parts, f"file://{folder}")
+        assert sorted(p.name for p in folder.iterdir()) == ["a%2Fb.y4m", "c.y4m", "d.y4m"]
+        for k, (h, w, numbers) in shapes.items():
+            rate = int(sum(30 + n for n in numbers) / len(numbers))
+            want = f"YUV4MPEG2 W{w} H{h} F1000:{rate} Ip A1:1 C444{'alpha' if alpha else ''}\n".encode()
+            for n in numbers:
+                r, g, b, a = pictures[k, n].astype(float)
+                planes = [0.299 * r + 0.587 * g + 0.114 * b, -0.169 * r - 0.331 * g + 0.5 * b + 128, 0.5 * r - 0.419 * g - 0.081 * b + 128] + [a] * alpha
+                want += b"FRAME\n" + b"".join(np.floor(np.clip(p, 0, 255)).astype(np.uint8).tobytes() for p in planes)
+            assert (folder / k.replace("/", "%2F")).with_suffix(".y4m").read_bytes() == want if k != "a/b" else (folder / "a%2Fb.y4m").read_bytes() == want
+    broken = parts.where("NOT (anim_id = 'd' AND part[0] = 4 AND part[1] = 1 AND part[2] = 3)")
+    with pytest.raises(Exception, match="where a part begins"):
+        SK.write_y4m(broken, f"file://{tmp_path}/broken")
+    assert not list((tmp_path / "broken").glob("*.y4m"))

@@ -27,28 +27,56 @@ def drain(spark, df, name, tmp_path):
     return spark.table(name)
 
 
-def test_frame_dedupe_equals_batch(spark, views, tmp_path):
-    frames = views.frames().cache()
-    live = stream_of(spark, frames, tmp_path, "frames", 3, F.least(F.floor(F.col("frame_no") / 25), F.lit(2)))
-    got = {(r.anim_id, r.frame_no) for r in drain(spark, ST.stream_frame_dedupe(live), "dedupe", tmp_path).collect()}
-    want = {(r.anim_id, r.frame_no) for r in FR.merge_islands(frames).collect()}
-    assert got == want
-
-
-def test_ready_equals_batch(spark, views, tmp_path):
-    looks = views.looks().cache()
-    live = stream_of(spark, looks, tmp_path, "looks", 2, (F.col("look_id") >= 500).cast("int"))
-    got = {r.look_id for r in drain(spark, ST.ready(live), "ready", tmp_path).collect()}
+FAR = datetime(2100, 1, 1)
+
+
+def shuffled(spark, df, key, at, tmp_path, name, parts=3):
+    """A stream of the rows dealt over its files at random; then two rows of far later keys move the watermark past all."""
+    df = df.cache()
+    folder = str(tmp_path / name)
+    for i in range(parts):
+        df.where(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i).coalesce(1).write.mode("append").parquet(folder)
+    one = df.limit(1).toPandas()
+    for k in (1, 2):
+        last = one.assign(**{key: -k if one[key].dtype != object else f"far{k}", at: FAR + timedelta(days=10 * k)})
+        spark.createDataFrame(last, df.schema).coalesce(1).write.mode("append").parquet(folder)
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return live
+
+
+def states(spark, tmp_path, name, variable):
+    return spark.read.format("statestore").option("stateVarName", variable).load(str(tmp_path / f"{name}_cp"))
+
+
+# Rows may be as late as the whole table is long.
+LATE = "5000 days"
+
+
+def test_frame_dedupe_equals_batch_in_any_order(spark, views, tmp_path):
+    frames = views.frames().select("anim_id", "frame_no", F.when(F.col("anim_id") % 5 != 0, F.col("sig")).alias("sig"), F.timestamp_seconds(1_600_000_000 + F.col("frame_no") * 60).alias("at"))
+    live = shuffled(spark, frames, "anim_id", "at", tmp_path, "frames")
+    got = {(r.anim_id, r.frame_no) for r in drain(spark, ST.stream_frame_dedupe(live, LATE), "dedupe", tmp_path).collect()}
+    want = {(r.anim_id, r.frame_no) for r in FR.merge_islands(frames.withColumn("duration_ms", F.lit(1))).collect()}
+    assert {x for x in got if x[0] >= 0} == want
+
+
+def test_ready_equals_batch_in_any_order(spark, views, tmp_path):
+    looks = views.looks().select("path", "size_bytes", "seen_at", "look_id")
+    live = shuffled(spark, looks, "path", "seen_at", tmp_path, "looks")
+    got = {r.look_id for r in drain(spark, ST.ready(live, LATE), "ready", tmp_path).where("path NOT LIKE 'far%'").collect()}
     assert got == {r.look_id for r in C.ready_files(looks).collect()}
 
 
-def test_metrics_equal_batch(spark, views, tmp_path):
-    done = views.ledger().where("status = 'done'").cache()
-    live = stream_of(spark, done, tmp_path, "done", 2, (F.dayofmonth("ts") > 15).cast("int"))
-    got = {r.input_path: r.ema for r in drain(spark, ST.stream_metrics(live), "metrics", tmp_path).collect()}
+def test_metrics_equal_batch_and_state_ends(spark, views, tmp_path):
+    done = views.ledger().where("status = 'done'").select("run_id", "input_path", "elapsed_s", "ts")
+    live = shuffled(spark, done, "run_id", "ts", tmp_path, "done")
+    got = {r.input_path: r.ema for r in drain(spark, ST.stream_metrics(live, LATE), "metrics", tmp_path).where("run_id >= 0").collect()}
     want = {r.input_path: r.ema for r in L.ema(done, ["run_id"], ["ts", "input_path"], "elapsed_s").collect()}
     assert got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+    # Of all runs only the far ones are still known: nothing waits and nothing is kept behind the watermark.
+    assert {r.key.run_id for r in states(spark, tmp_path, "metrics", "known").collect()} <= {-1, -2}
+    assert {r.key.run_id for r in states(spark, tmp_path, "metrics", "waiting").collect()} <= {-1, -2}
 
 
 def test_settle_batch(spark):
@@ -86,9 +114,9 @@ def test_watched_folder_runs_each_file_once(spark, tmp_path):
 
 def test_dedupe_of_null_signatures(spark, tmp_path):
     rows = [(1, k, s) for k, s in enumerate([None, None, "a", None, None, "b", "b"])]
-    frames = spark.createDataFrame(rows, "anim_id long, frame_no long, sig string").withColumn("duration_ms", F.lit(10))
-    live = stream_of(spark, frames, tmp_path, "nulls", 2, (F.col("frame_no") >= 4).cast("int"))
-    got = sorted(r.frame_no for r in drain(spark, ST.stream_frame_dedupe(live), "nulls", tmp_path).collect())
+    frames = spark.createDataFrame(rows, "anim_id long, frame_no long, sig string").withColumns({"duration_ms": F.lit(10), "at": F.timestamp_seconds(1_600_000_000 + F.col("frame_no"))})
+    live = shuffled(spark, frames, "anim_id", "at", tmp_path, "nulls", 2)
+    got = sorted(r.frame_no for r in drain(spark, ST.stream_frame_dedupe(live, LATE), "nulls", tmp_path).where("anim_id = 1").collect())
     assert got == sorted(r.frame_no for r in FR.merge_islands(frames).collect()) == [0, 2, 3, 5]
 
 

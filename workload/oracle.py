@@ -605,15 +605,18 @@ add("upscale_animation", """
     FROM embeddings JOIN (SELECT vec_id AS image_id, round(sum(v) * 4, 6) AS total FROM flat_v GROUP BY 1) t ON image_id = vec_id // 3 * 3
     GROUP BY vec_id // 25, vec_id // 3""")
 add("y4m_parts", """
-    SELECT anim_id, CAST(-1 AS BIGINT) AS frame_no, CAST(0 AS BIGINT) AS plane, CAST(0 AS BIGINT) AS "row",
-      hex('YUV4MPEG2 W8 H8 F1000:' || CAST(floor(avg(fn * 10 + 40)) AS BIGINT) || ' Ip A1:1 C444alpha' || chr(10)) AS bytes
-    FROM (SELECT DISTINCT image_id // 5 AS anim_id, image_id % 5 AS fn FROM rgba_px) GROUP BY anim_id
-    UNION ALL SELECT DISTINCT image_id // 5, image_id % 5, -1, 0, hex('FRAME' || chr(10)) FROM rgba_px
-    UNION ALL SELECT image_id // 5, image_id % 5, plane, y, string_agg(printf('%02X', b), '' ORDER BY x) FROM (
+    SELECT anim_id, CAST(-1 AS BIGINT) AS frame_no, CAST(0 AS BIGINT) AS plane, CAST(0 AS BIGINT) AS "row", CAST(0 AS BIGINT) AS "offset", hex(head) AS bytes FROM heads
+    UNION ALL SELECT anim_id, fn, -1, 0, length(head) + nth * 262, hex('FRAME' || chr(10)) FROM starts
+    UNION ALL SELECT anim_id, fn, plane, y, length(any_value(head)) + any_value(nth) * 262 + 6 + plane * 64 + y * 8, string_agg(printf('%02X', b), '' ORDER BY x) FROM (
       SELECT image_id, y, x, unnest([0, 1, 2, 3]) AS plane, unnest([CAST(floor(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE) AS INTEGER),
         CAST(floor(least(255, r * -0.169::DOUBLE + g * -0.331::DOUBLE + b * 0.5::DOUBLE + 128)) AS INTEGER),
         CAST(floor(least(255, r * 0.5::DOUBLE + g * -0.419::DOUBLE + b * -0.081::DOUBLE + 128)) AS INTEGER), a]) AS b FROM rgba_px)
-    GROUP BY image_id, plane, y""")
+    JOIN starts ON anim_id = image_id // 5 AND fn = image_id % 5 GROUP BY anim_id, fn, plane, y""", {
+    "heads": """SELECT anim_id, 'YUV4MPEG2 W8 H8 F1000:' || CAST(floor(avg(fn * 10 + 40)) AS BIGINT) || ' Ip A1:1 C444alpha' || chr(10) AS head
+        FROM (SELECT DISTINCT image_id // 5 AS anim_id, image_id % 5 AS fn FROM rgba_px) GROUP BY anim_id""",
+    "starts": """SELECT *, row_number() OVER (PARTITION BY anim_id ORDER BY fn) - 1 AS nth
+        FROM (SELECT DISTINCT image_id // 5 AS anim_id, image_id % 5 AS fn FROM rgba_px) JOIN heads USING (anim_id)""",
+})
 
 # ---- pages: what the added markup must give, worked out by hand per element ------
 

@@ -672,7 +672,7 @@ def y4m_parts(v):
     frames = rows.select("anim_id", "frame_no").distinct().withColumn("duration_ms", (F.col("frame_no") * 10 + 40).cast("int"))
     parts = FR.y4m_parts(frames, rows, alpha=True)
     p = F.col("part")
-    return parts.select("anim_id", p[0].alias("frame_no"), p[1].alias("plane"), p[2].alias("row"), F.hex("bytes").alias("bytes"))
+    return parts.select("anim_id", p[0].alias("frame_no"), p[1].alias("plane"), p[2].alias("row"), "offset", F.hex("bytes").alias("bytes"))
 
 
 @query
