@@ -9,7 +9,7 @@ can reach that. Each query cell is then solved on its own, in blocks of data row
 Vectors that are null or have null or non-finite components take no part, and null ids neither.
 Only vectors of one length can be compared. Rows with equal id and vector are one row. Ties go to
 the smaller id. An empty table gives an empty result. Components are multiplied by `scale` and
-floored, and should then be below 2^31.
+floored; a component or an inner product that does not fit into 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -34,7 +34,12 @@ _SOLVE_ROWS = 4_096
 def whole_numbers(vector: Column, scale: int) -> Column:
     """floor(scale * x) for each component; null if the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(scale * x.cast("double")).cast("long")))
+
+    def whole(x: Column) -> Column:
+        y = scale * x.cast("double")
+        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long"))
+
+    return F.when(vector.isNotNull() & ~bad, F.transform(vector, whole))
 
 
 @dataclass(frozen=True)
@@ -127,8 +132,14 @@ class _Group:
         top = float(np.abs(self.matrix).max(initial=0)) * float(np.abs(x).max(initial=0)) * x.shape[1]
         if top < 2**53:  # sums of products are whole numbers that doubles hold exactly
             score = (self.matrix.astype(float) @ x.astype(float).T).astype(np.int64)
-        else:
+        elif top < 2**63:
             score = self.matrix @ x.T
+        else:  # Python's own numbers have room
+            exact = self.matrix.astype(object) @ x.T.astype(object)
+            exact[ids[None, :] == self.own[:, None]] = 0
+            if any(abs(s) >= 1 << 63 for s in exact.ravel()):
+                raise OverflowError("an inner product does not fit into 64 bits")
+            score = exact.astype(np.int64)
         score[ids[None, :] == self.own[:, None]] = np.iinfo(np.int64).min
         query, score_now, _ = self.hits
         worst = np.full(len(self.own), np.iinfo(np.int64).min)

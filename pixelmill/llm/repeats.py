@@ -306,7 +306,7 @@ OP1_SQL = """
 WITH raw AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), starts AS (
-  SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM raw WHERE len(h) >= 200)
+  SELECT DISTINCT doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM raw WHERE len(h) >= 200)
 ), later AS (
   SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM starts) WHERE k > 1
 ), runs AS (

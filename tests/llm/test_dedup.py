@@ -278,3 +278,16 @@ def test_an_exact_repeat_of_34_words_is_found_wherever_its_parts_stand_first(doc
     rows += [(20, [f"c{j}" for j in range(50)] + passage + [f"d{j}" for j in range(30)]), (21, [f"e{j}" for j in range(rng.randrange(30))] + passage)]
     found = passages.repeated_passages(docs_of([(i, " ".join(t)) for i, t in rows])).collect()
     assert [(r.doc_id, r.ref_doc_id, r.n_words) for r in found if r.doc_id == 21 and r.ref_doc_id == 20] == [(21, 20, 34)]
+
+
+def test_the_sql_of_repeats_counts_repeated_rows_once():
+    import duckdb
+
+    text = "".join(chr(97 + k * k % 23) + str(k) for k in range(90))
+    rows = [(1, text), (1, text), (2, "x" + text), (3, "short"), (4, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(f"SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM ({repeats.OP1_SQL})").fetchall())
+    assert [r[2] for r in want if r[0] == 1] == [0, 0] and [r[2] > 100 for r in want if r[0] == 2] == [True]
+    assert {i: n for i, _, n, _, _ in want} == {i: gone for i, (_, gone, _, _) in kept_bytes(rows).items()}

@@ -155,3 +155,17 @@ def test_threshold_join_finds_all_and_only_those():
 @pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_embedding_near_dedup"])
 def test_query_equals_sql(spark, name):
     assert difference(QUERIES[name](spark, SF), connect(SF), ORACLE[name]) is None
+
+
+def test_exact_search_with_large_components(table):
+    from pixelmill.llm import nearest
+
+    rows = [(50, [3e10, -2e10], 1), (51, [-1e10, 2e6], 1), (52, [2e10, 2e10], 1), (53, [5.0, 1e10], 1)]
+    want = sorted(((sum(int(a) * int(b) for a, b in zip(rows[0][1], v)), i) for i, v, _ in rows[1:]), key=lambda r: (-r[0], r[1]))[:2]
+    with pytest.raises(Exception, match="64 bits"):  # 6e20
+        nearest.top_k(table(rows).select("vec_id", "embedding"), F.col("vec_id") == 50, k=3, scale=10).collect()
+    small = [(i, [x / 10 for x in v], label) for i, v, label in rows]
+    found = nearest.top_k(table(small).select("vec_id", "embedding"), F.col("vec_id") == 50, k=2, scale=1).orderBy("rank").collect()
+    assert [(r.score, r.vec_id) for r in found] == [(s // 100, i) for s, i in want]
+    with pytest.raises(Exception, match="64 bits"):
+        nearest.top_k(table([(50, [1e300], 1), (51, [1.0], 1)]).select("vec_id", "embedding"), F.col("vec_id") == 50).collect()
