@@ -160,7 +160,7 @@ def test_query_equals_sql(spark, name):
 def test_exact_search_with_large_components(table):
     from pixelmill.llm import nearest
 
-    rows = [(50, [3e10, -2e10], 1), (51, [-1e10, 2e6], 1), (52, [2e10, 2e10], 1), (53, [5.0, 1e10], 1)]
+    rows = [(50, [3e10, -2e10], 1), (51, [-1e10, 2e6], 1), (52, [2e10, 2e10], 1), (53, [50.0, 1e10], 1)]
     want = sorted(((sum(int(a) * int(b) for a, b in zip(rows[0][1], v)), i) for i, v, _ in rows[1:]), key=lambda r: (-r[0], r[1]))[:2]
     with pytest.raises(Exception, match="64 bits"):  # 6e20
         nearest.top_k(table(rows).select("vec_id", "embedding"), F.col("vec_id") == 50, k=3, scale=10).collect()
