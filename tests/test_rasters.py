@@ -324,3 +324,47 @@ def test_raw_video_files_equal_a_loop(spark, tmp_path):
     with pytest.raises(Exception, match="where a part begins"):
         SK.write_y4m(broken, f"file://{tmp_path}/broken")
     assert not list((tmp_path / "broken").glob("*.y4m"))
+
+
+def slow_median_cut(counts, colors):
+    """Boxes as lists of ((r, g, b), n); the code's order is the colours' order."""
+    boxes = [sorted(counts.items())]
+    pixels = lambda box: sum(n for _, n in box) if len(box) > 1 else 0
+    while len(boxes) < colors and max(map(pixels, boxes)) > 0:
+        k = max(range(len(boxes)), key=lambda i: (pixels(boxes[i]), -i))
+        wide = [max(c[j] for c, _ in boxes[k]) - min(c[j] for c, _ in boxes[k]) for j in range(3)]
+        box, seen, cut = sorted(boxes[k], key=lambda e: (e[0][wide.index(max(wide))], e[0])), 0, 0
+        while 2 * seen < pixels(box):
+            seen, cut = seen + box[cut][1], cut + 1
+        cut = min(cut, len(box) - 1)
+        boxes[k] = box[:cut]
+        boxes.append(box[cut:])
+    out = {}
+    for k, box in enumerate(boxes):
+        total = sum(n for _, n in box)
+        mean = tuple(sum((c[j] * 8 + 4) * n for c, n in box) // total for j in range(3))
+        out.update({c: (n, k, *mean) for c, n in box})
+    return out
+
+
+@pytest.mark.parametrize("colors", [1, 2, 7, 256])
+def test_adaptive_palette_equals_a_loop(spark, colors):
+    from collections import Counter
+    from pixelmill.operators import colors as CO
+
+    rng = np.random.default_rng(colors)
+    pictures = {1: rng.random((4, 20, 30)), 2: np.repeat(rng.random((4, 1, 1)), 9, 2), 3: rng.random((3, 16, 16)) ** 3, 4: np.round(rng.random((4, 12, 12)) * 2) / 2}
+    rows_ = [(i, c, y, p.shape[1], p[c, y].tolist()) for i, p in pictures.items() for c in range(len(p)) for y in range(p.shape[1])]
+    df = spark.createDataFrame(rows_, "image_id long, c int, y int, h int, v array<double>").repartition(4)
+    got = {i: {} for i in pictures}
+    for r in CO.adaptive_palette(df, colors).collect():
+        got[r.image_id][r.color >> 10, r.color >> 5 & 31, r.color & 31] = (r.n, r.entry, r.r, r.g, r.b)
+    for i, p in pictures.items():
+        eight = np.floor(p * 255).astype(int)
+        rgb = eight[:3].astype(float)
+        if len(p) == 4:
+            alpha = eight[3] / 255.0
+            rgb = np.floor(rgb * alpha + (1.0 - alpha) * 255.0)
+        counts = Counter(zip(*(x.ravel().tolist() for x in rgb.astype(int) >> 3)))
+        assert got[i] == slow_median_cut(counts, colors)
+        assert len({e[1] for e in got[i].values()}) == min(colors, len(counts))

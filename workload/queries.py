@@ -486,6 +486,11 @@ def palette_map(v):
     return CO.palette_map(v.rgba(), 8).select("image_id", "color", "n", "palette_color", "dist")
 
 
+@query
+def adaptive_palette(v):
+    return CO.adaptive_palette(v.rgba(), 8)
+
+
 @query
 def corpus_profile(v):
     p = C.corpus_profile(v.assets())
