@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pixelmill.functions import bind
 from pixelmill.functions.paths import natural_key
+from .skew import rank_within
 
 
 def natural_sort(df: DataFrame, column: str = "path") -> DataFrame:
@@ -15,54 +15,14 @@ def natural_sort(df: DataFrame, column: str = "path") -> DataFrame:
     return df.orderBy(natural_key(F.col(column)), F.col(column))
 
 
-_GROUP = 64
+def global_rank(df: DataFrame, column: str = "path", name: str = "rank") -> DataFrame:
+    """Exact 0-based position in the natural order, without one big task; equal texts in any order.
 
-
-def _cut_points(keyed: DataFrame, column: str, every: int, most: int) -> DataFrame:
-    """One row: sorted cut points in groups of 64, with the first of each group apart."""
-    here = F.struct(F.col("__key").alias("k"), F.col(column).alias("t"))
-    chosen = (
-        keyed.where(F.pmod(F.xxhash64(column), F.lit(every)) == 0)
-        .select(here.alias("c"), F.xxhash64(F.lit(1), column).alias("h")).orderBy("h").limit(most)
-        .agg(F.array_sort(F.collect_list("c")).alias("s"))
-    )
-    group = F.filter(F.sequence(F.lit(0), F.lit(most // _GROUP)), lambda i: i * _GROUP < F.size("s"))
-    return chosen.select(F.lit(1).alias("__one"), F.struct(
-        F.transform(group, lambda i: F.element_at("s", i * _GROUP + 1)).alias("heads"),
-        F.transform(group, lambda i: F.slice("s", i * _GROUP + 1, _GROUP)).alias("groups"),
-    ).alias("__cuts"))
-
-
-def global_rank(df: DataFrame, column: str = "path", name: str = "rank", every: int = 1000, most: int = 4096) -> DataFrame:
-    """Exact 0-based position in the natural order of distinct texts, without one big task.
-
-    One text in `every` is a cut point, chosen by hash inside the plan, up to `most` of
-    them (the list is in every task). Rows are counted per part, and a row's rank is the count of
-    the parts before plus its position inside its part. The cut points only balance
-    the work: any choice gives the same ranks.
+    The ordered scan of `skew` with no key at all: as many range partitions as the session shuffles into,
+    each with the count of those before it.
     """
     keyed = df.withColumn("__key", natural_key(F.col(column)))
-    here = F.struct(F.col("__key").alias("k"), F.col(column).alias("t"))
-    both = F.struct(here.alias("here"), F.col("__cuts").alias("cuts"))
-
-    def part(row: Column) -> Column:
-        reached = lambda cuts: F.size(F.filter(cuts, lambda c: c <= row["here"]))
-        group = reached(row["cuts"]["heads"])
-        return F.when(group == 0, 0).otherwise((group - 1) * _GROUP + reached(F.get(row["cuts"]["groups"], group - 1)))
-
-    # One row of cut points, beside every row only while its part is found.
-    beside = keyed.withColumn("__one", F.lit(1)).join(F.broadcast(_cut_points(keyed, column, every, most)), "__one")
-    placed = beside.withColumn("__part", bind(both, part)).drop("__one", "__cuts")
-    # One row per part: `most` + 1 at most, whatever the table holds.
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__part").orderBy("__key", column)
-    return (
-        placed.join(F.broadcast(starts), "__part")
-        .withColumn(name, F.col("__start") + F.row_number().over(inside) - 1)
-        .drop("__key", "__part", "__start")
-    )
+    return rank_within(keyed, [], ["__key", column], name).drop("__key")
 
 
 def resume_from(df: DataFrame, index: int, column: str = "path") -> DataFrame:

@@ -27,7 +27,7 @@ def test_natural_order(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string")
     want = sorted(names, key=lambda s: (key(s), s))
     assert [r.path for r in O.natural_sort(df).collect()] == want
-    ranked = O.global_rank(df, every=1, most=64).collect()
+    ranked = O.global_rank(df).collect()
     assert {r.path: r.rank for r in ranked} == {n: i for i, n in enumerate(want)}
     assert {r.path for r in O.resume_from(df, 5).collect()} == set(want[5:])
 
@@ -123,13 +123,15 @@ def test_keys_that_are_not_a_number(spark):
         assert K.rank_within(df.limit(0), ["k"], ["i"]).collect() == []
 
 
-def test_global_rank_at_any_cut(spark):
-    from pixelmill.operators.ordering import global_rank
-
+@pytest.mark.parametrize("parts", [1, 4, 50])
+def test_global_rank_in_any_number_of_parts(spark, parts):
     df = spark.range(3000).select(F.concat(F.lit("img"), (F.col("id") * 7919 % 30011).cast("string")).alias("path"))
     want = {f"img{n}": i for i, n in enumerate(sorted(k * 7919 % 30011 for k in range(3000)))}
-    for every, most in ((1, 4096), (1, 100), (10, 4096), (10**9, 4096)):
-        assert {r.path: r["rank"] for r in global_rank(df, every=every, most=most).collect()} == want
+    with shuffles(spark, parts):
+        assert {r.path: r["rank"] for r in O.global_rank(df).collect()} == want
+        text = O.global_rank(df)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("Scan") <= 1
+        assert parts == 1 or ("SinglePartition" not in text and re.search(rf"rangepartitioning\(.*, {parts}\)", text))
 
 
 @pytest.mark.parametrize("parts,alpha", [(1, 0.3), (6, 0.3), (40, 0.05), (6, 0.01), (6, 0.999)])
